@@ -299,3 +299,382 @@ c AS (SELECT count(*) FILTER (p >= {T} - 0.1 AND p <= {T} + 0.1) AS borderline_c
  count(*) FILTER (outcome = 'FP' AND p >= 0.8) AS high_confidence_fp_count,
  count(*) FILTER (outcome = 'FN' AND p <= 0.2) AS high_confidence_fn_count FROM o)
 SELECT *, round({div('borderline_error_count', 'borderline_count')}, 6) AS borderline_error_rate FROM c"""
+
+# ------------------------------------------------------------ accounts
+
+RAW = """
+per AS (
+  SELECT o_custkey AS c_custkey, min(o_orderdate) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS first_order,
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS BIGINT) AS cents,
+    count(*) FILTER (o_orderdate >= TIMESTAMP '1997-01-01') AS n_next
+  FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+raw AS (
+  SELECT c.c_custkey AS account_id,
+    CAST(coalesce((1997 - year(first_order)) * 12 + 1 - month(first_order), 0) AS INTEGER) AS tenure,
+    CASE WHEN c.c_custkey % 97 = 0 THEN '  ' WHEN cents IS NULL THEN ' '
+      ELSE concat(CAST(cents // 100 AS VARCHAR), '.', lpad(CAST(cents % 100 AS VARCHAR), 2, '0')) END AS total_text,
+    CASE WHEN c.c_custkey % 53 = 0 THEN '   ' WHEN c.c_custkey % 47 = 0 THEN NULL
+      ELSE concat(' ', c_mktsegment, ' ') END AS segment_raw,
+    r_name AS region, c_acctbal AS acctbal,
+    CASE WHEN coalesce(n_next, 0) > 0 THEN 'No' ELSE 'Yes' END AS lapsed
+  FROM customer c LEFT JOIN per ON per.c_custkey = c.c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+CLEAN = RAW + """,
+clean AS (
+  SELECT account_id, acctbal, nullif(trim(lapsed), '') AS lapsed, nullif(trim(region), '') AS region,
+    nullif(trim(segment_raw), '') AS segment_raw, tenure,
+    CASE WHEN trim(total_text) <> '' THEN CAST(trim(total_text) AS DOUBLE) WHEN tenure = 0 THEN 0.0 END AS total_text,
+    CASE lapsed WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS y
+  FROM raw)"""
+ORACLE["accounts_raw"] = f"WITH {RAW} SELECT * FROM raw"
+CLEAN_COLS = "account_id, acctbal, lapsed, region, segment_raw, tenure, total_text"
+ORACLE["clean_accounts"] = f"WITH {CLEAN} SELECT {CLEAN_COLS} FROM clean"
+ORACLE["dataset_checks"] = f"""WITH {CLEAN},
+c AS (SELECT count(*) AS n, count(*) FILTER (lapsed IS NULL) AS missing, count(*) FILTER (lapsed NOT IN ('Yes', 'No')) AS odd FROM clean)
+SELECT 'not_empty' AS "check", n > 0 AS ok, CAST(0 AS BIGINT) AS bad_rows FROM c
+UNION ALL SELECT 'target_present', missing = 0, missing FROM c UNION ALL SELECT 'target_expected', odd = 0, odd FROM c"""
+ORACLE["label_encode"] = f"WITH {CLEAN} SELECT account_id, y FROM clean"
+ORACLE["complete_rows"] = (
+    f"WITH {CLEAN} SELECT {CLEAN_COLS} FROM clean WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in CLEAN_COLS.split(", "))
+)
+ORACLE["profile_shape"] = f"WITH {CLEAN} SELECT count(*) AS n_rows, 7 AS n_columns FROM clean"
+ORACLE["profile_missing"] = f"""WITH {CLEAN}, m AS (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS missing FROM clean""" for c in CLEAN_COLS.split(", ")
+) + ') SELECT * FROM m WHERE missing > 0'
+ORACLE["profile_duplicates"] = f"""WITH {CLEAN},
+g AS (SELECT count(*) AS n FROM clean GROUP BY lapsed, region, segment_raw, tenure, total_text)
+SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g"""
+ORACLE["profile_target"] = f"""WITH {CLEAN}
+SELECT lapsed AS value, count(*) AS "count", round(count(*) * 100.0 / (SELECT count(*) FROM clean), 2) AS percent FROM clean GROUP BY 1"""
+
+
+def numeric_line(c: str) -> str:
+    q = ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS {n}" for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
+    return (
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, """
+        f"CAST(min({c}) AS DOUBLE) AS min, {q}, CAST(max({c}) AS DOUBLE) AS max FROM clean"
+    )
+
+
+THREE = ["acctbal", "tenure", "total_text"]
+ORACLE["profile_numeric"] = f"WITH {CLEAN} " + " UNION ALL ".join(numeric_line(c) for c in THREE)
+ORACLE["profile_categorical"] = f"""WITH {SCORED},
+l AS (SELECT 'lang' AS "column", lang AS value FROM feat UNION ALL SELECT 'source', source FROM feat
+  UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM feat),
+c AS (SELECT "column", value, count(*) AS "count" FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY "count" DESC, value) AS INTEGER) AS rank,
+  count(*) OVER (PARTITION BY "column") AS n_values FROM c)
+SELECT "column", rank, value, "count", n_values, greatest(n_values - 10, 0) AS n_more FROM r WHERE rank <= 10"""
+ORACLE["profile_correlation"] = f"WITH {CLEAN} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM clean"
+    for a in THREE for b in THREE
+)
+ORACLE["profile_crosstab"] = f"""WITH {CLEAN}
+SELECT segment_raw AS value, round(100 - avg(y) * 100, 2) AS negative_pct, round(avg(y) * 100, 2) AS positive_pct
+FROM clean WHERE segment_raw IS NOT NULL GROUP BY 1"""
+
+# ------------------------------------------------------------ splits and folds
+
+
+def split_ctes(src: str, key: str) -> str:
+    """Exact two-stage stratified split by rank of the seeded key hash."""
+
+    def share(total: str, part: str, name: str, src_cte: str) -> str:
+        return f"""{name}_e AS (SELECT y, {part} AS k, floor({total} * CAST({part} AS DOUBLE) / nn) AS f,
+    {total} * CAST({part} AS DOUBLE) / nn - floor({total} * CAST({part} AS DOUBLE) / nn) AS r, {total} AS tt FROM {src_cte}),
+{name} AS (SELECT y, k, CAST(f + CASE WHEN row_number() OVER (ORDER BY r DESC, y) <= tt - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS m FROM {name}_e)"""
+
+    return f"""cls AS (SELECT y, count(*) AS k FROM {src} GROUP BY y),
+c1 AS (SELECT *, sum(k) OVER () AS nn, ceil(0.3 * sum(k) OVER ()) AS nt FROM cls),
+{share('nt', 'k', 'te', 'c1')},
+c2 AS (SELECT y, k - m AS k, sum(k - m) OVER () AS nn, ceil(0.3 * sum(k - m) OVER ()) AS nt FROM te),
+{share('nt', 'k', 'va', 'c2')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42-' || {key})) AS rn FROM {src}),
+splits AS (SELECT rk.*, CASE WHEN rn <= te.m THEN 'test' WHEN rn <= te.m + va.m THEN 'val' ELSE 'train' END AS split
+  FROM rk JOIN te ON te.y = rk.y JOIN va ON va.y = rk.y)"""
+
+
+A_SPLIT = f"{CLEAN}, {split_ctes('clean', 'account_id')}"
+D_SPLIT = f"{SCORED}, {split_ctes('scored', 'doc_id')}"
+FOLDS = f"""{SCORED},
+folds AS (SELECT *, CAST(ntile(5) OVER (PARTITION BY y ORDER BY md5('42-' || doc_id)) - 1 AS INTEGER) AS fold FROM scored)"""
+ORACLE["stratified_split"] = f"WITH {A_SPLIT} SELECT account_id, y, split FROM splits"
+ORACLE["split_report"] = f"""WITH {A_SPLIT}
+SELECT split, y, count(*) AS "count", round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY split), 2) AS percent FROM splits GROUP BY split, y"""
+ORACLE["stratified_folds"] = f"WITH {FOLDS} SELECT doc_id, y, fold FROM folds"
+ORACLE["leakage_audit"] = f"""WITH {A_SPLIT},
+k AS (SELECT account_id, count(*) AS n, min(split) AS lo, max(split) AS hi FROM splits GROUP BY 1),
+c AS (SELECT count(*) FILTER (n > 1) AS a, count(*) FILTER (lo <> hi) AS b, count(*) FILTER (lo IS NULL) AS c FROM k)
+SELECT 'repeated' AS "check", a = 0 AS ok, a AS bad_keys FROM c UNION ALL SELECT 'overlap', b = 0, b FROM c UNION ALL SELECT 'unassigned', c = 0, c FROM c"""
+ORACLE["sample_rows"] = f"WITH {CLEAN} SELECT account_id, tenure, y FROM clean ORDER BY md5('42-' || account_id) LIMIT 500"
+ORACLE["first_rows"] = f"WITH {SCORED} SELECT doc_id, p, y FROM scored ORDER BY doc_id LIMIT 200"
+
+
+def ranked_by(src: str, by: str) -> str:
+    return f"""d AS (SELECT {by}, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM {src} GROUP BY {by}, p),
+cum AS (SELECT *, CAST(sum(pos) OVER (PARTITION BY {by} ORDER BY p DESC) AS DOUBLE) AS cp, CAST(sum(neg) OVER (PARTITION BY {by} ORDER BY p DESC) AS DOUBLE) AS cn,
+  CAST(sum(pos) OVER (PARTITION BY {by}) AS DOUBLE) AS np, CAST(sum(neg) OVER (PARTITION BY {by}) AS DOUBLE) AS nn FROM d),
+ranks AS (SELECT {by}, sum(pos * (nn - cn + neg / 2.0)) / (max(np) * max(nn)) AS roc_auc, sum(pos / np * cp / (cp + cn)) AS average_precision FROM cum GROUP BY {by})"""
+
+
+ORACLE["fold_metrics"] = f"""WITH {FOLDS}, {ranked_by('folds', 'fold')},
+c AS (SELECT fold, count(*) FILTER (y = 0 AND p < 0.5) AS tn, count(*) FILTER (y = 0 AND p >= 0.5) AS fp,
+  count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 1 AND p >= 0.5) AS tp FROM folds GROUP BY fold),
+m AS (SELECT r.*, {RATES['accuracy']} AS accuracy, {RATES['precision']} AS precision, {RATES['recall']} AS recall, {RATES['f1']} AS f1
+  FROM ranks r JOIN c ON c.fold = r.fold)
+""" + " UNION ALL ".join(
+    f"SELECT '{x}' AS metric, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std FROM m"
+    for x in ("roc_auc", "average_precision", "accuracy", "precision", "recall", "f1")
+)
+ORACLE["generalisation_gap"] = f"WITH {D_SPLIT}, {ranked_by('splits', 'split')} " + " UNION ALL ".join(
+    f"""SELECT '{x}' AS metric, round(a.{x}, 6) AS train, round(b.{x}, 6) AS test, round(b.{x} - a.{x}, 6) AS gap
+FROM (SELECT * FROM ranks WHERE split = 'train') a, (SELECT * FROM ranks WHERE split = 'test') b"""
+    for x in ("roc_auc", "average_precision")
+)
+ORACLE["cost_on_test"] = f"""WITH {D_SPLIT},
+grid AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(1, 100) r(i)),
+counts AS ({counts('split, threshold', src='splits, grid')}),
+costs AS (SELECT *, CAST(fp * 10 + fn * 100 + tp * 10 AS DOUBLE) AS total_cost FROM counts),
+pick AS (SELECT threshold FROM costs WHERE split = 'train' ORDER BY total_cost, tp DESC, threshold LIMIT 1)
+SELECT threshold, tn, fp, fn, tp, total_cost, round(total_cost / (tn + fp + fn + tp), 6) AS average_cost
+FROM costs WHERE split = 'test' AND threshold = (SELECT threshold FROM pick)"""
+
+# ------------------------------------------------------------ feature preparation
+
+ORACLE["impute_median"] = f"WITH {CLEAN} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(median(CAST({c} AS DOUBLE)), 6) AS fill FROM clean""" for c in THREE
+)
+MODE = "(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+ORACLE["impute_mode"] = f"WITH {CLEAN} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {MODE.format(c=c, src='clean')} AS fill""" for c in ("region", "segment_raw")
+)
+IMPUTED = f"""{A_SPLIT},
+train AS (SELECT * FROM splits WHERE split = 'train'),
+imp AS (SELECT account_id, split, coalesce(total_text, (SELECT median(total_text) FROM train)) AS total_text,
+  coalesce(tenure, (SELECT median(tenure) FROM train)) AS tenure,
+  coalesce(segment_raw, {MODE.format(c='segment_raw', src='train')}) AS segment_raw,
+  coalesce(region, {MODE.format(c='region', src='train')}) AS region FROM splits)"""
+ORACLE["imputed_accounts"] = (
+    f"WITH {IMPUTED} SELECT account_id, split, round(total_text, 6) AS total_text, segment_raw FROM imp"
+)
+ORACLE["one_hot_long"] = f"""WITH {A_SPLIT}
+SELECT account_id, 'cat__region_' || region AS feature, CAST(1 AS DOUBLE) AS value FROM splits
+  WHERE region IN (SELECT region FROM splits WHERE split = 'train')
+UNION ALL SELECT account_id, 'cat__segment_raw_' || segment_raw, CAST(1 AS DOUBLE) FROM splits
+  WHERE segment_raw IN (SELECT segment_raw FROM splits WHERE split = 'train')"""
+ORACLE["encoded_means"] = f"""WITH {IMPUTED},
+n AS (SELECT split, count(*) AS n FROM imp GROUP BY 1),
+v AS (SELECT 'cat__region_' || region AS feature, 'region' AS c, region AS v FROM (SELECT DISTINCT region FROM splits WHERE split = 'train' AND region IS NOT NULL)
+  UNION ALL SELECT 'cat__segment_raw_' || segment_raw, 'segment_raw', segment_raw FROM (SELECT DISTINCT segment_raw FROM splits WHERE split = 'train' AND segment_raw IS NOT NULL))
+SELECT split, 'num__tenure' AS feature, round(avg(CAST(tenure AS DOUBLE)), 4) AS mean FROM imp GROUP BY 1
+UNION ALL SELECT split, 'num__total_text', round(avg(total_text), 4) FROM imp GROUP BY 1
+UNION ALL SELECT i.split, v.feature, round(avg(CASE WHEN CASE v.c WHEN 'region' THEN i.region ELSE i.segment_raw END = v.v THEN 1.0 ELSE 0.0 END), 4)
+  FROM imp i, v GROUP BY 1, 2"""
+ORACLE["class_weights"] = f"""WITH {CLEAN}
+SELECT y, round((SELECT count(*) FROM clean) / (2.0 * count(*)), 6) AS weight, round((SELECT count(*) FROM clean) / 2.0, 4) AS total_weight FROM clean GROUP BY y"""
+
+# ------------------------------------------------------------ data contract
+
+DOMAINS = {"region": ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"), "segment_raw": ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")}
+
+
+def violation_union(lenient: bool = False) -> str:
+    parts = [
+        ("tenure", "missing", "CAST(tenure AS VARCHAR)", "tenure IS NULL"),
+        ("tenure", "below_minimum", "CAST(tenure AS VARCHAR)", "tenure < 0"),
+        ("tenure", "above_maximum", "CAST(tenure AS VARCHAR)", "tenure > 20"),
+        ("acctbal", "missing", "CAST(acctbal AS VARCHAR)", "acctbal IS NULL"),
+        ("acctbal", "below_minimum", "CAST(acctbal AS VARCHAR)", "acctbal < 0"),
+        ("total_text", "missing", "total_text", "total_text IS NULL"),
+        ("total_text", "invalid", "total_text", "TRY_CAST(trim(total_text) AS DOUBLE) IS NULL"),
+        ("total_text", "below_minimum", "total_text", "TRY_CAST(trim(total_text) AS DOUBLE) < 0"),
+    ]
+    for c, domain in DOMAINS.items():
+        parts.append((c, "missing", f"trim({c})", f"{c} IS NULL OR trim({c}) = ''"))
+        if not lenient:
+            listed = ", ".join(f"'{d}'" for d in domain)
+            parts.append((c, "unknown_category", f"trim({c})", f"trim({c}) <> '' AND trim({c}) NOT IN ({listed})"))
+    body = " UNION ALL ".join(
+        f"""SELECT account_id, '{c}' AS "column", '{code}' AS code, {v} AS value FROM raw WHERE {cond}""" for c, code, v, cond in parts
+    )
+    return f"WITH {RAW}, v AS ({body})"
+
+
+ORACLE["contract_violations"] = f"{violation_union()} SELECT * FROM v"
+ORACLE["contract_summary"] = f'{violation_union()} SELECT "column", code, count(*) AS n FROM v GROUP BY 1, 2'
+ORACLE["contract_lenient"] = f'{violation_union(True)} SELECT "column", code, count(*) AS n FROM v GROUP BY 1, 2'
+ORACLE["contract_valid_rows"] = f"""{violation_union()}
+SELECT account_id, CAST(tenure AS DOUBLE) AS tenure, acctbal, CAST(trim(total_text) AS DOUBLE) AS total_text, trim(region) AS region, trim(segment_raw) AS segment_raw
+FROM raw WHERE account_id NOT IN (SELECT account_id FROM v)"""
+ORACLE["contract_quarantine"] = (
+    f"{violation_union()} SELECT account_id, CAST(count(*) AS INTEGER) AS n_errors FROM v GROUP BY 1"
+)
+ORACLE["contract_columns"] = """SELECT * FROM (VALUES ('account_id', 'passthrough'), ('tenure', 'ok'), ('total_text', 'ok'),
+  ('segment_raw', 'ok'), ('acctbal', 'ok'), ('lapsed', 'forbidden'), ('region', 'missing')) v("column", status)"""
+
+# ------------------------------------------------------------ telemetry
+
+EV = """ev AS (SELECT event_id, user_id, event_type, ts, event_type <> 'error' AS success, event_type = 'purchase' AS positive,
+  CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 3 = 0 THEN 'validation_error' WHEN event_id % 3 = 1 THEN 'artifact_load_error' ELSE 'unknown_error' END AS error_category FROM events)"""
+SUMMARY = """count(*) AS invocation_count, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count,
+  count(*) FILTER (error_category = 'validation_error') AS validation_failure_count,
+  count(*) FILTER (error_category = 'inference_error') AS inference_failure_count,
+  count(*) FILTER (error_category = 'artifact_integrity_error') AS artifact_integrity_failure_count,
+  count(*) FILTER (error_category = 'artifact_load_error') AS artifact_load_failure_count,
+  count(*) FILTER (success) AS total_predictions, count(*) FILTER (positive) AS positive_predictions,
+  count(*) FILTER (success AND NOT positive) AS negative_predictions"""
+ORACLE["telemetry_summary"] = f"WITH {EV} SELECT {SUMMARY} FROM ev"
+ORACLE["telemetry_by_type"] = f"WITH {EV} SELECT event_type, {SUMMARY} FROM ev GROUP BY event_type"
+ORACLE["telemetry_daily"] = f"WITH {EV} SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, {SUMMARY} FROM ev GROUP BY 1, 2"
+ORACLE["telemetry_stream"] = ORACLE["telemetry_daily"]
+ORACLE["telemetry_hourly"] = f"""WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS invocation_count,
+  count(*) FILTER (NOT success) AS failure_count, count(*) FILTER (success) AS total_predictions FROM ev GROUP BY 1"""
+ORACLE["invocation_numbers"] = (
+    "SELECT event_id, user_id AS collector, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS invocation_count FROM events"
+)
+ORACLE["events_json_lines"] = f"WITH {EV} SELECT event_type, error_category, {SUMMARY} FROM ev GROUP BY 1, 2"
+
+# ------------------------------------------------------------ sources and sinks
+
+ORACLE["threshold_csv"] = (
+    f"{sweep()}, {cost_scenarios([DEFAULT_COSTS])}, {COSTED} SELECT threshold, tn, fp, fn, tp, "
+    + rounded(["precision", "recall", "f1", "accuracy", "specificity", "npv", "total_cost", "average_cost", "cost_per_predicted"])
+    + " FROM costs"
+)
+ORACLE["csv_roundtrip"] = f"WITH {RAW} SELECT account_id, tenure, region, acctbal, lapsed FROM raw"
+ORACLE["split_tables"] = f"WITH {A_SPLIT} SELECT account_id, y FROM splits WHERE split = 'val'"
+ORACLE["dataset_manifest"] = """SELECT 'row_count' AS "check", CAST(count(*) AS VARCHAR) AS actual FROM customer UNION ALL SELECT 'column_count', '5'"""
+
+# ------------------------------------------------------------ attribution
+
+
+def attribution(weights: dict[str, float]) -> str:
+    body = " UNION ALL ".join(
+        f"SELECT doc_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, ({w}) * ({c} - (SELECT avg({c}) FROM scored)) AS contribution FROM scored"
+        for c, w in weights.items()
+    )
+    return f"WITH {SCORED}, attr AS ({body})"
+
+
+PINNED = attribution(DOC_WEIGHTS)
+ORACLE["linear_attribution"] = (
+    f"{PINNED} SELECT doc_id, feature, round(value, 6) AS value, round(contribution, 6) AS contribution FROM attr"
+)
+ORACLE["global_importance"] = (
+    f"{PINNED} SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs, round(avg(contribution), 6) + 0.0 AS mean_signed FROM attr GROUP BY 1"
+)
+ORACLE["grouped_importance"] = f"""{attribution({'dw': -11.06, 'log_chars': -0.50, 'n_chars': 0.0001})},
+r AS (SELECT doc_id, CASE feature WHEN 'dw' THEN 'words' ELSE 'length' END AS original_feature, sum(abs(contribution)) AS a, sum(contribution) AS s,
+  count(*) AS c FROM attr GROUP BY 1, 2)
+SELECT original_feature, round(avg(a), 6) AS mean_abs, round(avg(s), 6) + 0.0 AS mean_signed, max(c) AS n_columns FROM r GROUP BY 1"""
+ORACLE["local_top_contributors"] = f"""{PINNED},
+s AS (SELECT *, CASE WHEN contribution > 0 THEN 'positive' ELSE 'negative' END AS direction FROM attr WHERE contribution <> 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, direction ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank FROM s)
+SELECT doc_id, direction, rank, feature, round(contribution, 6) AS contribution FROM r WHERE rank = 1"""
+ORACLE["outcome_examples"] = f"""WITH {OUT},
+k AS (SELECT outcome, min(doc_id) AS doc_id FROM o GROUP BY 1)
+SELECT n.outcome, k.doc_id, scored.p FROM (VALUES ('TN'), ('FP'), ('FN'), ('TP')) n(outcome)
+LEFT JOIN k ON k.outcome = n.outcome LEFT JOIN scored ON scored.doc_id = k.doc_id"""
+
+# ------------------------------------------------------------ models and calibration
+
+ORACLE["prior_baseline"] = f"""WITH {FOLDS}
+SELECT f.fold, round(avg(CAST(t.y AS DOUBLE)), 6) AS p, round(avg(CAST(t.y AS DOUBLE)), 6) AS p_min
+FROM (SELECT DISTINCT fold FROM folds) f JOIN folds t ON t.fold <> f.fold GROUP BY 1"""
+
+
+def newton(features: list[str], penalty: float, groups: str, cells: str = "cells", steps: int = 14) -> str:
+    """CTEs of an L2-penalised logistic fit (free intercept) per left-out group, by Newton steps.
+
+    ``groups`` has column g; ``cells`` has columns fold, y, w and the features.
+    """
+    f = ["1.0", *[f"c.{x}" for x in features]]
+    k = len(f)
+    z = " + ".join(f"b{a} * {f[a]}" for a in range(k))
+    out = [f"n0 AS (SELECT g, {', '.join(f'CAST(0 AS DOUBLE) AS b{a}' for a in range(k))} FROM ({groups}))"]
+    beta = ", ".join(f"b{a}" for a in range(k))
+    for t in range(steps):
+        mu = f"1 / (1 + exp(-({z})))"
+        grad = ", ".join(
+            f"sum(w * (mu - y) * x{a}) + {penalty if a else 0.0} * b{a} AS g{a}" for a in range(k)
+        )
+        hess = ", ".join(
+            f"sum(w * mu * (1 - mu) * x{a} * x{b}) + {penalty if a == b and a else 0.0} AS h{a}{b}"
+            for a in range(k) for b in range(a, k)
+        )
+        xs = ", ".join(f"{f[a]} AS x{a}" for a in range(k))
+        out.append(
+            f"s{t} AS (SELECT g, {beta}, {grad}, {hess} FROM (SELECT p.*, c.y, c.w, {xs}, {mu} AS mu "
+            f"FROM n{t} p JOIN {cells} c ON c.fold <> p.g) GROUP BY g, {beta})"
+        )
+        if k == 2:
+            det = "(h00 * h11 - h01 * h01)"
+            step = [f"(h11 * g0 - h01 * g1) / {det}", f"(h00 * g1 - h01 * g0) / {det}"]
+        else:
+            det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+            inv = {
+                "00": "(h11 * h22 - h12 * h12)", "01": "(h02 * h12 - h01 * h22)", "02": "(h01 * h12 - h02 * h11)",
+                "11": "(h00 * h22 - h02 * h02)", "12": "(h01 * h02 - h00 * h12)", "22": "(h00 * h11 - h01 * h01)",
+            }
+            step = [
+                "(" + " + ".join(f"{inv[''.join(sorted(f'{a}{b}'))]} * g{b}" for b in range(3)) + f") / {det}"
+                for a in range(3)
+            ]
+        out.append(f"n{t + 1} AS (SELECT g, {', '.join(f'b{a} - {step[a]} AS b{a}' for a in range(k))} FROM s{t})")
+    out.append(f"fit AS (SELECT * FROM n{steps})")
+    return ", ".join(out)
+
+
+TWO_FEATURES = "cells AS (SELECT fold, y, 1.0 AS w, dw, log_chars FROM folds)"
+ORACLE["logistic_coefficients"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g')},
+c AS (SELECT 'num__dw' AS feature, b1 AS v FROM fit UNION ALL SELECT 'num__log_chars', b2 FROM fit)
+SELECT feature, round(v, 3) AS coefficient, CASE WHEN v > 0 THEN 'increases' ELSE 'decreases' END AS direction,
+  CAST(row_number() OVER (ORDER BY abs(v) DESC) AS INTEGER) AS rank FROM c"""
+ORACLE["oof_logistic"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT DISTINCT fold AS g FROM folds')}
+SELECT doc_id, y, fold, round(1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))), 4) AS p FROM folds JOIN fit ON g = fold"""
+Z = "ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6)))"
+LOGITS = f"cells AS (SELECT fold, y, 1.0 AS w, {Z} AS z FROM folds)"
+ORACLE["sigmoid_calibration"] = f"""WITH {FOLDS}, {LOGITS}, {newton(['z'], 1.0, 'SELECT -1 AS g')}
+SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 4) AS p FROM folds, fit"""
+GRIDDED = FOLDS.replace("folds AS (SELECT *,", "folds AS (SELECT * REPLACE (round(p, 2) AS p),")
+
+
+def isotonic(groups: str) -> str:
+    """CTEs of the min-max form of isotonic regression per left-out group."""
+    return f"""pts AS (SELECT g, p, CAST(sum(y) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM ({groups}) JOIN folds ON fold <> g GROUP BY g, p),
+pre AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p) AS i, sum(s) OVER (PARTITION BY g ORDER BY p) AS cs, sum(n) OVER (PARTITION BY g ORDER BY p) AS cn FROM pts),
+blk AS (SELECT a.g, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM pre a JOIN pre b ON a.g = b.g AND b.i >= a.i),
+low AS (SELECT x.g, x.i, b.j, min(b.m) AS m FROM pre x JOIN blk b ON b.g = x.g AND b.j <= x.i AND b.k >= x.i GROUP BY 1, 2, 3),
+iso AS (SELECT l.g, pre.p, max(l.m) AS v FROM low l JOIN pre ON pre.g = l.g AND pre.i = l.i GROUP BY 1, 2)"""
+
+
+ORACLE["isotonic_calibration"] = f"""WITH {GRIDDED}, {isotonic('SELECT -1 AS g')}
+SELECT doc_id, y, round(v, 6) AS p FROM folds JOIN iso ON iso.p = folds.p"""
+CROSSED = f"""{GRIDDED}, {isotonic('SELECT DISTINCT fold AS g FROM folds')},
+{LOGITS}, {newton(['z'], 1.0, 'SELECT DISTINCT fold AS g FROM folds')},
+near AS (SELECT f.doc_id, f.fold, f.y, f.p, max(i.p) FILTER (i.p <= f.p) AS lo, min(i.p) FILTER (i.p >= f.p) AS hi
+  FROM folds f JOIN iso i ON i.g = f.fold GROUP BY 1, 2, 3, 4),
+held AS (SELECT n.fold, n.y, CASE WHEN n.lo IS NULL THEN b.v WHEN n.hi IS NULL OR n.hi = n.lo THEN a.v
+    ELSE a.v + (b.v - a.v) * (n.p - n.lo) / (n.hi - n.lo) END AS p
+  FROM near n LEFT JOIN iso a ON a.g = n.fold AND a.p = n.lo LEFT JOIN iso b ON b.g = n.fold AND b.p = n.hi),
+crossed AS (SELECT 'baseline' AS method, fold, y, p FROM folds
+  UNION ALL SELECT 'isotonic', fold, y, round(p, 9) FROM held
+  UNION ALL SELECT 'sigmoid', fold, y, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 9) FROM folds JOIN fit ON g = fold),
+{ranked_by('crossed', 'method, fold')},
+losses AS (SELECT method, fold, avg(CASE WHEN y = 1 THEN -ln(greatest(least(p, 1 - pow(2.0, -52)), pow(2.0, -52)))
+    ELSE -ln(1 - greatest(least(p, 1 - pow(2.0, -52)), pow(2.0, -52))) END) AS log_loss, avg((p - y) * (p - y)) AS brier FROM crossed GROUP BY 1, 2),
+tab AS (SELECT l.method, avg(log_loss) AS log_loss, avg(brier) AS brier, avg(roc_auc) AS roc_auc, avg(average_precision) AS average_precision
+  FROM losses l JOIN ranks r ON r.method = l.method AND r.fold = l.fold GROUP BY 1)"""
+ORACLE["calibration_metrics"] = f"WITH {CROSSED} SELECT method, {rounded(['log_loss', 'brier', 'roc_auc', 'average_precision'], 3)} FROM tab"
+ORACLE["calibration_choice"] = f"""WITH {CROSSED},
+w AS (SELECT s.log_loss - i.log_loss AS ll, s.brier - i.brier AS br FROM (SELECT * FROM tab WHERE method = 'sigmoid') s, (SELECT * FROM tab WHERE method = 'isotonic') i)
+SELECT CASE WHEN abs(ll) > 1e-4 THEN CASE WHEN ll < 0 THEN 'sigmoid' ELSE 'isotonic' END
+  WHEN abs(br) > 1e-4 THEN CASE WHEN br < 0 THEN 'sigmoid' ELSE 'isotonic' END ELSE 'sigmoid' END AS selected_method,
+  CASE WHEN abs(ll) > 1e-4 THEN 'log_loss' WHEN abs(br) > 1e-4 THEN 'brier' ELSE 'tie_break_prefer_sigmoid' END AS decision_rule FROM w"""
+ORACLE["calibrated_threshold"] = f"""WITH {GRIDDED}, {isotonic('SELECT -1 AS g')},
+cal AS (SELECT folds.y, round(iso.v, 9) AS q FROM folds JOIN iso ON iso.p = folds.p),
+grid AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(1, 100) r(i)),
+c AS ({counts('threshold', p='q', src='cal, grid')})
+SELECT threshold, CAST(fp * 10 + fn * 100 + tp * 10 AS DOUBLE) AS total_cost, tn, fp, fn, tp FROM c
+ORDER BY total_cost, tp DESC, threshold LIMIT 1"""

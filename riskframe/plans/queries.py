@@ -6,14 +6,34 @@ compared with another engine; the rounding is not part of any operator.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_doubles
-from ..operators import cost, errors, metrics, thresholds
-from ..sources import views
+from ..operators import (
+    calibrate,
+    clean,
+    contract,
+    cost,
+    errors,
+    explain,
+    features,
+    metrics,
+    models,
+    profile,
+    split,
+    telemetry,
+    thresholds,
+)
+from ..session import shared_dir
+from ..sources import files, views
+from ..streaming import telemetry as stream_telemetry
+from . import jobs
 from ..spec import (
     COARSE_GRID,
     COST_SCENARIOS,
@@ -240,3 +260,466 @@ def error_numeric(spark, sf):
 @query
 def hard_cases(spark, sf):
     return errors.hard_cases(views.scored_documents(spark, sf), DOC_THRESHOLD)
+
+
+# ------------------------------------------------------------ cleaning and profiling
+
+RAW_NUMERIC = ["acctbal", "tenure"]
+ACCOUNT_CATEGORIES = ["region", "segment_raw"]
+
+
+def clean_table(spark, sf, drop=()):
+    return clean.clean(
+        views.accounts(spark, sf), ["total_text"], {"total_text": "tenure"}, drop=drop
+    )
+
+
+def labelled_accounts(spark, sf):
+    return clean.with_label(clean_table(spark, sf), "lapsed")
+
+
+@query
+def accounts_raw(spark, sf):
+    return views.accounts(spark, sf)
+
+
+@query
+def clean_accounts(spark, sf):
+    return clean_table(spark, sf)
+
+
+@query
+def dataset_checks(spark, sf):
+    return clean.dataset_checks(clean_table(spark, sf), "lapsed")
+
+
+@query
+def label_encode(spark, sf):
+    return labelled_accounts(spark, sf).select("account_id", "y")
+
+
+@query
+def complete_rows(spark, sf):
+    return clean.complete_rows(clean_table(spark, sf))
+
+
+@query
+def profile_shape(spark, sf):
+    return profile.shape(clean_table(spark, sf))
+
+
+@query
+def profile_missing(spark, sf):
+    return profile.missing_counts(clean_table(spark, sf))
+
+
+@query
+def profile_duplicates(spark, sf):
+    return profile.duplicate_rows(clean_table(spark, sf, drop=["account_id", "acctbal"]))
+
+
+@query
+def profile_target(spark, sf):
+    return profile.value_share(clean_table(spark, sf), "lapsed")
+
+
+@query
+def profile_numeric(spark, sf):
+    return profile.describe_numeric(clean_table(spark, sf), ["acctbal", "tenure", "total_text"])
+
+
+@query
+def profile_categorical(spark, sf):
+    return profile.categorical_values(
+        views.documents_with_features(spark, sf).withColumn("n_chars", F.col("n_chars").cast("string")),
+        ["lang", "source", "n_chars"],
+    )
+
+
+@query
+def profile_correlation(spark, sf):
+    return profile.correlation(clean_table(spark, sf), ["acctbal", "tenure", "total_text"])
+
+
+@query
+def profile_crosstab(spark, sf):
+    return profile.row_percent(labelled_accounts(spark, sf), "segment_raw", "y")
+
+
+# ------------------------------------------------------------ splits, folds, samples
+
+
+def split_accounts(spark, sf):
+    return split.stratified_split(labelled_accounts(spark, sf), "account_id", "y")
+
+
+def folded_documents(spark, sf, k=5):
+    return split.stratified_folds(views.scored_documents(spark, sf), "doc_id", "y", k)
+
+
+@query
+def stratified_split(spark, sf):
+    return split_accounts(spark, sf).select("account_id", "y", "split")
+
+
+@query
+def split_report(spark, sf):
+    return split.split_report(split_accounts(spark, sf), "y")
+
+
+@query
+def stratified_folds(spark, sf):
+    return folded_documents(spark, sf).select("doc_id", "y", "fold")
+
+
+@query
+def leakage_audit(spark, sf):
+    return split.leakage_audit(split_accounts(spark, sf), "account_id")
+
+
+@query
+def sample_rows(spark, sf):
+    return split.sample_rows(labelled_accounts(spark, sf).select("account_id", "tenure", "y"), "account_id", 500)
+
+
+@query
+def first_rows(spark, sf):
+    return split.first_rows(views.scored_documents(spark, sf).select("doc_id", "p", "y"), ["doc_id"], 200)
+
+
+@query
+def fold_metrics(spark, sf):
+    folded = folded_documents(spark, sf)
+    return metrics.mean_and_std(metrics.six_metrics(folded, ["fold"]), models.SIX)
+
+
+@query
+def generalisation_gap(spark, sf):
+    scored = split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y")
+    found = metrics.rank_metrics(scored, ["split"])
+    return metrics.metric_gap(found, "split", "train", "test", ["roc_auc", "average_precision"])
+
+
+@query
+def cost_on_test(spark, sf):
+    scored = split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y")
+    threshold = jobs.choose_threshold(scored.where(F.col("split") == "train"))
+    return jobs.cost_at(scored.where(F.col("split") == "test"), threshold).select(
+        "threshold", "tn", "fp", "fn", "tp", "total_cost", "average_cost"
+    )
+
+
+# ------------------------------------------------------------ feature preparation
+
+
+@query
+def impute_median(spark, sf):
+    return features.fit_medians(clean_table(spark, sf), ["acctbal", "tenure", "total_text"])
+
+
+@query
+def impute_mode(spark, sf):
+    return features.fit_modes(clean_table(spark, sf), ACCOUNT_CATEGORIES)
+
+
+@query
+def imputed_accounts(spark, sf):
+    table = split_accounts(spark, sf)
+    train = table.where(F.col("split") == "train")
+    fills = {r["column"]: r["fill"] for r in features.fit_medians(train, ["total_text"]).collect()}
+    fills |= {r["column"]: r["fill"] for r in features.fit_modes(train, ["segment_raw"]).collect()}
+    return features.imputed(table, fills).select("account_id", "split", "total_text", "segment_raw")
+
+
+@query
+def one_hot_long(spark, sf):
+    table = split_accounts(spark, sf)
+    fitted = features.TablePreprocessor([], ACCOUNT_CATEGORIES).fit(table.where(F.col("split") == "train"))
+    return features.one_hot_long(
+        table, "account_id", ACCOUNT_CATEGORIES, features.category_domains(fitted)
+    ).where("value = 1")
+
+
+@query
+def encoded_means(spark, sf):
+    table = split_accounts(spark, sf)
+    fitted = features.TablePreprocessor(["tenure", "total_text"], ACCOUNT_CATEGORIES).fit(
+        table.where(F.col("split") == "train")
+    )
+    names = features.feature_names(fitted)
+    vectors = fitted.transform(table).select("split", vector_to_array("features").alias("x"))
+    cells = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("x"))
+    return (
+        vectors.select("split", F.explode(cells).alias("c"))
+        .groupBy("split", F.col("c")["feature"].alias("feature"))
+        .agg(F.round(F.avg(F.col("c")["x"]), 4).alias("mean"))
+    )
+
+
+@query
+def class_weights(spark, sf):
+    table = labelled_accounts(spark, sf)
+    weighted = features.with_class_weight(table, "y", features.class_weights(table, "y"))
+    return weighted.groupBy("y").agg(
+        F.max("weight").alias("weight"), F.round(F.sum("weight"), 4).alias("total_weight")
+    )
+
+
+# ------------------------------------------------------------ data contract
+
+ACCOUNT_CONTRACT = contract.Contract(
+    numeric={
+        "tenure": contract.NumericRule("int", 0, 20),
+        "acctbal": contract.NumericRule("float", 0.0),
+        "total_text": contract.NumericRule("float", 0.0),
+    },
+    categorical={
+        "region": ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"),
+        "segment_raw": ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"),
+    },
+    forbidden=("lapsed",),
+    passthrough=("account_id",),
+)
+
+
+def contract_input(spark, sf):
+    return views.accounts(spark, sf).drop("lapsed")
+
+
+@query
+def contract_violations(spark, sf):
+    checked = ACCOUNT_CONTRACT.check(contract_input(spark, sf))
+    return contract.violations(checked, ["account_id"])
+
+
+@query
+def contract_summary(spark, sf):
+    return contract.violation_summary(ACCOUNT_CONTRACT.check(contract_input(spark, sf)))
+
+
+@query
+def contract_lenient(spark, sf):
+    lenient = replace(ACCOUNT_CONTRACT, allow_unknown=True)
+    return contract.violation_summary(lenient.check(contract_input(spark, sf)))
+
+
+@query
+def contract_valid_rows(spark, sf):
+    return ACCOUNT_CONTRACT.split(contract_input(spark, sf))[0]
+
+
+@query
+def contract_quarantine(spark, sf):
+    rejected = ACCOUNT_CONTRACT.split(contract_input(spark, sf))[1]
+    return rejected.select("account_id", F.size(contract.ERRORS).alias("n_errors"))
+
+
+@query
+def contract_columns(spark, sf):
+    return ACCOUNT_CONTRACT.column_report(views.accounts(spark, sf).drop("region"))
+
+
+# ------------------------------------------------------------ telemetry
+
+
+@query
+def telemetry_summary(spark, sf):
+    return telemetry.telemetry_summary(views.scoring_events(spark, sf))
+
+
+@query
+def telemetry_by_type(spark, sf):
+    return telemetry.telemetry_summary(views.scoring_events(spark, sf), ["event_type"])
+
+
+@query
+def telemetry_daily(spark, sf):
+    out = telemetry.telemetry_summary(views.scoring_events(spark, sf), ["event_type"], "1 day")
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
+
+
+@query
+def telemetry_hourly(spark, sf):
+    out = telemetry.telemetry_summary(views.scoring_events(spark, sf), window="1 hour")
+    return out.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"),
+        "invocation_count", "failure_count", "total_predictions",
+    )
+
+
+@query
+def telemetry_stream(spark, sf):
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = views.as_scoring_events(arriving)
+    stream_telemetry.run_windowed_telemetry(events, f"{run}/out", f"{run}/checkpoint")
+    out = spark.read.parquet(f"{run}/out")
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
+
+
+@query
+def invocation_numbers(spark, sf):
+    events = views.scoring_events(spark, sf).select("event_id", "collector", "timestamp")
+    return telemetry.with_invocation_number(events, "collector", ["timestamp", "event_id"]).drop("timestamp")
+
+
+@query
+def events_json_lines(spark, sf):
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    names = telemetry.EVENT_SCHEMA.fieldNames()
+    files.append_events(views.scoring_events(spark, sf).select(*names), path)
+    return telemetry.telemetry_summary(files.read_events(spark, path), ["event_type", "error_category"])
+
+
+# ------------------------------------------------------------ sources and sinks
+
+
+@query
+def threshold_csv(spark, sf):
+    path = f"{shared_dir(spark)}/thresholds-{uuid.uuid4().hex}"
+    costed = cost.with_costs(thresholds.threshold_sweep(views.scored_documents(spark, sf)), [DEFAULT_COSTS])
+    files.write_threshold_csv(costed, path)
+    schema = ", ".join(
+        f"{c} {'bigint' if d is None else 'double'}" for c, d in files.THRESHOLD_COLUMNS.items()
+    )
+    return files.read_csv(spark, path, spark.createDataFrame([], schema).schema)
+
+
+@query
+def csv_roundtrip(spark, sf):
+    path = f"{shared_dir(spark)}/accounts-{uuid.uuid4().hex}.csv"
+    raw = views.accounts(spark, sf).select("account_id", "tenure", "region", "acctbal", "lapsed")
+    raw.write.option("header", True).csv(path)
+    return files.read_table(spark, path, raw.schema)
+
+
+@query
+def split_tables(spark, sf):
+    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    files.write_splits(split_accounts(spark, sf).select("account_id", "y", "split"), path)
+    return files.read_split(spark, path, "val").select("account_id", "y")
+
+
+@query
+def dataset_manifest(spark, sf):
+    table = views.table(spark, sf, "customer")
+    return files.manifest_report(table, rows=1500, columns=5).select("check", "actual")
+
+
+# ------------------------------------------------------------ attribution
+
+SPREAD = {"dw": "words", "log_chars": "length"}
+
+
+def pinned_attribution(spark, sf):
+    scored = views.scored_documents(spark, sf)
+    means = explain.column_means(scored, list(views.DOC_WEIGHTS))
+    return explain.linear_attribution(scored, ["doc_id"], views.DOC_WEIGHTS, means)
+
+
+@query
+def linear_attribution(spark, sf):
+    return pinned_attribution(spark, sf)
+
+
+@query
+def global_importance(spark, sf):
+    return explain.global_importance(pinned_attribution(spark, sf))
+
+
+@query
+def grouped_importance(spark, sf):
+    scored = views.scored_documents(spark, sf)
+    weights = {"dw": -11.06, "log_chars": -0.50, "n_chars": 0.0001}
+    attr = explain.linear_attribution(
+        scored, ["doc_id"], weights, explain.column_means(scored, list(weights))
+    )
+    return explain.grouped_importance(attr, {"dw": "words", "log_chars": "length", "n_chars": "length"})
+
+
+@query
+def local_top_contributors(spark, sf):
+    return explain.top_contributors(pinned_attribution(spark, sf), ["doc_id"], 1).select(
+        "doc_id", "direction", "rank", "feature", "contribution"
+    )
+
+
+@query
+def outcome_examples(spark, sf):
+    return explain.examples(views.scored_documents(spark, sf), DOC_THRESHOLD, "doc_id")
+
+
+# ------------------------------------------------------------ models and calibration
+
+MODEL_NUMERIC = ["dw", "log_chars"]
+
+
+@query
+def prior_baseline(spark, sf):
+    folded = folded_documents(spark, sf)
+    scored = models.oof_scores(folded, models.risk_pipeline(MODEL_NUMERIC, kind="prior"), 5, keep=["y", "fold"])
+    return scored.groupBy("fold").agg(F.max("p").alias("p"), F.min("p").alias("p_min"))
+
+
+@query
+def logistic_coefficients(spark, sf):
+    fitted = models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0).fit(views.scored_documents(spark, sf))
+    table = models.coefficient_table(fitted)
+    return table.select("feature", F.round("coefficient", 3).alias("coefficient"), "direction", "rank")
+
+
+@query
+def oof_logistic(spark, sf):
+    folded = folded_documents(spark, sf)
+    scored = models.oof_scores(
+        folded, models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0), 5, keep=["doc_id", "y", "fold"]
+    )
+    return scored.withColumn("p", F.round("p", 4))
+
+
+@query
+def sigmoid_calibration(spark, sf):
+    scored = views.scored_documents(spark, sf).select("doc_id", "p")
+    fitted = calibrate.fit_calibrator(views.scored_documents(spark, sf), "sigmoid")
+    return calibrate.apply_calibrator(scored, fitted).withColumn("p", F.round("p", 4))
+
+
+def gridded_documents(spark, sf):
+    return folded_documents(spark, sf).withColumn("p", F.round("p", 2))
+
+
+@query
+def isotonic_calibration(spark, sf):
+    scored = gridded_documents(spark, sf).select("doc_id", "y", "p")
+    fitted = calibrate.fit_calibrator(scored, "isotonic")
+    return calibrate.apply_calibrator(scored, fitted)
+
+
+@query
+def calibration_metrics(spark, sf):
+    crossed = calibrate.cross_fit_calibration(gridded_documents(spark, sf), "fold", 5)
+    # nine decimals so that equal block means stay equal in every engine
+    per_fold = calibrate.calibration_fold_metrics(crossed.withColumn("p", F.round("p", 9)))
+    table = calibrate.calibration_table(per_fold)
+    return table.select(
+        "method", *[F.round(c, 3).alias(c) for c in ("log_loss", "brier", "roc_auc", "average_precision")]
+    )
+
+
+@query
+def calibration_choice(spark, sf):
+    crossed = calibrate.cross_fit_calibration(gridded_documents(spark, sf), "fold", 5)
+    table = calibrate.calibration_table(calibrate.calibration_fold_metrics(crossed))
+    return calibrate.select_calibration(table).select("selected_method", "decision_rule")
+
+
+@query
+def calibrated_threshold(spark, sf):
+    scored = gridded_documents(spark, sf).select("doc_id", "y", "p")
+    fitted = calibrate.fit_calibrator(scored, "isotonic")
+    calibrated = calibrate.apply_calibrator(scored, fitted).withColumn("p", F.round("p", 9))
+    best = cost.cheapest_threshold(
+        cost.with_costs(thresholds.threshold_sweep(calibrated), [DEFAULT_COSTS])
+    )
+    return best.select("threshold", "total_cost", "tn", "fp", "fn", "tp")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,3 +65,18 @@ def require_small(rows: list, what: str, limit: int = MAX_LITERAL_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has {len(rows)} rows, more than the limit of {limit}")
     return rows
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Needed only by the operators that run Python in tasks; a job submitted with
+    ``--py-files`` has it already and loses nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_riskframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="riskframe-"), "riskframe")
+    sc.addPyFile(shutil.make_archive(target, "zip", root, "riskframe"))
+    sc._riskframe_shipped = True

@@ -119,21 +119,24 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scoring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table read as scoring telemetry: errors are failures, purchases positives."""
+def as_scoring_events(events: DataFrame) -> DataFrame:
+    """Click-stream events read as scoring telemetry: errors are failures, purchases positives."""
     kind = F.col("event_type")
     ok = kind != "error"
-    category = F.when(ok, F.lit(None).cast("string")).when(
-        F.col("event_id") % 3 == 0, "validation_error"
-    ).when(F.col("event_id") % 3 == 1, "artifact_load_error").otherwise("unknown_error")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id"),
+    category = (
+        F.when(ok, F.lit(None).cast("string"))
+        .when(F.col("event_id") % 3 == 0, "validation_error")
+        .when(F.col("event_id") % 3 == 1, "artifact_load_error")
+        .otherwise("unknown_error")
+    )
+    return events.select(
+        "event_id",
         F.col("user_id").alias("collector"),
         kind.alias("event_type"),
         F.col("ts").cast("timestamp").alias("timestamp"),
-        ok.cast("int").cast("bigint").alias("prediction_count"),
-        (kind == "purchase").cast("int").cast("bigint").alias("positive_predictions"),
-        (ok & (kind != "purchase")).cast("int").cast("bigint").alias("negative_predictions"),
+        ok.cast("bigint").alias("prediction_count"),
+        (kind == "purchase").cast("bigint").alias("positive_predictions"),
+        (ok & (kind != "purchase")).cast("bigint").alias("negative_predictions"),
         F.col("value").alias("latency_ms"),
         F.lit(0.1).alias("threshold"),
         F.lit(None).cast("string").alias("model_artifact_hash"),
@@ -141,3 +144,7 @@ def scoring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         category.alias("error_category"),
         F.lit(1).cast("bigint").alias("batch_size"),
     )
+
+
+def scoring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_scoring_events(table(spark, sf_dir, "events"))
