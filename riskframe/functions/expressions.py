@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -96,9 +97,31 @@ def checked_p(p: Column) -> Column:
     )
 
 
+def sql_literal(v) -> str:
+    """A Python value as SQL text."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool) or v is None:
+        return {True: "true", False: "false", None: "NULL"}[v]
+    if isinstance(v, float):
+        if math.isfinite(v):
+            return f"{v!r}D"
+        return f"double('{v}')"
+    return str(int(v))
+
+
+def literal_array(values: Iterable) -> Column:
+    """Driver-side values as one array expression (parsed once, not built value by value)."""
+    return F.expr(f"array({', '.join(sql_literal(v) for v in values)})")
+
+
 def struct_array(rows: Iterable[dict]) -> Column:
     """Driver-side rows as an array-of-struct literal, to be exploded in place of a join."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
+    structs = [
+        f"named_struct({', '.join(f'{sql_literal(k)}, {sql_literal(v)}' for k, v in r.items())})"
+        for r in rows
+    ]
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def round_doubles(df, places: int = 6):

@@ -20,6 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expressions import literal_array
 from ..session import MAX_LITERAL_ROWS, require_small
 
 HEX_DIGITS = 3
@@ -35,7 +36,7 @@ def value_range_cuts(df: DataFrame, column: str, ranges: int | None = None) -> l
     ranges = min(ranges, 8192)
     probs = [i / ranges for i in range(1, ranges)]
     row = df.agg(
-        F.percentile_approx(column, probs, max(10_000, 10 * ranges)).alias("cuts")
+        F.percentile_approx(column, probs, max(2_000, 10 * ranges)).alias("cuts")
     ).first()
     return sorted(set(row["cuts"] or []))
 
@@ -81,7 +82,8 @@ def running_totals(
     if not by:
         # at most len(cuts) + 1 rows, a number fixed by the list of cut points
         offsets = F.broadcast(offsets)
-    cond = F.col("_range") == F.col("_r")
+    # null-safe equality adds no null filter, so both branches share one exchange
+    cond = F.col("_range").eqNullSafe(F.col("_r"))
     for i, b in enumerate(by):
         cond = cond & F.col(b).eqNullSafe(F.col(f"_b{i}"))
     inside = (
@@ -215,12 +217,14 @@ def exact_quantiles(
     probs: Sequence[float],
     groups: int,
     accuracy: int = 100_000,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row ``(*group, prob, quantile)`` per probability.
+    """Linearly interpolated quantiles: ``(*group, prob, quantile, n_values)``.
 
     ``groups`` is the caller's proven bound on the number of group values (column names,
     outcome labels); it is checked because the bounds of all groups are broadcast. NULL and
-    NaN values are left out. The Greenwald-Khanna summary gives, per group and probability,
+    NaN values are left out; ``extra`` adds plain aggregates of the value column (named
+    ``_v``) that ride along in the first pass. The Greenwald-Khanna summary gives, per group and probability,
     two bounds whose rank error is proven; values between the bounds are counted exactly,
     values below only as one number.
     """
@@ -237,19 +241,23 @@ def exact_quantiles(
     bounds = clean.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", lows + highs, accuracy).alias("_q"),
+        *[e.alias(n) for n, e in (extra or {}).items()],
     )
     k = len(probs)
+    carried = list(extra or {})
     per_prob = bounds.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         "_n",
-        F.posexplode(F.array(*[F.lit(float(q)) for q in probs])).alias("_i", "prob"),
+        F.posexplode(literal_array([float(q) for q in probs])).alias("_i", "prob"),
         "_q",
+        *carried,
     ).select(
         *[f"_g{i}" for i in range(len(group))],
         "_n",
         "prob",
         F.element_at("_q", F.col("_i") + 1).alias("_lo"),
         F.element_at("_q", F.col("_i") + 1 + k).alias("_hi"),
+        *carried,
     )
     cond = F.lit(True)
     for i, g in enumerate(group):
@@ -261,12 +269,13 @@ def exact_quantiles(
             *[f"_g{i}" for i in range(len(group))],
             "prob",
             "_n",
+            *carried,
             F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"),
         )
-        .groupBy(*[f"_g{i}" for i in range(len(group))], "prob", "_n", "_v")
+        .groupBy(*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried, "_v")
         .count()
     )
-    keys = [*[f"_g{i}" for i in range(len(group))], "prob", "_n"]
+    keys = [*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried]
     w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
     position = (F.col("_n") - 1) * F.col("prob")
     left, right = F.floor(position), F.ceil(position)
@@ -285,4 +294,6 @@ def exact_quantiles(
         )
         .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
         .alias("quantile"),
+        F.col("_n").alias("n_values"),
+        *carried,
     )

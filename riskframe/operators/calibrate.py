@@ -144,7 +144,7 @@ def cross_fit_calibration(
     scored: DataFrame, fold: str, k: int, methods: Sequence[str] = METHODS
 ) -> DataFrame:
     """Held-out calibrated rows per method: ``(method, fold, y, p)``, baseline included."""
-    base = scored.select(F.col(fold).alias("fold"), LABEL, SCORE)
+    base = durable(scored.select(F.col(fold).alias("fold"), LABEL, SCORE), "folds")
     parts = [base.select(F.lit("baseline").alias("method"), "fold", LABEL, SCORE)]
     for method, i in itertools.product(methods, range(k)):
         model = fit_calibrator(base.where(F.col("fold") != i), method)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import checked_p, checked_y, outcome, safe_div
+from ..functions.expressions import checked_p, checked_y, literal_array, outcome, safe_div
 from ..functions.ranking import exact_quantiles
 from ..session import require_small
 from ..spec import LABEL, SCORE
@@ -96,23 +96,17 @@ def error_numeric(
         )
         .select("s.column", "outcome", "s.value")
     )
-    present = F.col("value").isNotNull() & ~F.isnan("value")
-    stats = (
-        long.where(present)
-        .groupBy("column", "outcome")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    )
-    medians = exact_quantiles(
-        long, ["column", "outcome"], "value", [0.5], groups=len(columns) * len(OUTCOMES)
-    ).select("column", "outcome", F.col("quantile").alias("median"))
+    stats = exact_quantiles(
+        long, ["column", "outcome"], "value", [0.5], groups=len(columns) * len(OUTCOMES),
+        extra={"mean": F.avg("_v")},
+    ).select("column", "outcome", F.col("n_values").alias("n"), "mean", F.col("quantile").alias("median"))
     spine = (
         long.sparkSession.range(1)
-        .select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-        .withColumn("outcome", F.explode(F.array(*[F.lit(o) for o in OUTCOMES])))
+        .select(F.explode(literal_array(columns)).alias("column"))
+        .withColumn("outcome", F.explode(literal_array(OUTCOMES)))
     )
     return (
         spine.join(stats, ["column", "outcome"], "left")
-        .join(medians, ["column", "outcome"], "left")
         .select("column", "outcome", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean", "median")
     )
 

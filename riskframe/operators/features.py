@@ -16,6 +16,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import sql_literal
 from ..functions.ranking import exact_quantiles
 from ..session import require_small
 
@@ -98,10 +99,6 @@ def one_hot_long(
     return df.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
 
 
-def _literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Median and mode imputation, one-hot encoding and assembly into ``features``.
 
@@ -141,7 +138,7 @@ class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         parts = [
             f"coalesce(nanvl(cast(`{c}` AS double), cast(NULL AS double)), {fills[c]!r}D) AS `num__{c}`"
             for c in num
-        ] + [f"coalesce(`{c}`, {_literal(fills[c])}) AS `imp__{c}`" for c in cat]
+        ] + [f"coalesce(`{c}`, {sql_literal(fills[c])}) AS `imp__{c}`" for c in cat]
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"))
         step = stages[0].transform(dataset)
         if cat:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import checked_p, checked_y, safe_div
 from ..functions.ranking import running_totals
 from ..spec import LABEL, SCORE
-from .thresholds import rate_columns
+from .thresholds import with_rates
 
 # Fixed value: the spacing of doubles at one, used to clip probabilities in the log loss.
 CLIP = 2.0**-52
@@ -130,8 +130,7 @@ def label_metrics(
         F.count_if((label == 1) & ~pred).alias("fn"),
         F.count_if((label == 1) & pred).alias("tp"),
     )
-    rates = rate_columns(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
-    return counts.select("*", *[e.alias(n) for n, e in rates.items()])
+    return with_rates(counts)
 
 
 def six_metrics(

@@ -157,10 +157,12 @@ def oof_scores(
 ) -> DataFrame:
     """Every row scored by the model that did not see its fold; written once.
 
-    The k fits are driver loops over distributed jobs; the union has one branch per fold.
+    The folded table is written first: every fit reads it many times. The k fits are driver
+    loops over distributed jobs; the union has one branch per fold.
     """
     parts = []
     columns = list(keep) if keep is not None else df.columns
+    df = durable(df, "folds")
     for i in range(k):
         model = pipeline.fit(df.where(F.col(fold) != i))
         parts.append(add_score(df.where(F.col(fold) == i), model, keep=columns))
@@ -178,6 +180,7 @@ def cv_metrics(df: DataFrame, pipeline: Estimator, k: int, fold: str = "fold", y
 
 def compare_models(df: DataFrame, models: dict[str, Estimator], k: int, fold: str = "fold", y: str = LABEL) -> DataFrame:
     """``(model, metric, mean, std)`` for several pipelines, best ROC-AUC first."""
+    df = durable(df, "compare")
     parts = [
         oof_scores(df, p, k, fold, keep=[y, fold]).withColumn("model", F.lit(name))
         for name, p in models.items()

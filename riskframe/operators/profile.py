@@ -57,23 +57,21 @@ def value_share(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per numeric column."""
     long = _long(df, columns, "double")
-    present = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    basic = present.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    plain = {
+        "mean": F.avg("_v"), "std": F.stddev_samp("_v"), "min": F.min("_v"), "max": F.max("_v"),
+    }
+    q = exact_quantiles(
+        long, ["column"], "value", [0.25, 0.5, 0.75], groups=len(columns), extra=plain
     )
-    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], groups=len(columns))
-    quartiles = q.groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-            for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
-        ]
-    )
-    return basic.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    return (
+        q.groupBy("column", F.col("n_values").alias("count"), *plain)
+        .agg(
+            *[
+                F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
+                for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+            ]
+        )
+        .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
     )
 
 

@@ -7,33 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import checked_p, checked_y, safe_div
+from ..functions.expressions import checked_p, checked_y, literal_array
 from ..functions.ranking import with_range
 from ..spec import LABEL, SCORE, check_grid, threshold_grid
 
 
-def rate_columns(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
-    """Every rate derived from the four counts; zero where the denominator is zero."""
-    n = tn + fp + fn + tp
-    precision = safe_div(tp, tp + fp)
-    recall = safe_div(tp, tp + fn)
-    return {
-        "precision": precision,
-        "recall": recall,
-        "f1": safe_div(2 * tp, 2 * tp + fp + fn),
-        "accuracy": safe_div(tp + tn, n),
-        "specificity": safe_div(tn, tn + fp),
-        "npv": safe_div(tn, tn + fn),
-        "fpr": safe_div(fp, fp + tn),
-        "fnr": safe_div(fn, fn + tp),
-        "positive_rate": safe_div(tp + fp, n),
-    }
+# numerator and denominator of every rate over the four counts
+_RATES = {
+    "precision": ("tp", "tp + fp"),
+    "recall": ("tp", "tp + fn"),
+    "f1": ("2 * tp", "2 * tp + fp + fn"),
+    "accuracy": ("tp + tn", "tn + fp + fn + tp"),
+    "specificity": ("tn", "tn + fp"),
+    "npv": ("tn", "tn + fn"),
+    "fpr": ("fp", "fp + tn"),
+    "fnr": ("fn", "fn + tp"),
+    "positive_rate": ("tp + fp", "tn + fp + fn + tp"),
+}
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
-    """Add the rate columns to a table of ``tn, fp, fn, tp``."""
-    rates = rate_columns(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
-    return counts.select("*", *[e.alias(n) for n, e in rates.items()])
+    """Add every rate to a table of ``tn, fp, fn, tp``; zero where the denominator is zero."""
+    return counts.select(
+        "*",
+        *[
+            F.expr(f"coalesce(try_divide({num}, {den}), 0D)").alias(name)
+            for name, (num, den) in _RATES.items()
+        ],
+    )
 
 
 def score_histogram(
@@ -91,7 +92,7 @@ def sweep_counts(
         "h",
         "all_pos",
         "all_neg",
-        F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("i", "threshold"),
+        F.posexplode(literal_array(grid)).alias("i", "threshold"),
     )
     return rows.select(
         *by, "threshold", "all_pos", "all_neg", reached("pos").alias("tp"), reached("neg").alias("fp")

@@ -678,3 +678,18 @@ grid AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(1, 100) r(i)),
 c AS ({counts('threshold', p='q', src='cal, grid')})
 SELECT threshold, CAST(fp * 10 + fn * 100 + tp * 10 AS DOUBLE) AS total_cost, tn, fp, fn, tp FROM c
 ORDER BY total_cost, tp DESC, threshold LIMIT 1"""
+
+# ------------------------------------------------------------ scoring
+
+SCORES = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g')},
+sc AS (SELECT doc_id, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS q FROM folds, fit)"""
+ORACLE["score_batch"] = f"""{SCORES}
+SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS prediction, CASE WHEN q >= 0.19 THEN 'Yes' ELSE 'No' END AS prediction_label,
+  CAST(0.19 AS DOUBLE) AS threshold FROM sc"""
+ORACLE["score_stream"] = f"""{SCORES}
+SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS prediction, CASE WHEN q >= 0.19 THEN 'Yes' ELSE 'No' END AS prediction_label FROM sc"""
+ORACLE["score_files"] = f"""{SCORES}
+SELECT 'predict_batch' AS event_type, count(*) AS prediction_count, count(*) FILTER (q >= 0.3) AS positive_predictions,
+  count(*) FILTER (q < 0.3) AS negative_predictions, CAST(0.3 AS DOUBLE) AS threshold, true AS success, count(*) AS batch_size FROM sc"""
+ORACLE["decision_cells"] = f"""WITH {SCORED}
+SELECT y, CAST(p >= {T} AS INTEGER) AS a, CAST(p_rival >= {T} AS INTEGER) AS b, count(*) AS n FROM scored GROUP BY 1, 2, 3"""

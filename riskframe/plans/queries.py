@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import round_doubles
 from ..operators import (
+    bootstrap,
     calibrate,
     clean,
     contract,
@@ -26,12 +27,14 @@ from ..operators import (
     metrics,
     models,
     profile,
+    score,
     split,
     telemetry,
     thresholds,
 )
-from ..session import shared_dir
-from ..sources import files, views
+from ..session import durable, shared_dir
+from ..sources import artifacts, files, views
+from ..streaming import scoring as stream_scoring
 from ..streaming import telemetry as stream_telemetry
 from . import jobs
 from ..spec import (
@@ -39,6 +42,7 @@ from ..spec import (
     COST_SCENARIOS,
     DEFAULT_COSTS,
     FINAL_CANDIDATES,
+    FeatureSpec,
     RetentionScenario,
     retention_grid,
     threshold_grid,
@@ -662,10 +666,15 @@ def prior_baseline(spark, sf):
     return scored.groupBy("fold").agg(F.max("p").alias("p"), F.min("p").alias("p_min"))
 
 
+def pinned_logistic(spark, sf):
+    """A logistic model on the numeric features and the table it was fitted on."""
+    table = durable(views.scored_documents(spark, sf), "train")
+    return models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0).fit(table), table
+
+
 @query
 def logistic_coefficients(spark, sf):
-    fitted = models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0).fit(views.scored_documents(spark, sf))
-    table = models.coefficient_table(fitted)
+    table = models.coefficient_table(pinned_logistic(spark, sf)[0])
     return table.select("feature", F.round("coefficient", 3).alias("coefficient"), "direction", "rank")
 
 
@@ -723,3 +732,161 @@ def calibrated_threshold(spark, sf):
         cost.with_costs(thresholds.threshold_sweep(calibrated), [DEFAULT_COSTS])
     )
     return best.select("threshold", "total_cost", "tn", "fp", "fn", "tp")
+
+
+# ------------------------------------------------------------ scoring
+
+
+def saved_scorer(spark, sf):
+    """Fit, write and reload a model; the second value is the table to score."""
+    fitted, table = pinned_logistic(spark, sf)
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    rules = {"dw": contract.NumericRule("float", 0.0, 1.0), "log_chars": contract.NumericRule("float", 0.0)}
+    artifacts.save_artifacts(
+        spark, path, fitted, artifacts.derive_contract(fitted, rules, ("y",)), 0.19,
+        "Business cost optimization on OOF probabilities", "threshold optimisation",
+    )
+    return path, table.select("doc_id", *MODEL_NUMERIC)
+
+
+@query
+def score_batch(spark, sf):
+    path, rows = saved_scorer(spark, sf)
+    scored = score.Scorer.load(spark, path).keeping("doc_id").score(rows)
+    return scored.select(
+        "doc_id", F.round("probability", 4).alias("probability"), "prediction", "prediction_label", "threshold"
+    )
+
+
+@query
+def score_files(spark, sf):
+    path, rows = saved_scorer(spark, sf)
+    run = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{run}/in")
+    jobs.score_files(
+        spark, path, f"{run}/in", f"{run}/out.csv", f"{run}/events", threshold=0.3, passthrough=["doc_id"]
+    )
+    return files.read_events(spark, f"{run}/events").select(
+        "event_type", "prediction_count", "positive_predictions", "negative_predictions",
+        "threshold", "success", "batch_size",
+    )
+
+
+@query
+def score_stream(spark, sf):
+    path, rows = saved_scorer(spark, sf)
+    run = f"{shared_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{run}/in")
+    scorer = score.Scorer.load(spark, path).keeping("doc_id")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{run}/in")
+    started = stream_scoring.start_scoring(
+        arriving, scorer, f"{run}/out", f"{run}/rejected", f"{run}/checkpoint"
+    )
+    started.awaitTermination()
+    return spark.read.parquet(f"{run}/out").select(
+        "doc_id", F.round("probability", 4).alias("probability"), "prediction", "prediction_label"
+    )
+
+
+@query
+def artifact_report(spark, sf):
+    path, _ = saved_scorer(spark, sf)
+    return artifacts.artifact_report(spark, path, 0.19).select("check", "ok")
+
+
+# ------------------------------------------------------------ model comparison
+
+
+def documents_spec():
+    return FeatureSpec("doc_id", "y", ("dw", "log_chars"), ("lang", "source"))
+
+
+@query
+def model_comparison(spark, sf):
+    spec = documents_spec()
+    candidates = {
+        "prior": models.risk_pipeline(spec, kind="prior"),
+        "logistic": models.risk_pipeline(spec, kind="logistic", balanced=True),
+        "tree": models.risk_pipeline(spec, kind="tree", balanced=True, maxDepth=5),
+        "forest": models.risk_pipeline(spec, kind="forest", balanced=True, numTrees=20, maxDepth=5),
+    }
+    folded = folded_documents(spark, sf, 3).select("doc_id", *spec.features, "y", "fold")
+    return models.compare_models(folded, candidates, 3)
+
+
+@query
+def random_search(spark, sf):
+    spec = documents_spec()
+    folded = durable(folded_documents(spark, sf, 3).select("doc_id", *spec.features, "y", "fold"), "folds")
+    space = {"C": [0.01, 1.0, 100.0], "balanced": [True, False]}
+    _, trials = models.random_search(folded, models.tuned_logistic(spec), space, 3, 3, parallelism=3)
+    return spark.createDataFrame(
+        [(t["C"], t["balanced"], t["score"]) for t in trials], "C double, balanced boolean, score double"
+    )
+
+
+@query
+def nested_cv(spark, sf):
+    table = durable(views.scored_documents(spark, sf), "train")
+    pipeline = models.risk_pipeline(MODEL_NUMERIC, kind="logistic")
+    per_fold, pooled, _ = models.nested_cv(
+        table, pipeline, {"C": [0.01, 1.0, 100.0]}, 2, "doc_id", outer=3, inner=2, parallelism=2
+    )
+    return per_fold.select(F.col("outer_fold").cast("string").alias("part"), *models.SIX).unionByName(
+        pooled.select(F.col("model").alias("part"), *models.SIX)
+    )
+
+
+@query
+def model_selection(spark, sf):
+    spec = documents_spec()
+    table = durable(
+        split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split"
+    )
+    train, val = table.where("split = 'train'"), table.where("split = 'val'")
+    fitted = {
+        "logistic": models.tuned_logistic(spec).fit(train),
+        "forest": models.tuned_forest(spec, trees=20).fit(train),
+    }
+    return models.select_model(fitted, val)
+
+
+@query
+def final_evaluation(spark, sf):
+    table = durable(
+        split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split"
+    )
+    _, ranks, sweep = jobs.final_evaluation(
+        models.tuned_logistic(documents_spec()), table.where("split = 'train'"), table.where("split = 'test'")
+    )
+    quality = ranks.first()
+    return sweep.withColumns(
+        {"roc_auc": F.lit(quality["roc_auc"]), "average_precision": F.lit(quality["average_precision"])}
+    )
+
+
+@query
+def forest_attribution(spark, sf):
+    table = durable(views.scored_documents(spark, sf), "train")
+    fitted = models.tuned_forest(documents_spec(), trees=20).fit(table)
+    attr, base = explain.forest_attribution(table, fitted, ["doc_id"])
+    total = attr.groupBy("doc_id").agg((F.sum("contribution") + F.lit(base)).alias("explained"))
+    scored = models.add_score(table, fitted, "probability", keep=["doc_id"])
+    return scored.join(total, "doc_id").withColumn(
+        "additive", F.abs(F.col("explained") - F.col("probability")) < 1e-9
+    )
+
+
+@query
+def bootstrap_cost(spark, sf):
+    draws = bootstrap.cost_difference_replicates(
+        views.two_scored_documents(spark, sf), "p", "p_rival", DOC_THRESHOLD, DOC_THRESHOLD
+    )
+    return bootstrap.prefer_second(bootstrap.bootstrap_interval(draws))
+
+
+@query
+def decision_cells(spark, sf):
+    return bootstrap.decision_cells(
+        views.two_scored_documents(spark, sf), "p", "p_rival", DOC_THRESHOLD, DOC_THRESHOLD
+    )

@@ -91,7 +91,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     if row is None:
         raise FileNotFoundError(path)
     return row["value"].rstrip("\n")
