@@ -262,29 +262,34 @@ def exact_quantiles(
     cond = F.lit(True)
     for i, g in enumerate(group):
         cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    # zone 0: below the bounds, zone 1: between them, zone 2: above. The outer zones become
+    # one row each, with the value next to the bounds: interpolation may need that neighbour.
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    keys = [*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried]
+    zone = F.when(v < lo, 0).when(v <= hi, 1).otherwise(2)
     counted = (
         clean.join(F.broadcast(per_prob), cond)
-        .where(F.col("_v") <= F.col("_hi"))
-        .select(
-            *[f"_g{i}" for i in range(len(group))],
-            "prob",
-            "_n",
-            *carried,
-            F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"),
-        )
-        .groupBy(*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried, "_v")
-        .count()
+        .select(*keys, "_v", zone.alias("_zone"))
+        .groupBy(*keys, "_zone", F.when(F.col("_zone") == 1, v).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_count"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
     )
-    keys = [*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried]
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*keys).orderBy("_zone", "_at")
+    cumulative = counted.withColumn("_cum", F.sum("_count").over(w))
     position = (F.col("_n") - 1) * F.col("prob")
     left, right = F.floor(position), F.ceil(position)
-    cumulative = counted.withColumn("_cum", F.sum("count").over(w)).where(F.col("_v").isNotNull())
-    picked = cumulative.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") > left, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > right, F.col("_v"))).alias("_b"),
-    )
-    frac = position - left
+
+    def value_at(index: Column) -> Column:
+        """Value of the row with this 0-based rank, NULL where its zone does not reveal it."""
+        cum, at = F.col("_cum"), F.col("_zone")
+        value = (
+            F.when(at == 1, F.col("_at"))
+            .when((at == 0) & (index == cum - 1), F.col("_max"))
+            .when((at == 2) & (index == cum - F.col("_count")), F.col("_min"))
+        )
+        here = (cum > index) & (cum - F.col("_count") <= index)
+        return F.max(F.when(here, value))
+
+    picked = cumulative.groupBy(*keys).agg(value_at(left).alias("_a"), value_at(right).alias("_b"))
     return picked.select(
         *[F.col(f"_g{i}").alias(g) for i, g in enumerate(group)],
         "prob",
@@ -292,7 +297,7 @@ def exact_quantiles(
             F.col("_a").isNull() | F.col("_b").isNull(),
             F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
         )
-        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
+        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (position - left))
         .alias("quantile"),
         F.col("_n").alias("n_values"),
         *carried,

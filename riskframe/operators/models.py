@@ -97,7 +97,13 @@ class RiskClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             )
         else:
             raise ValueError(f"unknown kind {kind}")
-        return est.fit(train)
+        fitted = est.fit(train)
+        if hasattr(fitted, "hasSummary") and fitted.hasSummary:
+            # The training summary holds the session and the training rows, and tasks that
+            # score with the model would have to serialise it.
+            option = dataset.sparkSession.sparkContext._jvm.scala.Option
+            fitted._java_obj.setSummary(option.empty())
+        return fitted
 
 
 def _constant(rate: float) -> Transformer:

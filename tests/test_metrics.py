@@ -112,6 +112,15 @@ def test_exact_quantiles(spark):
             assert got[("b", q)] == 1.0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 149, 150, 151, 1000])
+def test_exact_quantiles_of_small_groups(spark, n):
+    v = np.random.default_rng(n).normal(size=n).round(2)
+    df = spark.createDataFrame([("a", float(x)) for x in v], "g string, v double")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.9, 0.999]
+    got = {r["prob"]: r["quantile"] for r in ranking.exact_quantiles(df, ["g"], "v", probs, groups=1).collect()}
+    assert [got[q] for q in probs] == pytest.approx([np.quantile(v, q) for q in probs], abs=1e-12)
+
+
 def test_checks_table(spark):
     bad = spark.createDataFrame([(2, 0.5), (1, 1.5), (None, None)], "y int, p double")
     got = {r["check"]: (r["ok"], r["bad_rows"]) for r in metrics.scored_checks(bad).collect()}
