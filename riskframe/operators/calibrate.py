@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import logit
-from ..session import durable
+from ..session import durable, run_together
 from ..spec import LABEL, SCORE
 from . import metrics as m
 
@@ -58,10 +59,12 @@ class _ScoreCalibrator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         self._set(labelCol=labelCol, scoreCol=scoreCol)
 
     def _table(self, dataset: DataFrame) -> DataFrame:
-        # label and range checks happen while counting
-        return m.score_table(
+        # Label and range checks happen while counting. Written once: the fit reads the
+        # distinct scores several times, the rows behind them only here.
+        table = m.score_table(
             dataset, y=self.getOrDefault(self.labelCol), p=self.getOrDefault(self.scoreCol)
         )
+        return durable(table, "scores")
 
 
 class SigmoidCalibrator(_ScoreCalibrator):
@@ -95,7 +98,11 @@ class SigmoidCalibrator(_ScoreCalibrator):
 
 
 class IsotonicCalibrator(_ScoreCalibrator):
-    """Non-decreasing fit; linear between its points, constant outside them."""
+    """Non-decreasing fit; linear between its points, constant outside them.
+
+    Distinct scores are pooled per partition first; only pooled blocks, far fewer than
+    scores, meet in the last merge of the built-in regression.
+    """
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         name = self.getOrDefault(self.scoreCol)
@@ -141,15 +148,19 @@ def apply_calibrator(df: DataFrame, calibrator: PipelineModel, p: str = SCORE) -
 
 
 def cross_fit_calibration(
-    scored: DataFrame, fold: str, k: int, methods: Sequence[str] = METHODS
+    scored: DataFrame, fold: str, k: int, methods: Sequence[str] = METHODS, parallelism: int = 4
 ) -> DataFrame:
     """Held-out calibrated rows per method: ``(method, fold, y, p)``, baseline included."""
     base = durable(scored.select(F.col(fold).alias("fold"), LABEL, SCORE), "folds")
     parts = [base.select(F.lit("baseline").alias("method"), "fold", LABEL, SCORE)]
-    for method, i in itertools.product(methods, range(k)):
+
+    def held_out(method: str, i: int) -> DataFrame:
         model = fit_calibrator(base.where(F.col("fold") != i), method)
-        held_out = apply_calibrator(base.where(F.col("fold") == i), model)
-        parts.append(held_out.select(F.lit(method).alias("method"), "fold", LABEL, SCORE))
+        rows = apply_calibrator(base.where(F.col("fold") == i), model)
+        return rows.select(F.lit(method).alias("method"), "fold", LABEL, SCORE)
+
+    tasks = [partial(held_out, method, i) for method, i in itertools.product(methods, range(k))]
+    parts += run_together(base.sparkSession, tasks, parallelism)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

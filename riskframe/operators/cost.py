@@ -13,6 +13,12 @@ from ..spec import COST_TOLERANCE, LABEL, SCORE, CostScenario, RetentionScenario
 from .thresholds import threshold_sweep
 
 _COUNTS = ("tn", "fp", "fn", "tp")
+# Texts of the result document.
+OBJECTIVE = "minimize_expected_business_cost"
+TIE_RULE = (
+    "1. minimum total_cost; 2. if tied and FP cost > FN cost: higher threshold; "
+    "3. if tied and FP cost <= FN cost: higher recall; 4. lower threshold"
+)
 
 
 def _checked_counts() -> list[Column]:
@@ -220,13 +226,7 @@ def cost_summary(optimum: DataFrame, n_thresholds: int, metrics: dict | None = N
         )
         if c in cols
     ]
-    rule = (
-        "1. minimum total_cost; 2. if tied and FP cost > FN cost: higher threshold; "
-        "3. if tied and FP cost <= FN cost: higher recall; 4. lower threshold"
-    )
-    objective = "minimize_expected_business_cost" + (
-        "_with_retention" if "retention_success_rate" in cols else ""
-    )
+    objective = OBJECTIVE + ("_with_retention" if "retention_success_rate" in cols else "")
     given = metrics or {}
     quality = F.struct(
         *[
@@ -239,7 +239,7 @@ def cost_summary(optimum: DataFrame, n_thresholds: int, metrics: dict | None = N
         F.col("threshold").alias("selected_threshold"),
         F.struct(F.col("scenario").alias("label"), *assumptions).alias("cost_assumptions"),
         F.struct(
-            F.lit(rule).alias("tie_breaking_rule"), F.lit(n_thresholds).alias("n_thresholds_evaluated")
+            F.lit(TIE_RULE).alias("tie_breaking_rule"), F.lit(n_thresholds).alias("n_thresholds_evaluated")
         ).alias("optimization_summary"),
         F.struct(*business).alias("business_metrics"),
         quality.alias("model_level_metrics"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -22,7 +23,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, run_together
 from ..spec import LABEL, SCORE, FeatureSpec
 from . import metrics as m
 from .features import TablePreprocessor, feature_names, feature_origins
@@ -159,19 +160,28 @@ class RankEvaluator(Evaluator):
 
 
 def oof_scores(
-    df: DataFrame, pipeline: Estimator, k: int, fold: str = "fold", keep: Sequence[str] | None = None
+    df: DataFrame,
+    pipeline: Estimator,
+    k: int,
+    fold: str = "fold",
+    keep: Sequence[str] | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Every row scored by the model that did not see its fold; written once.
 
-    The folded table is written first: every fit reads it many times. The k fits are driver
-    loops over distributed jobs; the union has one branch per fold.
+    The folded table is written first: every fit reads it many times. The k fits are
+    distributed jobs started from ``parallelism`` driver threads.
     """
-    parts = []
     columns = list(keep) if keep is not None else df.columns
-    df = durable(df, "folds")
-    for i in range(k):
-        model = pipeline.fit(df.where(F.col(fold) != i))
-        parts.append(add_score(df.where(F.col(fold) == i), model, keep=columns))
+    table = durable(df, "folds")
+
+    def held_out(i: int) -> DataFrame:
+        model = pipeline.fit(table.where(F.col(fold) != i))
+        return add_score(table.where(F.col(fold) == i), model, keep=columns)
+
+    parts = run_together(
+        table.sparkSession, [partial(held_out, i) for i in range(k)], parallelism
+    )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranking import value_range_cuts, with_range
+
 # The event schema and the error categories.
 EVENT_SCHEMA = T.StructType(
     [
@@ -148,24 +150,29 @@ def telemetry_summary(
     return out
 
 
-def with_invocation_number(events: DataFrame, collector: str, order: Sequence[str]) -> DataFrame:
-    """Running call number per collector in the given order.
+def with_invocation_number(
+    events: DataFrame, collector: str, time: str, tie: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Running call number per collector by event time (then the ``tie`` columns).
 
-    A collector may hold any share of the events: numbers are offsets per day plus a rank
-    within collector and day, so no task sorts more than one collector-day.
+    A collector may hold any share of the events: time is cut into ranges of about equal
+    numbers of events, a number is the offset of its range plus a rank inside it.
     """
-    day = F.to_date(order[0])
-    tagged = events.withColumn("_day", day)
-    per_day = tagged.groupBy(collector, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(collector).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(
-        F.col(collector).alias("_c"),
-        F.col("_day").alias("_d"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    timed = events.withColumn("_t", F.unix_micros(time).cast("double"))
+    tagged = with_range(timed, "_t", value_range_cuts(timed, "_t", ranges), "_range")
+    before = Window.partitionBy(collector).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        tagged.groupBy(collector, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(
+            F.col(collector).alias("_c"),
+            F.col("_range").alias("_r"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        )
     )
-    w = Window.partitionBy(collector, "_day").orderBy(*order)
+    w = Window.partitionBy(collector, "_range").orderBy("_t", *tie)
     numbered = tagged.withColumn("_rn", F.row_number().over(w))
-    cond = F.col(collector).eqNullSafe(F.col("_c")) & F.col("_day").eqNullSafe(F.col("_d"))
+    cond = F.col(collector).eqNullSafe(F.col("_c")) & F.col("_range").eqNullSafe(F.col("_r"))
     return numbered.join(offsets, cond).select(
         *events.columns, (F.col("_before") + F.col("_rn")).cast("bigint").alias("invocation_count")
     )

@@ -565,7 +565,7 @@ def telemetry_stream(spark, sf):
 @query
 def invocation_numbers(spark, sf):
     events = views.scoring_events(spark, sf).select("event_id", "collector", "timestamp")
-    return telemetry.with_invocation_number(events, "collector", ["timestamp", "event_id"]).drop("timestamp")
+    return telemetry.with_invocation_number(events, "collector", "timestamp", ["event_id"]).drop("timestamp")
 
 
 @query

@@ -6,7 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Largest number of driver-built rows (grids, scenarios, cut points) that may be
@@ -58,6 +61,15 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_together(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
+    """Run independent driver-side fits from a few threads so that their jobs overlap."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    start = inheritable_thread_target(spark)(lambda job: job())
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(start, jobs)
+
+
 def require_small(rows: list, what: str, limit: int = MAX_LITERAL_ROWS) -> list:
     """Check the size of a driver-built list before it goes into a plan."""
     if not rows:

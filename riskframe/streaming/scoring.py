@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,13 +34,14 @@ def start_scoring(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = scorer.contract.check(batch)
+        checked = scorer.contract.check(batch).persist(StorageLevel.MEMORY_AND_DISK)
         scored = with_decision(
             scorer.probabilities(scorer.contract.select_valid(checked)), scorer.threshold(threshold)
         )
         rejected = checked.where(F.size(ERRORS) > 0)
         for rows, path in ((scored, output), (rejected, quarantine)):
             rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        checked.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

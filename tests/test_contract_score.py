@@ -270,7 +270,7 @@ def test_events_hold_no_row_data():
 def test_invocation_numbers(frame):
     e = frame("c string, t string", ("a", "2024-01-01 10:00:00"), ("a", "2024-01-03 09:00:00"), ("a", "2024-01-01 11:00:00"), ("b", "2024-01-02 00:00:00"))
     e = e.withColumn("t", F.to_timestamp("t"))
-    got = [tuple(r)[0:1] + (r["invocation_count"],) for r in telemetry.with_invocation_number(e, "c", ["t"]).orderBy("c", "t").collect()]
+    got = [tuple(r)[0:1] + (r["invocation_count"],) for r in telemetry.with_invocation_number(e, "c", "t", ranges=2).orderBy("c", "t").collect()]
     assert got == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
 
 

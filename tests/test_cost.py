@@ -4,7 +4,7 @@ from riskframe.operators import cost
 from riskframe.operators.thresholds import threshold_sweep, with_rates
 from riskframe.spec import COST_SCENARIOS, DEFAULT_COSTS, CostScenario, RetentionScenario, retention_grid
 
-# Published counts of a reference forest at some thresholds: threshold, tn, fp, fn, tp.
+# Published counts of a forest model at some thresholds: threshold, tn, fp, fn, tp.
 COUNTS = [
     (0.10, 795, 1740, 11, 905), (0.12, 872, 1663, 14, 902), (0.13, 913, 1622, 18, 898),
     (0.26, 1346, 1189, 63, 853), (0.27, 1379, 1156, 65, 851), (0.28, 1413, 1122, 69, 847),
