@@ -584,7 +584,9 @@ SELECT f.fold, round(avg(CAST(t.y AS DOUBLE)), 6) AS p, round(avg(CAST(t.y AS DO
 FROM (SELECT DISTINCT fold FROM folds) f JOIN folds t ON t.fold <> f.fold GROUP BY 1"""
 
 
-def newton(features: list[str], penalty: float, groups: str, cells: str = "cells", steps: int = 14) -> str:
+def newton(
+    features: list[str], penalty: float, groups: str, cells: str = "cells", steps: int = 14, tag: str = ""
+) -> str:
     """CTEs of an L2-penalised logistic fit (free intercept) per left-out group, by Newton steps.
 
     ``groups`` has column g; ``cells`` has columns fold, y, w and the features.
@@ -592,7 +594,7 @@ def newton(features: list[str], penalty: float, groups: str, cells: str = "cells
     f = ["1.0", *[f"c.{x}" for x in features]]
     k = len(f)
     z = " + ".join(f"b{a} * {f[a]}" for a in range(k))
-    out = [f"n0 AS (SELECT g, {', '.join(f'CAST(0 AS DOUBLE) AS b{a}' for a in range(k))} FROM ({groups}))"]
+    out = [f"{tag}n0 AS (SELECT g, {', '.join(f'CAST(0 AS DOUBLE) AS b{a}' for a in range(k))} FROM ({groups}))"]
     beta = ", ".join(f"b{a}" for a in range(k))
     for t in range(steps):
         mu = f"1 / (1 + exp(-({z})))"
@@ -605,8 +607,8 @@ def newton(features: list[str], penalty: float, groups: str, cells: str = "cells
         )
         xs = ", ".join(f"{f[a]} AS x{a}" for a in range(k))
         out.append(
-            f"s{t} AS (SELECT g, {beta}, {grad}, {hess} FROM (SELECT p.*, c.y, c.w, {xs}, {mu} AS mu "
-            f"FROM n{t} p JOIN {cells} c ON c.fold <> p.g) GROUP BY g, {beta})"
+            f"{tag}s{t} AS (SELECT g, {beta}, {grad}, {hess} FROM (SELECT p.*, c.y, c.w, {xs}, {mu} AS mu "
+            f"FROM {tag}n{t} p JOIN {cells} c ON c.fold <> p.g) GROUP BY g, {beta})"
         )
         if k == 2:
             det = "(h00 * h11 - h01 * h01)"
@@ -621,8 +623,8 @@ def newton(features: list[str], penalty: float, groups: str, cells: str = "cells
                 "(" + " + ".join(f"{inv[''.join(sorted(f'{a}{b}'))]} * g{b}" for b in range(3)) + f") / {det}"
                 for a in range(3)
             ]
-        out.append(f"n{t + 1} AS (SELECT g, {', '.join(f'b{a} - {step[a]} AS b{a}' for a in range(k))} FROM s{t})")
-    out.append(f"fit AS (SELECT * FROM n{steps})")
+        out.append(f"{tag}n{t + 1} AS (SELECT g, {', '.join(f'b{a} - {step[a]} AS b{a}' for a in range(k))} FROM {tag}s{t})")
+    out.append(f"{tag}fit AS (SELECT * FROM {tag}n{steps})")
     return ", ".join(out)
 
 
@@ -693,3 +695,42 @@ SELECT 'predict_batch' AS event_type, count(*) AS prediction_count, count(*) FIL
   count(*) FILTER (q < 0.3) AS negative_predictions, CAST(0.3 AS DOUBLE) AS threshold, true AS success, count(*) AS batch_size FROM sc"""
 ORACLE["decision_cells"] = f"""WITH {SCORED}
 SELECT y, CAST(p >= {T} AS INTEGER) AS a, CAST(p_rival >= {T} AS INTEGER) AS b, count(*) AS n FROM scored GROUP BY 1, 2, 3"""
+
+# ------------------------------------------------------------ model comparison
+
+PER_FOLD = "SELECT DISTINCT fold AS g FROM folds"
+
+
+def at_half(src: str, by: str) -> str:
+    return f"""c AS (SELECT {by}, count(*) FILTER (y = 0 AND p < 0.5) AS tn, count(*) FILTER (y = 0 AND p >= 0.5) AS fp,
+  count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 1 AND p >= 0.5) AS tp FROM {src} GROUP BY {by}),
+m AS (SELECT r.*, {RATES['accuracy']} AS accuracy, {RATES['precision']} AS precision, {RATES['recall']} AS recall, {RATES['f1']} AS f1
+  FROM ranks r JOIN c ON c.{by} = r.{by})"""
+
+
+ORACLE["cv_metrics"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, PER_FOLD)},
+held AS (SELECT fold, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM folds JOIN fit ON g = fold),
+{ranked_by('held', 'fold')}, {at_half('held', 'fold')}
+""" + " UNION ALL ".join(
+    f"SELECT '{x}' AS metric, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std FROM m"
+    for x in ("roc_auc", "average_precision", "accuracy", "precision", "recall", "f1")
+)
+ORACLE["random_search"] = f"""WITH {FOLDS}, {TWO_FEATURES},
+{newton(['dw', 'log_chars'], 50.0, PER_FOLD, tag='t')}, {newton(['dw', 'log_chars'], 0.1, PER_FOLD, tag='l')},
+fits AS (SELECT 0.02 AS c, * FROM tfit UNION ALL SELECT 10.0, * FROM lfit),
+held AS (SELECT c, fold, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM folds JOIN fits ON g = fold),
+{ranked_by('held', 'c, fold')}
+SELECT CAST(c AS DOUBLE) AS "C", round(avg(roc_auc), 6) AS score FROM ranks GROUP BY 1"""
+TRAIN_CELLS = "cells AS (SELECT 0 AS fold, y, 1.0 AS w, dw, log_chars FROM splits WHERE split = 'train')"
+ORACLE["model_selection"] = f"""WITH {D_SPLIT}, {TRAIN_CELLS},
+{newton(['dw', 'log_chars'], 50.0, 'SELECT -1 AS g', tag='t')}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g', tag='l')},
+fits AS (SELECT 'tight' AS model, * FROM tfit UNION ALL SELECT 'loose', * FROM lfit),
+held AS (SELECT model, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM splits, fits WHERE split = 'val'),
+{ranked_by('held', 'model')}
+SELECT model, round(average_precision, 6) AS score,
+  row_number() OVER (ORDER BY average_precision DESC, CASE model WHEN 'tight' THEN 0 ELSE 1 END) = 1 AS selected FROM ranks"""
+ORACLE["final_evaluation"] = f"""WITH {D_SPLIT}, {TRAIN_CELLS}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g')},
+held AS (SELECT 1 AS one, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM splits, fit WHERE split = 'test'),
+{ranked_by('held', 'one')}, grid AS ({values_grid(45, 50, 55, 60)}), counts AS ({counts('threshold', src='held, grid')}),
+sweep AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in RATES.items())} FROM counts)
+SELECT {SWEEP_OUT}, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM sweep, ranks"""

@@ -814,17 +814,25 @@ def model_comparison(spark, sf):
     return models.compare_models(folded, candidates, 3)
 
 
+def numeric_documents(spark, sf, k=5):
+    return folded_documents(spark, sf, k).select("doc_id", *MODEL_NUMERIC, "y", "fold")
+
+
 @query
-def random_search(spark, sf):
-    spec = documents_spec()
-    folded = durable(folded_documents(spark, sf, 3).select("doc_id", *spec.features, "y", "fold"), "folds")
-    space = {"C": [0.01, 1.0, 100.0], "balanced": [True, False]}
-    _, trials = models.random_search(folded, models.tuned_logistic(spec), space, 3, 3, parallelism=3)
-    return spark.createDataFrame(
-        [(t["C"], t["balanced"], t["score"]) for t in trials], "C double, balanced boolean, score double"
+def cv_metrics(spark, sf):
+    return models.cv_metrics(
+        numeric_documents(spark, sf), models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0), 5
     )
 
 
+@query
+def random_search(spark, sf):
+    folded = durable(numeric_documents(spark, sf), "folds")
+    pipeline = models.risk_pipeline(MODEL_NUMERIC, kind="logistic")
+    _, trials = models.random_search(folded, pipeline, {"C": [0.02, 10.0]}, 5, 5, parallelism=2)
+    return spark.createDataFrame([(t["C"], t["score"]) for t in trials], "C double, score double")
+
+
 @query
 def nested_cv(spark, sf):
     table = durable(views.scored_documents(spark, sf), "train")
@@ -837,27 +845,28 @@ def nested_cv(spark, sf):
     )
 
 
+def split_documents(spark, sf):
+    return durable(split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split")
+
+
 @query
 def model_selection(spark, sf):
-    spec = documents_spec()
-    table = durable(
-        split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split"
-    )
+    table = split_documents(spark, sf)
     train, val = table.where("split = 'train'"), table.where("split = 'val'")
     fitted = {
-        "logistic": models.tuned_logistic(spec).fit(train),
-        "forest": models.tuned_forest(spec, trees=20).fit(train),
+        name: models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=c).fit(train)
+        for name, c in (("tight", 0.02), ("loose", 10.0))
     }
-    return models.select_model(fitted, val)
+    return models.select_model(fitted, val, "average_precision")
 
 
 @query
 def final_evaluation(spark, sf):
-    table = durable(
-        split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split"
-    )
+    table = split_documents(spark, sf)
     _, ranks, sweep = jobs.final_evaluation(
-        models.tuned_logistic(documents_spec()), table.where("split = 'train'"), table.where("split = 'test'")
+        models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0),
+        table.where("split = 'train'"),
+        table.where("split = 'test'"),
     )
     quality = ranks.first()
     return sweep.withColumns(
@@ -865,6 +874,17 @@ def final_evaluation(spark, sf):
     )
 
 
+@query
+def forest_evaluation(spark, sf):
+    table = split_documents(spark, sf)
+    _, ranks, _ = jobs.final_evaluation(
+        models.tuned_forest(documents_spec(), trees=20),
+        table.where("split = 'train'"),
+        table.where("split = 'test'"),
+    )
+    return ranks
+
+
 @query
 def forest_attribution(spark, sf):
     table = durable(views.scored_documents(spark, sf), "train")
@@ -885,6 +905,12 @@ def bootstrap_cost(spark, sf):
     return bootstrap.prefer_second(bootstrap.bootstrap_interval(draws))
 
 
+@query
+def bootstrap_auc(spark, sf):
+    draws = bootstrap.auc_difference_replicates(views.two_scored_documents(spark, sf), "p", "p_rival")
+    return bootstrap.bootstrap_interval(draws, "auc_difference")
+
+
 @query
 def decision_cells(spark, sf):
     return bootstrap.decision_cells(

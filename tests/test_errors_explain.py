@@ -145,3 +145,21 @@ def test_bootstrap(frame):
     assert r["selected"] == "a"
     again = bootstrap.bootstrap_interval(bootstrap.cost_difference_replicates(s.repartition(3), "a", "b", 0.5, 0.5, replicates=2000)).first()
     assert (again["lower"], again["upper"]) == (r["lower"], r["upper"])
+
+
+def test_auc_bootstrap(frame):
+    rng = np.random.default_rng(4)
+    y = (rng.random(600) < 0.3).astype(int)
+    a, b = (np.clip(0.3 * y + rng.random(600) * 0.7, 0, 1).round(2) for _ in range(2))
+    b = rng.permutation(b)
+    s = frame("y int, a double, b double", *[(int(i), float(j), float(k)) for i, j, k in zip(y, a, b)])
+    draws = bootstrap.auc_difference_replicates(s, "a", "b", bins=200, replicates=400)
+    r = bootstrap.bootstrap_interval(draws, "auc_difference").first()
+
+    def auc(p):
+        d = p[y == 1][:, None] - p[y == 0][None, :]
+        return ((d > 0) + 0.5 * (d == 0)).mean()
+
+    assert r["mean"] == pytest.approx(auc(a) - auc(b), abs=0.02)
+    assert 0 < r["lower"] < auc(a) - auc(b) < r["upper"]
+    assert bootstrap.binned_auc((a * 100).round().astype(int), y, np.ones(600)) == pytest.approx(auc(a))
