@@ -146,12 +146,12 @@ def hash_cuts(
     while open_groups:
         width = depth + HEX_DIGITS
         groups = require_small(list(open_groups), "open digit groups")
-        inside = F.concat_ws(":", F.col("y"), F.substring("h", 1, depth)).isin(
-            [f"{c}:{prefix}" for c, prefix in groups]
-        )
+        rows = base
+        if depth:
+            tag = F.concat_ws(":", F.col("y"), F.substring("h", 1, depth))
+            rows = base.where(tag.isin([f"{c}:{prefix}" for c, prefix in groups]))
         counted = (
-            base.where(inside)
-            .groupBy("y", F.substring("h", 1, width).alias("prefix"))
+            rows.groupBy("y", F.substring("h", 1, width).alias("prefix"))
             .count()
             .collect()
         )
@@ -194,9 +194,11 @@ def hash_cuts(
     return cuts
 
 
-def block_of(key: str, label: str, seed: int, cuts: dict[int, list[str]]) -> Column:
-    """Number of the block a row falls in: how many class cuts lie below its hash."""
-    h = key_hash(key, seed)
+def with_block(
+    df: DataFrame, key: str, label: str, seed: int, cuts: dict[int, list[str]], name: str
+) -> DataFrame:
+    """Add the number of the block a row falls in: how many class cuts lie below its hash."""
+    h = F.col("_hash")
     out = None
     for c, hashes in cuts.items():
         n = F.lit(0)
@@ -204,7 +206,9 @@ def block_of(key: str, label: str, seed: int, cuts: dict[int, list[str]]) -> Col
             n = n + (h > F.lit(cut)).cast("int")
         cond = F.col(label) == c
         out = F.when(cond, n) if out is None else out.when(cond, n)
-    return out if out is not None else F.lit(None).cast("int")
+    # hashed in a step of its own, so that the hash is computed once per row
+    hashed = df.withColumn("_hash", key_hash(key, seed))
+    return hashed.withColumn(name, out.cast("int")).drop("_hash")
 
 
 # ---------------------------------------------------------------- quantiles

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import block_of, class_counts, hash_cuts, key_hash
+from ..functions.ranking import class_counts, hash_cuts, key_hash, with_block
 
 SEED = 42
 
@@ -51,9 +51,11 @@ def stratified_split(
     cuts = hash_cuts(
         df, key, label, seed, {c: [in_test[c], in_test[c] + in_val[c]] for c in counts}
     )
-    block = block_of(key, label, seed, cuts)
-    return df.withColumn(
-        name, F.when(block == 0, "test").when(block == 1, "val").when(block == 2, "train")
+    block = F.col("_block")
+    return (
+        with_block(df, key, label, seed, cuts, "_block")
+        .withColumn(name, F.when(block == 0, "test").when(block == 1, "val").when(block == 2, "train"))
+        .drop("_block")
     )
 
 
@@ -71,7 +73,7 @@ def stratified_folds(
         sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
         targets[c] = [sum(sizes[: i + 1]) for i in range(k - 1)]
     cuts = hash_cuts(df, key, label, seed, targets)
-    return df.withColumn(name, block_of(key, label, seed, cuts).cast("int"))
+    return with_block(df, key, label, seed, cuts, name)
 
 
 def split_report(df: DataFrame, label: str, split: str = "split") -> DataFrame:

@@ -62,3 +62,10 @@ def test_profile(frame):
     assert [tuple(r) for r in c] == [("b", 1, "x", 3, 2, 1)]
     corr = {(r["a"], r["b"]): r["corr"] for r in profile.correlation(df.withColumn("d", df.a * -2), ["a", "d"]).collect()}
     assert corr[("a", "d")] == pytest.approx(-1) and len(corr) == 4
+
+
+def test_top_values_are_limited_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("string(id) AS a", "string(id % 3) AS b")
+    plan = profile.categorical_values(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert "WindowGroupLimit" in initial and "Partial" in initial and "CartesianProduct" not in initial
