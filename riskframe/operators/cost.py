@@ -19,6 +19,14 @@ TIE_RULE = (
     "1. minimum total_cost; 2. if tied and FP cost > FN cost: higher threshold; "
     "3. if tied and FP cost <= FN cost: higher recall; 4. lower threshold"
 )
+_ASSUMPTIONS = (
+    "cost_tn", "cost_fp", "cost_fn", "cost_tp", "cost_intervention", "retention_success_rate", "clv",
+)
+_BUSINESS = (
+    "total_cost", "average_cost", "cost_per_predicted", "net_business_value", "expected_churn_loss",
+    "expected_intervention_cost", "expected_retained_value", "precision", "recall", "f1",
+    "accuracy", "specificity", "npv",
+)
 
 
 def _checked_counts() -> list[Column]:
@@ -206,42 +214,60 @@ def savings(sensitivity: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(optimum: DataFrame, n_thresholds: int, metrics: dict | None = None) -> DataFrame:
+def cost_summary(
+    optimum: DataFrame,
+    n_thresholds: int,
+    metrics: dict | None = None,
+    source: str = "out-of-fold predictions of the training rows",
+    folds: int = 5,
+    seed: int = 42,
+) -> DataFrame:
     """The chosen row as one nested document per scenario, ready for a JSON sink."""
     cols = set(optimum.columns)
-    assumptions = [
-        c
-        for c in (
-            "cost_tn", "cost_fp", "cost_fn", "cost_tp", "cost_intervention",
-            "retention_success_rate", "clv",
-        )
-        if c in cols
-    ]
-    business = [
-        c
-        for c in (
-            "total_cost", "average_cost", "cost_per_predicted", "net_business_value",
-            "expected_churn_loss", "expected_intervention_cost", "expected_retained_value",
-            "precision", "recall", "f1", "accuracy", "specificity", "npv",
-        )
-        if c in cols
-    ]
-    objective = OBJECTIVE + ("_with_retention" if "retention_success_rate" in cols else "")
+    retention = "retention_success_rate" in cols
+
+    def part(names: Sequence[str]) -> Column:
+        return F.struct(*[c for c in names if c in cols])
+
     given = metrics or {}
     quality = F.struct(
-        *[
-            F.lit(given.get(m)).cast("double").alias(m)
-            for m in ("roc_auc", "average_precision")
-        ]
+        *[F.lit(given.get(m)).cast("double").alias(m) for m in ("roc_auc", "average_precision")]
     )
-    return optimum.select(
-        F.lit(objective).alias("objective"),
+    document = [
+        F.lit(OBJECTIVE + ("_with_retention" if retention else "")).alias("objective"),
         F.col("threshold").alias("selected_threshold"),
-        F.struct(F.col("scenario").alias("label"), *assumptions).alias("cost_assumptions"),
         F.struct(
-            F.lit(TIE_RULE).alias("tie_breaking_rule"), F.lit(n_thresholds).alias("n_thresholds_evaluated")
+            F.col("scenario").alias("label"), *[c for c in _ASSUMPTIONS if c in cols]
+        ).alias("cost_assumptions"),
+        F.struct(
+            F.lit(TIE_RULE).alias("tie_breaking_rule"),
+            F.lit(n_thresholds).alias("n_thresholds_evaluated"),
         ).alias("optimization_summary"),
-        F.struct(*business).alias("business_metrics"),
+        part(_BUSINESS).alias("business_metrics"),
         quality.alias("model_level_metrics"),
         F.struct(*_COUNTS).alias("confusion_matrix"),
-    )
+        F.struct(
+            F.lit(source).alias("data_source"),
+            F.lit(False).alias("test_set_used_for_optimization"),
+            F.struct(
+                F.lit(folds).alias("n_splits"), F.lit(True).alias("shuffle"), F.lit(seed).alias("random_state")
+            ).alias("cv_config"),
+        ).alias("optimization_data"),
+    ]
+    if retention:
+        n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+        optimum = with_baselines(
+            optimum.withColumns({"population_size": n, "n_churn": F.col("fn") + F.col("tp")})
+        )
+        none, everyone = F.col("contact_no_one_total_cost"), F.col("contact_everyone_total_cost")
+        document.append(
+            F.struct(
+                none,
+                F.col("contact_no_one_avg_cost"),
+                everyone,
+                F.col("contact_everyone_avg_cost"),
+                (none - F.col("total_cost")).alias("value_vs_no_contact"),
+                (everyone - F.col("total_cost")).alias("value_vs_contact_all"),
+            ).alias("baseline_comparison")
+        )
+    return optimum.select(*document)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..session import require_small, shared_dir, ship_package
 from ..spec import LABEL, SCORE
 from .errors import OUTCOMES, with_outcome
-from .features import feature_names
+from .features import feature_names, feature_origins
 
 MAX_NODES = 4_000_000
 
@@ -225,6 +225,13 @@ def forest_attribution(df: DataFrame, model: PipelineModel, key: Sequence[str])
     )
 
 
+def feature_mapping(model: PipelineModel, spark) -> DataFrame:
+    """``(position, feature, original)``: which column each slot of the vector comes from."""
+    origins = feature_origins(model)
+    rows = [(i, n, origins[n]) for i, n in enumerate(feature_names(model))]
+    return spark.createDataFrame(rows, "position int, feature string, original string")
+
+
 # ------------------------------------------------------------ aggregation
 
 

@@ -320,6 +320,49 @@ def nested_cv(
     return per_fold, m.six_metrics(pooled.withColumn("model", F.lit("pooled")), ["model"], y), chosen
 
 
+def best_fold_params(per_fold: DataFrame, chosen: list[dict], metric: str = "roc_auc") -> dict:
+    """Parameters chosen by the outer fold with the best held-out score (the first on a tie)."""
+    best = per_fold.agg(
+        F.min_by("outer_fold", F.struct(-F.col(metric), "outer_fold")).alias("fold")
+    ).first()["fold"]
+    found = next(c for c in chosen if c["outer_fold"] == best)
+    return {k: v for k, v in found.items() if k not in ("outer_fold", "score")}
+
+
+def with_params(pipeline: Pipeline, params: dict) -> Pipeline:
+    """The same pipeline with other classifier parameters."""
+    classifier = pipeline.getStages()[-1]
+    return pipeline.copy({classifier.getParam(n): v for n, v in params.items()})
+
+
+def tune_families(
+    df: DataFrame,
+    families: dict[str, tuple[Pipeline, dict[str, list]]],
+    n_iter: int,
+    key: str,
+    metric: str = "roc_auc",
+    **options,
+) -> dict[str, dict]:
+    """Nested search for several model families on the same rows.
+
+    Per family: per-fold and pooled scores, the parameters of every outer fold, and the
+    pipeline with the parameters of the best fold.
+    """
+    out = {}
+    for name, (pipeline, space) in families.items():
+        per_fold, pooled, chosen = nested_cv(df, pipeline, space, n_iter, key, metric=metric, **options)
+        per_fold = durable(per_fold, "per-fold")
+        params = best_fold_params(per_fold, chosen, metric)
+        out[name] = {
+            "per_fold": per_fold,
+            "pooled": pooled,
+            "chosen": chosen,
+            "params": params,
+            "pipeline": with_params(pipeline, params),
+        }
+    return out
+
+
 def select_model(
     models: dict[str, Transformer], val: DataFrame, metric: str = "roc_auc", y: str = LABEL
 ) -> DataFrame:

@@ -2,29 +2,170 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import calibrate, contract, cost, errors, metrics, models, telemetry, thresholds
+from ..operators import (
+    calibrate,
+    clean,
+    contract,
+    cost,
+    errors,
+    explain,
+    features,
+    metrics,
+    models,
+    split,
+    telemetry,
+    thresholds,
+)
 from ..operators.score import Scorer
+from ..operators.split import SEED
 from ..session import durable
 from ..sources import files
 from ..spec import (
+    COARSE_GRID,
     COST_SCENARIOS,
     DEFAULT_COSTS,
     FINAL_CANDIDATES,
     LABEL,
     CostScenario,
+    FeatureSpec,
     RetentionScenario,
     retention_grid,
     threshold_grid,
 )
 
 
+def prepare_dataset(
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    spec: FeatureSpec,
+    output: str,
+    numeric_text: Sequence[str] = (),
+    zero_filled: dict[str, str] | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """Raw file to clean, checked, labelled and split rows, written by split.
+
+    The key is dropped after the split, which needs it.
+    """
+    raw = files.read_table(spark, source, schema)
+    cleaned = clean.clean(raw, numeric_text, zero_filled)
+    clean.assert_dataset(cleaned, spec.target, (spec.positive, spec.negative))
+    labelled = clean.with_label(cleaned, spec.target, spec.positive, spec.negative)
+    parts = split.stratified_split(labelled, spec.key, LABEL, seed=seed)
+    files.write_splits(parts.drop(spec.key), output)
+    return spark.read.parquet(output)
+
+
+def run_threshold_analysis(oof: DataFrame, output: str, grid: Sequence[float] = tuple(COARSE_GRID)) -> DataFrame:
+    """Coarse sweep and the usual candidate thresholds; returns the candidates."""
+    sweep = durable(thresholds.threshold_sweep(oof, grid), "sweep")
+    candidates = thresholds.candidate_thresholds(sweep)
+    files.write_json(sweep, f"{output}/threshold_results")
+    files.write_json(candidates, f"{output}/optimal_thresholds")
+    return candidates
+
+
+def run_tuning(
+    train: DataFrame,
+    val: DataFrame,
+    families: dict,
+    n_iter: int,
+    key: str,
+    output: str,
+    metric: str = "roc_auc",
+    **options,
+) -> str:
+    """Tune each family by nested search on training rows and choose on validation rows."""
+    train, val = durable(train, "train"), durable(val, "val")
+    tuned = models.tune_families(train, families, n_iter, key, metric, **options)
+    fitted = {name: found["pipeline"].fit(train) for name, found in tuned.items()}
+    table = durable(models.select_model(fitted, val, metric), "selection")
+    spark = train.sparkSession
+    for name, found in tuned.items():
+        files.write_json(found["per_fold"], f"{output}/{name}/fold_scores")
+        files.write_json(found["pooled"], f"{output}/{name}/pooled_scores")
+        files.write_text(spark, json.dumps(found["chosen"], sort_keys=True), f"{output}/{name}/parameters")
+    files.write_json(table, f"{output}/selection")
+    return table.where("selected").first()["model"]
+
+
+def evaluate_model(
+    model: Transformer, test: DataFrame, output: str, threshold: float = 0.5, y: str = LABEL
+) -> DataFrame:
+    """Test report of a fitted model: ranking metrics, class report, confusion, curve points."""
+    scored = durable(models.add_score(test, model, keep=[y]), "test")
+    ranks = durable(metrics.rank_metrics(scored, y=y), "ranks")
+    files.write_json(ranks, f"{output}/rank_metrics")
+    files.write_json(metrics.label_metrics(scored, threshold, y=y), f"{output}/label_metrics")
+    files.write_json(metrics.classification_report(scored, threshold, y=y), f"{output}/classification_report")
+    metrics.roc_points(scored, y=y).write.mode("overwrite").parquet(f"{output}/roc_points")
+    metrics.pr_points(scored, y=y).write.mode("overwrite").parquet(f"{output}/pr_points")
+    return ranks
+
+
+def run_explanations(
+    model: PipelineModel,
+    background: DataFrame,
+    rows: DataFrame,
+    key: str,
+    threshold: float,
+    output: str,
+    y: str = LABEL,
+    k: int = 5,
+) -> None:
+    """Global, grouped and local attributions of a fitted pipeline, with mapping and provenance.
+
+    Linear models are explained in log-odds against the background, forests in probability.
+    The local part explains the first example of each outcome.
+    """
+    spark = rows.sparkSession
+    if isinstance(model.stages[-1], RandomForestClassificationModel):
+        def attribute(df):
+            return explain.forest_attribution(df, model, [key])
+
+        space = "probability"
+    else:
+        def attribute(df):
+            return explain.linear_model_attribution(df, model, background, [key]), None
+
+        space = "log-odds"
+    rows = durable(rows, "explained")
+    attr, base = attribute(rows)
+    attr = durable(attr, "attribution")
+    files.write_result_csv(explain.global_importance(attr), f"{output}/global_importance")
+    files.write_result_csv(
+        explain.grouped_importance(attr, features.feature_origins(model)), f"{output}/grouped_importance"
+    )
+    scored = models.add_score(rows, model, keep=[key, y])
+    chosen = durable(explain.examples(scored, threshold, key, y), "examples")
+    local = explain.local_explanations(attr.join(F.broadcast(chosen.select(key)), key, "left_semi"), [key], k)
+    files.write_json(chosen.join(local, key, "left"), f"{output}/local_explanations")
+    files.write_json(explain.feature_mapping(model, spark), f"{output}/feature_mapping")
+    provenance = {
+        "model_type": type(model.stages[-1]).__name__,
+        "output_space": space,
+        "base_value": base,
+        "threshold": threshold,
+        "feature_count": len(features.feature_names(model)),
+        "reference_source": "training rows",
+        "reference_rows": background.count(),
+        "explained_rows": rows.count(),
+        "pyspark_version": spark.version,
+    }
+    files.write_text(spark, json.dumps(provenance, indent=2, sort_keys=True), f"{output}/provenance")
+
+
 def choose_threshold(scored: DataFrame, costs: CostScenario = DEFAULT_COSTS, grid=None) -> float:
     """The cheapest threshold as a number (one row reaches the driver)."""
     best = cost.cheapest_threshold(cost.with_costs(thresholds.threshold_sweep(scored, grid), [costs]))
@@ -91,7 +232,7 @@ def run_retention_optimisation(
 
 
 def run_calibration(oof: DataFrame, fold: str, k: int, output: str) -> str:
-    """Cross-fit both calibrators, choose one, write the comparison; returns the method."""
+    """Cross-fit both calibrators, choose one, fit it on all rows, write comparison and model."""
     crossed = calibrate.cross_fit_calibration(oof, fold, k)
     table = durable(
         calibrate.calibration_table(calibrate.calibration_fold_metrics(crossed)), "methods"
@@ -99,7 +240,9 @@ def run_calibration(oof: DataFrame, fold: str, k: int, output: str) -> str:
     chosen = calibrate.select_calibration(table)
     files.write_json(table, f"{output}/calibration_metrics")
     files.write_json(chosen, f"{output}/calibration_choice")
-    return chosen.first()["selected_method"]
+    method = chosen.first()["selected_method"]
+    calibrate.fit_calibrator(oof, method).write().overwrite().save(f"{output}/calibrator")
+    return method
 
 
 def run_error_report(

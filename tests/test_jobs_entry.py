@@ -7,7 +7,7 @@ import pytest
 from riskframe.operators import split
 from riskframe.plans import jobs
 from riskframe.sources import files, views
-from riskframe.spec import RetentionScenario
+from riskframe.spec import FeatureSpec, RetentionScenario
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 SF = "/root/testdata/sf0.001"
@@ -56,6 +56,8 @@ def test_cost_job(spark, tmp_path):
     r = jobs.run_retention_optimisation(train, test, str(tmp_path), RetentionScenario(10.0, 100.0, 0.6, label="x"))
     assert documents(spark, f"{tmp_path}/retention_analysis")[0]["selected_threshold"] == r
     assert documents(spark, f"{tmp_path}/retention_test")[0]["threshold"] == r
+    policies = documents(spark, f"{tmp_path}/retention_analysis")[0]["baseline_comparison"]
+    assert policies["value_vs_no_contact"] >= 0 and doc["optimization_data"]["test_set_used_for_optimization"] is False
 
 
 def test_threshold_choice_never_reads_test_rows(spark, tmp_path):
@@ -75,6 +77,56 @@ def test_error_and_calibration_jobs(spark, tmp_path):
     assert len(documents(spark, f"{tmp_path}/calibration_metrics")) == 3
 
 
+def test_prepare_tune_evaluate_explain(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from riskframe.operators import models
+    from test_errors_explain import training_table
+
+    raw = training_table(spark, 500).select(
+        "id", F.col("x1").cast("string").alias("x1"), "x2", F.concat(F.lit(" "), "c").alias("c"),
+        F.when(F.col("y") == 1, "Yes").otherwise("No").alias("t"),
+    )
+    raw.write.option("header", True).csv(str(tmp_path / "raw.csv"))
+    spec = FeatureSpec.from_schema(raw.schema, "id", "t", ("x1", "x2"))
+    assert spec.categorical == ("c",)
+    data = jobs.prepare_dataset(spark, str(tmp_path / "raw.csv"), raw.schema, spec, str(tmp_path / "data"), ["x1"])
+    assert set(data.columns) == {"c", "x1", "x2", "y", "split"} and dict(data.dtypes)["x1"] == "double"
+    assert {r["split"]: r["count"] for r in data.groupBy("split").count().collect()} == {"test": 150, "val": 105, "train": 245}
+    keyed = data.withColumn("id", F.monotonically_increasing_id()).cache()
+    train, val, test = (keyed.where(F.col("split") == n) for n in ("train", "val", "test"))
+
+    families = {
+        "logistic": (models.risk_pipeline(spec, kind="logistic"), {"C": [0.01, 1.0]}),
+        "tree": (models.risk_pipeline(spec, kind="tree"), {"maxDepth": [1, 3]}),
+    }
+    out = str(tmp_path / "out")
+    chosen = jobs.run_tuning(train, val, families, 2, "id", out, outer=2, inner=2)
+    assert chosen in families
+    table = {r["model"]: r for r in documents(spark, f"{out}/selection")}
+    assert table[chosen]["score"] == max(r["score"] for r in table.values())
+    params = json.loads(files.read_text(spark, f"{out}/tree/parameters"))
+    assert [p["outer_fold"] for p in params] == [0, 1] and all(p["maxDepth"] in (1, 3) for p in params)
+
+    for kind in ("logistic", "forest"):
+        model = models.risk_pipeline(spec, kind=kind, numTrees=3, maxDepth=3).fit(train)
+        auc = jobs.evaluate_model(model, test, f"{out}/{kind}").first()["roc_auc"]
+        assert 0.5 < auc < 1 and len(documents(spark, f"{out}/{kind}/classification_report")) == 5
+        jobs.run_explanations(model, train, test, "id", 0.4, f"{out}/{kind}/why", k=2)
+        local = documents(spark, f"{out}/{kind}/why/local_explanations")
+        assert {d["outcome"] for d in local} == {"TN", "FP", "FN", "TP"}
+        assert all(len(d["top_positive"]) <= 2 for d in local if "top_positive" in d and d["top_positive"])
+        doc = json.loads(files.read_text(spark, f"{out}/{kind}/why/provenance"))
+        assert doc["feature_count"] == 4 and doc["explained_rows"] == 150
+        grouped = spark.read.option("header", True).csv(f"{out}/{kind}/why/grouped_importance")
+        assert {r["original_feature"] for r in grouped.collect()} == {"x1", "x2", "c"}
+
+
+def test_threshold_job(spark, tmp_path):
+    got = jobs.run_threshold_analysis(views.scored_documents(spark, SF), str(tmp_path))
+    assert got.count() == 4 and len(documents(spark, f"{tmp_path}/threshold_results")) == 17
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b")], "k int, v double, s string")
     df.write.option("header", True).csv(str(tmp_path / "t.csv"))
