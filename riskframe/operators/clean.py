@@ -47,7 +47,7 @@ def clean(
         if f.name in rule:
             c = zero_fill(df, rule[f.name], f.name)
         if f.name in numeric_text:
-            c = to_number(c.cast("string"))
+            c = to_number(c) if _is_text(df, f.name) else F.nanvl(c.cast("double"), F.lit(None).cast("double"))
         elif isinstance(f.dataType, T.StringType):
             c = blank_to_null(c)
         out.append((f.name, c))

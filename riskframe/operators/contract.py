@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.expressions import parse_double, trim_space
 from ..session import require_small
 
-ERRORS = "_errors"
+ERRORS, INPUT = "_errors", "_input"
 ERROR_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -177,9 +177,15 @@ class Contract:
         checked = self.check(df)
         return self.select_valid(checked), checked.where(F.size(ERRORS) > 0)
 
-    def select_valid(self, checked: DataFrame) -> DataFrame:
-        """Valid rows: numbers as doubles, categories trimmed, passthrough columns first."""
-        keep = [c for c in self.passthrough if c in checked.columns]
+    def select_valid(self, checked: DataFrame, keep_input: bool = False) -> DataFrame:
+        """Valid rows: numbers as doubles, categories trimmed, passthrough columns first.
+
+        ``keep_input`` carries the row as it arrived in the struct column ``_input``.
+        """
+        keep = [F.col(c) for c in self.passthrough if c in checked.columns]
+        if keep_input:
+            arrived = [F.col(c) for c in checked.columns if c != ERRORS]
+            keep = [F.struct(*arrived).alias(INPUT)]
         return checked.where(F.size(ERRORS) == 0).select(
             *keep,
             *[self._number(checked, c).alias(c) for c in self.numeric],
@@ -191,17 +197,22 @@ class Contract:
 
         Only the counts per column and code reach the driver.
         """
-        self.require_columns(df)
-        if df.isEmpty():
-            raise ContractError("Empty input", ["Input DataFrame is empty"])
+        return self.select_valid(self.checked_or_fail(df))
+
+    def checked_or_fail(self, df: DataFrame) -> DataFrame:
+        """The checked input if it has rows and no violation; one validation job."""
         checked = self.check(df)
-        found = violation_summary(checked).collect()
-        if found:
-            raise ContractError(
-                "Batch validation failed",
-                [f"{r['column']}: {r['code']} in {r['n']} rows" for r in found],
-            )
-        return self.select_valid(checked)
+        # a row without violations counts under NULL, so no counts at all means no rows
+        rows = checked.select(F.explode_outer(ERRORS).alias("e")).groupBy("e.column", "e.code").count()
+        found = sorted(
+            (r["column"] or "", r["code"] or "", r["count"]) for r in rows.collect()
+        )
+        if not found:
+            raise ContractError("Empty input", ["Input DataFrame is empty"])
+        broken = [f"{c}: {code} in {n} rows" for c, code, n in found if c]
+        if broken:
+            raise ContractError("Batch validation failed", broken)
+        return checked
 
     # -------------------------------------------------------- documents
 

@@ -23,7 +23,7 @@ from ..spec import LABEL, SCORE
 from .errors import OUTCOMES, with_outcome
 from .features import feature_names, feature_origins
 
-MAX_NODES = 4_000_000
+MAX_NODES = 2_000_000
 
 
 def _to_long(df: DataFrame, keep: Sequence[str], cells: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.expressions import predicted
 from ..sources.artifacts import Manifest, load_model
 from ..sources.files import read_text, tree_digest
 from .calibrate import CALIBRATED
-from .contract import ERRORS, Contract
+from .contract import ERRORS, INPUT, Contract
 from .models import add_score
 
 
@@ -60,6 +60,26 @@ class Scorer:
     def threshold(self, override: float | None = None) -> float:
         return check_threshold(self.manifest.production_threshold if override is None else override)
 
+    def decide(self, checked: DataFrame, threshold: float | None = None) -> DataFrame:
+        """Valid rows as they arrived, with probability, prediction, label and threshold.
+
+        A plain projection: usable on a batch, inside a micro-batch and on a stream.
+        """
+        t = self.threshold(threshold)
+        valid = self.contract.select_valid(checked, keep_input=True)
+        scored = with_decision(self.probabilities(valid), t)
+        return scored.select(
+            f"{INPUT}.*", "probability", "prediction", "prediction_label", F.lit(t).alias("threshold")
+        )
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """Input columns and probability."""
+        return self.score(df).drop("prediction", "prediction_label", "threshold")
+
+    def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
+        """Input columns and predicted class."""
+        return self.score(df, threshold).drop("probability", "prediction_label", "threshold")
+
     def probabilities(self, valid: DataFrame, name: str = "probability") -> DataFrame:
         """Valid rows with their (calibrated, where the model is) probability."""
         out = self.model.transform(valid)
@@ -77,9 +97,9 @@ class Scorer:
         """
         if mode not in ("fail", "valid"):
             raise ValueError("mode must be fail or valid")
-        t = self.threshold(threshold)
-        valid = self.contract.require_valid(df) if mode == "fail" else self.contract.split(df)[0]
-        out = with_decision(self.probabilities(valid), t).withColumn("threshold", F.lit(t))
+        self.threshold(threshold)
+        checked = self.contract.checked_or_fail(df) if mode == "fail" else self.contract.check(df)
+        out = self.decide(checked, threshold)
         return out if return_proba else out.drop("probability")
 
     def quarantine(self, df: DataFrame) -> DataFrame:

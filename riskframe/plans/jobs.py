@@ -299,7 +299,7 @@ def score_files(
         scored = scorer.score(rows, threshold)
         counted, watch = telemetry.observed(scored)
         out = counted.select(
-            *[c for c in scored.columns if c in rows.columns],
+            *rows.columns,
             F.col("prediction").alias("churn_prediction"),
             F.col("probability").alias("churn_probability"),
         )

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.contract import ERRORS
-from ..operators.score import Scorer, with_decision
+from ..operators.score import Scorer
 
 
 def scored_stream(stream: DataFrame, scorer: Scorer, threshold: float | None = None) -> DataFrame:
     """The scored valid rows of a stream (stateless: the batch plan under ``readStream``)."""
-    valid = scorer.contract.select_valid(scorer.contract.check(stream))
-    t = scorer.threshold(threshold)
-    return with_decision(scorer.probabilities(valid), t).withColumn("threshold", F.lit(t))
+    return scorer.decide(scorer.contract.check(stream), threshold)
 
 
 def start_scoring(
@@ -35,9 +33,7 @@ def start_scoring(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = scorer.contract.check(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        scored = with_decision(
-            scorer.probabilities(scorer.contract.select_valid(checked)), scorer.threshold(threshold)
-        )
+        scored = scorer.decide(checked, threshold)
         rejected = checked.where(F.size(ERRORS) > 0)
         for rows, path in ((scored, output), (rejected, quarantine)):
             rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -131,6 +131,9 @@ def test_scores(spark, saved):
     assert out.count() == rows.count()
     assert out.where((F.col("probability") >= 0.4) != (F.col("prediction") == 1)).isEmpty()
     assert out.where((F.col("prediction_label") == "Yes") != (F.col("prediction") == 1)).isEmpty()
+    assert out.columns[:4] == rows.columns
+    assert scorer.predict(rows).columns == [*rows.columns, "prediction"]
+    assert scorer.predict_proba(rows).columns == [*rows.columns, "probability"]
     assert "probability" not in scorer.score(rows, return_proba=False).columns
     assert scorer.score(rows, threshold=0.0).where("prediction = 0").isEmpty()
     with pytest.raises(ct.ContractError):
@@ -209,6 +212,9 @@ def test_file_scoring_and_events(spark, saved, tmp_path):
     assert got["rows"] == rows.count() == written.count()
     assert {"churn_prediction", "churn_probability"} <= set(written.columns)
     assert got["positive"] == written.where("churn_prediction = '1'").count()
+    assert written.columns == [*rows.columns, "churn_prediction", "churn_probability"]
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    assert written.select(*rows.columns).exceptAll(text).isEmpty()
     with pytest.raises(ct.ContractError):
         jobs.score_files(spark, path, source, out, events)
     log = files.read_events(spark, events).orderBy("timestamp").collect()
