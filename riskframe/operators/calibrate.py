@@ -151,7 +151,7 @@ def cross_fit_calibration(
     scored: DataFrame, fold: str, k: int, methods: Sequence[str] = METHODS, parallelism: int = 4
 ) -> DataFrame:
     """Held-out calibrated rows per method: ``(method, fold, y, p)``, baseline included."""
-    base = durable(scored.select(F.col(fold).alias("fold"), LABEL, SCORE), "folds")
+    base = durable(scored.select(F.col(fold).alias("fold"), LABEL, SCORE), "folds", "fold")
     parts = [base.select(F.lit("baseline").alias("method"), "fold", LABEL, SCORE)]
 
     def held_out(method: str, i: int) -> DataFrame:

@@ -173,7 +173,7 @@ def oof_scores(
     distributed jobs started from ``parallelism`` driver threads.
     """
     columns = list(keep) if keep is not None else df.columns
-    table = durable(df, "folds")
+    table = durable(df, "folds", fold)
 
     def held_out(i: int) -> DataFrame:
         model = pipeline.fit(table.where(F.col(fold) != i))
@@ -299,7 +299,9 @@ def nested_cv(
     Returns per-fold scores, the metrics of the pooled out-of-fold predictions (at 0.5 where
     a threshold is needed) and the parameters each outer fold chose. Every search runs once.
     """
-    outer_folds = durable(stratified_folds(df, key, y, outer, seed, "outer_fold"), "outer")
+    outer_folds = durable(
+        stratified_folds(df, key, y, outer, seed, "outer_fold"), "outer", "outer_fold"
+    )
     parts, chosen = [], []
     for i in range(outer):
         train = stratified_folds(

@@ -49,15 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
+def durable(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Cuts the lineage (iterative fits, scored tables read many times) and survives the
-    loss of executors, which cached blocks do not.
+    loss of executors, which cached blocks do not. With ``partition_by`` (a column of few
+    values, such as a fold) readers that filter on it open only the files they need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from riskframe.operators import cost
@@ -73,6 +75,49 @@ def test_default_grid_optima(scored):
     assert best(s, CostScenario(0, 200, 10, 200)) == (0.99, 40.0)
 
 
+def brute_force_choice(points, costs, grid):
+    """The choice rule written out for one list of (y, p)."""
+    rows = []
+    for t in grid:
+        tn = sum(1 for y, p in points if y == 0 and p < t)
+        fp = sum(1 for y, p in points if y == 0 and p >= t)
+        fn = sum(1 for y, p in points if y == 1 and p < t)
+        tp = sum(1 for y, p in points if y == 1 and p >= t)
+        total = tn * costs.cost_tn + fp * costs.cost_fp + fn * costs.cost_fn + tp * costs.cost_tp
+        rows.append((total, tp / (tp + fn) if tp + fn else 0.0, t))
+    low = min(r[0] for r in rows)
+    tied = [r for r in rows if r[0] == low]
+    if costs.cost_fp > costs.cost_fn:
+        return low, max(t for _, _, t in tied)
+    top = max(r[1] for r in tied)
+    return low, min(t for _, recall, t in tied if recall == top)
+
+
+def test_choice_equals_brute_force(spark):
+    """Many small groups with small whole costs, so that most optima are tied."""
+    rng = random.Random(11)
+    grid = [0.1, 0.25, 0.4, 0.5, 0.75, 0.9]
+    groups = {
+        g: [(rng.randint(0, 1), rng.choice([0.0, 0.1, 0.2, 0.4, 0.5, 0.6, 0.9, 1.0])) for _ in range(rng.randint(1, 6))]
+        for g in range(150)
+    }
+    scenarios = [
+        CostScenario(*[rng.randint(0, 3) for _ in range(4)], label=f"s{i}") for i in range(8)
+    ]
+    table = spark.createDataFrame(
+        [(g, y, p) for g, points in groups.items() for y, p in points], "g int, y int, p double"
+    )
+    costed = cost.with_costs(threshold_sweep(table, grid, ["g"]), scenarios)
+    got = {
+        (r["g"], r["scenario"]): (r["total_cost"], r["threshold"])
+        for r in cost.cheapest_threshold(costed, ["g"]).collect()
+    }
+    want = {
+        (g, s.label): brute_force_choice(points, s, grid) for g, points in groups.items() for s in scenarios
+    }
+    assert got == want
+
+
 def test_invalid_costs():
     for bad in ((-1, 0, 0, 0), (0, -1, 0, 0), (0, 0, float("nan"), 0), (0, 0, 0, float("inf"))):
         with pytest.raises(ValueError):
