@@ -76,7 +76,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def categorical_values(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
-    """The most frequent values of each column with its cardinality and how many are not shown.
+    """The most frequent values of each column, its cardinality, non-missing rows and how many
+    values are not shown.
 
     Ties in frequency go by value. The row-number filter is pushed below the shuffle, so a
     column of any cardinality sends ``top`` rows per task.
@@ -87,7 +88,10 @@ def categorical_values(df: DataFrame, columns: Sequence[str], top: int = 10) ->
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    distinct = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
+    # reads the counts too, so that both branches are the same plan and share one exchange
+    distinct = counted.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum("count").alias("n_present")
+    )
     w = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     first = counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return first.join(F.broadcast(distinct), "column").select(
@@ -96,6 +100,7 @@ def categorical_values(df: DataFrame, columns: Sequence[str], top: int = 10) ->
         "value",
         "count",
         "n_values",
+        "n_present",
         F.greatest(F.col("n_values") - top, F.lit(0)).alias("n_more"),
     )
 

@@ -364,8 +364,8 @@ l AS (SELECT 'lang' AS "column", lang AS value FROM feat UNION ALL SELECT 'sourc
   UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM feat),
 c AS (SELECT "column", value, count(*) AS "count" FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY "count" DESC, value) AS INTEGER) AS rank,
-  count(*) OVER (PARTITION BY "column") AS n_values FROM c)
-SELECT "column", rank, value, "count", n_values, greatest(n_values - 10, 0) AS n_more FROM r WHERE rank <= 10"""
+  count(*) OVER (PARTITION BY "column") AS n_values, CAST(sum("count") OVER (PARTITION BY "column") AS BIGINT) AS n_present FROM c)
+SELECT "column", rank, value, "count", n_values, n_present, greatest(n_values - 10, 0) AS n_more FROM r WHERE rank <= 10"""
 ORACLE["profile_correlation"] = f"WITH {CLEAN} " + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM clean"
     for a in THREE for b in THREE

@@ -59,13 +59,15 @@ def test_profile(frame):
     d = profile.describe_numeric(df, ["a"]).first()
     assert (d["count"], d["q50"], d["min"], d["max"]) == (5, 2.0, 1.0, 4.0) and d["std"] == pytest.approx(1.30384, abs=1e-5)
     c = profile.categorical_values(df, ["b"], top=1).collect()
-    assert [tuple(r) for r in c] == [("b", 1, "x", 3, 2, 1)]
+    assert [tuple(r) for r in c] == [("b", 1, "x", 3, 2, 4, 1)]
     corr = {(r["a"], r["b"]): r["corr"] for r in profile.correlation(df.withColumn("d", df.a * -2), ["a", "d"]).collect()}
     assert corr[("a", "d")] == pytest.approx(-1) and len(corr) == 4
 
 
 def test_top_values_are_limited_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("string(id) AS a", "string(id % 3) AS b")
-    plan = profile.categorical_values(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
-    initial = plan.split("== Initial Plan ==")[-1]
+    out = profile.categorical_values(df, ["a", "b"])
+    initial = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in initial and "Partial" in initial and "CartesianProduct" not in initial
