@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest number of driver-built rows (grids, scenarios, cut points) that may be
 # put into a plan as literals or broadcast.
 MAX_LITERAL_ROWS = 10_000
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(app: str = "riskframe", cores: str = "*", **conf: str) -> SparkSession:
@@ -38,15 +39,20 @@ def build_session(app: str = "riskframe", cores: str = "*", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables: the checkpoint folder of the session.
+
+    Only in local mode, where every task shares the machine, an unset folder is replaced by
+    a temporary one.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = os.path.join(tempfile.mkdtemp(prefix="riskframe-"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="riskframe-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def durable(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
