@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, packing, quality, simhash, tokens, urls
+from ..session import ship_package
+from . import html_text, language, leaks, licences, packing, passages, quality, simhash, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -19,6 +20,7 @@ def query(f: Query) -> Query:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +30,17 @@ def packed_rows(pieces: DataFrame) -> DataFrame:
     return packing.pack(digests)
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the rows that are not held out; predicted for all."""
+    docs = _table(spark, sf_dir, "documents")
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.crc32(number.cast("binary")) % 5 == 0
+    model = language.train(docs.filter(~held_out).select("text", "lang"))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +83,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).select("doc_id", *(f"quality.{c}" for c in names))
 
 
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.repeated_passages(docs)
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    trees = html_text.train(pages.select("html"))
+    return html_text.extract(pages, trees).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.common")
