@@ -111,13 +111,22 @@ def key_hash(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), k.cast("string")))
 
 
-def class_counts(df: DataFrame, label: str) -> dict[int, int]:
-    """Rows per class of a 0/1 label (two rows at most reach the driver)."""
-    checked = F.when(F.col(label).isin(0, 1), F.col(label).cast("int")).otherwise(
-        F.raise_error(F.lit("label must be 0 or 1")).cast("int")
+def class_counts(df: DataFrame, label: str, key: str) -> dict[int, int]:
+    """Rows per class of a 0/1 label; another label or a NULL key is an error.
+
+    One row for each class reaches the driver.
+    """
+    binary = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
+    rows = (
+        df.groupBy(F.when(binary, F.col(label).cast("int")).alias("y"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("keyless"))
+        .collect()
     )
-    rows = df.groupBy(checked.alias("y")).count().collect()
-    return {r["y"]: r["count"] for r in sorted(rows, key=lambda r: r["y"])}
+    if any(r["y"] is None for r in rows):
+        raise ValueError("label must be 0 or 1")
+    if keyless := sum(r["keyless"] for r in rows):
+        raise ValueError(f"key column {key} is NULL in {keyless} rows")
+    return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: r["y"])}
 
 
 def hash_cuts(
@@ -130,7 +139,8 @@ def hash_cuts(
 ) -> dict[int, list[str]]:
     """Hash of the ``r``-th row (1-based, by hash) of each class for every requested rank.
 
-    Keys must be unique. Only counts per digit group reach the driver, 4,096 per open
+    Rows that share a key share its hash: a rank inside such a group has the group's hash.
+    Only counts per digit group reach the driver, 4,096 per open
     group, until every group that holds a wanted rank has at most ``small`` rows.
     """
     base = df.select(F.col(label).cast("int").alias("y"), key_hash(key, seed).alias("h"))
@@ -180,14 +190,20 @@ def hash_cuts(
             ranks = sorted({rank for g in here for rank, _ in ready[g]})
             tag = F.concat_ws(":", F.col("y"), F.substring("h", 1, width))
             order = Window.partitionBy("y", "prefix").orderBy("h")
+            # a repeated key is one counted row before the window, however hot it is
             rows = (
                 base.where(tag.isin([f"{c}:{p}" for c, p in here]))
-                .select("y", F.substring("h", 1, width).alias("prefix"), "h")
-                .withColumn("rn", F.row_number().over(order))
-                .where(F.col("rn").isin(ranks))
+                .groupBy("y", F.substring("h", 1, width).alias("prefix"), "h")
+                .agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("upto", F.sum("n").over(order))
+                .withColumn(
+                    "inside",
+                    F.filter(F.lit(ranks), lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto"))),
+                )
+                .where(F.size("inside") > 0)
                 .collect()
             )
-            picked.update({(r["y"], r["prefix"], r["rn"]): r["h"] for r in rows})
+            picked.update({(r["y"], r["prefix"], rank): r["h"] for r in rows for rank in r["inside"]})
         for (c, prefix), wanted in ready.items():
             for rank, slot in wanted:
                 cuts[c][slot] = picked[(c, prefix, rank)]

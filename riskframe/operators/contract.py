@@ -14,6 +14,12 @@ from ..functions.expressions import parse_double, trim_space
 from ..session import require_small
 
 ERRORS, INPUT = "_errors", "_input"
+# The messages for faulty columns, in the order they are reported.
+COLUMN_FAULTS = {
+    "forbidden": "Forbidden fields present",
+    "missing": "Missing required fields",
+    "unexpected": "Unexpected fields",
+}
 ERROR_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -28,6 +34,8 @@ ERROR_TYPE = T.ArrayType(
 class ContractError(ValueError):
     """Input breaks the contract; ``errors`` lists what is wrong with its columns."""
 
+    category = "validation_error"
+
     def __init__(self, message: str, errors: Sequence[str]):
         self.errors = list(errors)
         super().__init__(f"{message}: {'; '.join(self.errors)}" if self.errors else message)
@@ -52,10 +60,11 @@ class Contract:
     forbidden: tuple[str, ...] = ()
     allow_unknown: bool = False
     passthrough: tuple[str, ...] = field(default=())
+    max_domain: int = 100_000  # values of one column's domain, which become literals of the plan
 
     def __post_init__(self):
         for c, domain in self.categorical.items():
-            require_small(list(domain), f"domain of {c}", 5_000)
+            require_small(list(domain), f"domain of {c}", self.max_domain)
 
     @property
     def feature_order(self) -> list[str]:
@@ -63,40 +72,30 @@ class Contract:
 
     # -------------------------------------------------------- columns
 
+    def column_status(self, columns: Sequence[str]) -> list[tuple[str, str]]:
+        """``(column, status)``: every column given, then every required one that is not."""
+        status = dict.fromkeys(columns, "unexpected")
+        roles = (("passthrough", self.passthrough), ("ok", self.feature_order), ("forbidden", self.forbidden))
+        for name, members in roles:
+            status.update((c, name) for c in members if c in status)
+        return [*status.items(), *((c, "missing") for c in self.feature_order if c not in status)]
+
     def column_errors(self, columns: Sequence[str]) -> list[str]:
-        """What is wrong with the set of columns."""
-        present, known = set(columns), {*self.feature_order, *self.passthrough}
-        out = []
-        forbidden = sorted(present & set(self.forbidden))
-        missing = [c for c in self.feature_order if c not in present]
-        unexpected = [c for c in columns if c not in known]
-        if forbidden:
-            out.append(f"Forbidden fields present: {forbidden}")
-        if missing:
-            out.append(f"Missing required fields: {missing}")
-        if unexpected:
-            out.append(f"Unexpected fields: {unexpected}")
-        return out
+        """One line for each kind of fault among the columns, with the columns at fault."""
+        found: dict[str, list[str]] = {}
+        for column, status in self.column_status(columns):
+            found.setdefault(status, []).append(column)
+        found["forbidden"] = sorted(found.get("forbidden", ()))
+        return [f"{text}: {found[status]}" for status, text in COLUMN_FAULTS.items() if found.get(status)]
 
     def column_report(self, df: DataFrame) -> DataFrame:
         """``(column, status)`` for every column of the input and every required one."""
-        forbidden, known = set(self.forbidden), set(self.feature_order)
-        status = []
-        for c in df.columns:
-            kind = (
-                "forbidden" if c in forbidden
-                else "ok" if c in known
-                else "passthrough" if c in self.passthrough
-                else "unexpected"
-            )
-            status.append((c, kind))
-        status += [(c, "missing") for c in self.feature_order if c not in df.columns]
-        return df.sparkSession.createDataFrame(status, "column string, status string")
+        return df.sparkSession.createDataFrame(self.column_status(df.columns), "column string, status string")
 
     def require_columns(self, df: DataFrame) -> DataFrame:
         errors = self.column_errors(df.columns)
         if errors:
-            raise ContractError("Input validation failed", errors)
+            raise ContractError("columns break the contract", errors)
         return df
 
     # -------------------------------------------------------- rows
@@ -158,7 +157,7 @@ class Contract:
 
         checks = [problem("missing", blank)]
         if not self.allow_unknown:
-            known = F.array_contains(F.array(*[F.lit(d) for d in domain]), text)
+            known = text.isin(*domain)
             checks.append(problem("unknown_category", ~blank & ~known))
         return checks
 
@@ -208,10 +207,10 @@ class Contract:
             (r["column"] or "", r["code"] or "", r["count"]) for r in rows.collect()
         )
         if not found:
-            raise ContractError("Empty input", ["Input DataFrame is empty"])
+            raise ContractError("empty input", ["no rows to score"])
         broken = [f"{c}: {code} in {n} rows" for c, code, n in found if c]
         if broken:
-            raise ContractError("Batch validation failed", broken)
+            raise ContractError("rows break the contract", broken)
         return checked
 
     # -------------------------------------------------------- documents

@@ -31,6 +31,8 @@ from .split import SEED, stratified_folds
 
 SIX = ("roc_auc", "average_precision", "accuracy", "precision", "recall", "f1")
 
+MAX_DEPTH = 30  # Spark's limit
+
 
 class RiskClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """A binary classifier named by ``kind``: prior, logistic, tree or forest.
@@ -87,12 +89,12 @@ class RiskClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             )
         elif kind == "tree":
             est = DecisionTreeClassifier(
-                maxDepth=min(get(self.maxDepth), 30), minInstancesPerNode=get(self.minLeaf),
+                maxDepth=checked_depth(get(self.maxDepth)), minInstancesPerNode=get(self.minLeaf),
                 seed=get(self.seed), **common,
             )
         elif kind == "forest":
             est = RandomForestClassifier(
-                numTrees=get(self.numTrees), maxDepth=min(get(self.maxDepth), 30),
+                numTrees=get(self.numTrees), maxDepth=checked_depth(get(self.maxDepth)),
                 minInstancesPerNode=get(self.minLeaf), featureSubsetStrategy=get(self.subset),
                 seed=get(self.seed), **common,
             )
@@ -107,6 +109,13 @@ class RiskClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return fitted
 
 
+def checked_depth(depth: int) -> int:
+    """A tree depth that Spark can fit; a deeper request is an error, not another model."""
+    if not 0 <= depth <= MAX_DEPTH:
+        raise ValueError(f"tree depth {depth} is outside 0 to {MAX_DEPTH}")
+    return depth
+
+
 def _constant(rate: float) -> Transformer:
     """A fitted model that gives every row the training prevalence."""
     return SQLTransformer(statement=f"SELECT *, {rate!r}D AS constant_probability FROM __THIS__")

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..failures import ArtifactMissing, ArtifactTampered, BadRequest
 from ..functions.expressions import predicted
 from ..sources.artifacts import Manifest, load_model
 from ..sources.files import read_text, tree_digest
@@ -18,7 +19,7 @@ from .models import add_score
 
 def check_threshold(value: float) -> float:
     if not 0.0 <= value <= 1.0:
-        raise ValueError("threshold must be in [0, 1]")
+        raise BadRequest("threshold must be in [0, 1]")
     return float(value)
 
 
@@ -47,11 +48,18 @@ class Scorer:
     @classmethod
     def load(cls, spark: SparkSession, path: str, verify: bool = True, **contract_options) -> Scorer:
         """Read saved artifacts; the model is loaded only after its hash was compared."""
-        manifest = Manifest.from_json(read_text(spark, f"{path}/manifest"))
-        contract = Contract.from_json(read_text(spark, f"{path}/contract"), **contract_options)
-        if verify and tree_digest(spark, f"{path}/model") != manifest.model_hash:
-            raise ValueError("model integrity check failed: sha256 differs from the manifest")
-        return cls(load_model(f"{path}/model"), contract, manifest)
+        try:
+            manifest = Manifest.from_json(read_text(spark, f"{path}/manifest"))
+            contract = Contract.from_json(read_text(spark, f"{path}/contract"), **contract_options)
+            found = tree_digest(spark, f"{path}/model") if verify else manifest.model_hash
+        except Exception as exc:
+            raise ArtifactMissing(f"artifacts below {path} cannot be read") from exc
+        if found != manifest.model_hash:
+            raise ArtifactTampered(f"integrity: the model below {path} has another sha256 than its manifest")
+        try:
+            return cls(load_model(f"{path}/model"), contract, manifest)
+        except Exception as exc:
+            raise ArtifactMissing(f"the model below {path} cannot be loaded") from exc
 
     def keeping(self, *columns: str) -> Scorer:
         """The same scorer letting extra columns (keys) pass through."""

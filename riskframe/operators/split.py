@@ -38,8 +38,12 @@ def stratified_split(
     seed: int = SEED,
     name: str = "split",
 ) -> DataFrame:
-    """Add train/val/test: ``test`` of all rows, then ``val`` of the remaining ones."""
-    counts = class_counts(df, label)
+    """Add train/val/test: ``test`` of all rows, then ``val`` of the remaining ones.
+
+    Sizes are exact for unique keys. Rows that share a key stay together, so a size can be
+    off by the rows of one key at most at each cut. A NULL key is an error.
+    """
+    counts = class_counts(df, label, key)
     if not counts:
         raise ValueError("nothing to split")
     n = sum(counts.values())
@@ -62,10 +66,14 @@ def stratified_split(
 def stratified_folds(
     df: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED, name: str = "fold"
 ) -> DataFrame:
-    """Add a fold number 0..k-1; class counts differ by at most one between folds."""
+    """Add a fold number 0..k-1; class counts of unique keys differ by at most one between folds.
+
+    Rows that share a key stay in one fold; a key with more rows than a fold holds fills it
+    beyond its share and may leave the next one empty. A NULL key is an error.
+    """
     if k < 2:
         raise ValueError("at least two folds are needed")
-    counts = class_counts(df, label)
+    counts = class_counts(df, label, key)
     if not counts:
         raise ValueError("nothing to split")
     targets = {}

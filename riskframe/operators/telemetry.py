@@ -42,18 +42,14 @@ COUNTED = ERROR_CATEGORIES[:4]
 
 
 def error_category(exc: BaseException) -> str:
-    """Category of a failed scoring call."""
-    from .contract import ContractError
-
-    if isinstance(exc, ContractError):
-        return "validation_error"
-    if isinstance(exc, ValueError):
-        text = str(exc).lower()
-        if "integrity" in text or "sha256" in text:
-            return "artifact_integrity_error"
-        return "artifact_load_error"
-    if isinstance(exc, OSError):
-        return "artifact_load_error"
+    """Category of a failed scoring call: the exception's own, or that of what caused it."""
+    seen = []
+    while exc is not None and exc not in seen:
+        own = getattr(exc, "category", None)
+        if own in ERROR_CATEGORIES:
+            return own
+        seen.append(exc)
+        exc = exc.__cause__
     return "unknown_error"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..failures import ScoringFailed
 from ..operators import (
     calibrate,
     clean,
@@ -306,7 +307,10 @@ def score_files(
         writer = out.write.mode("overwrite")
         if output_format == "csv":
             writer = writer.option("header", True)
-        writer.format(output_format).save(output)
+        try:
+            writer.format(output_format).save(output)
+        except Exception as exc:
+            raise ScoringFailed(f"scoring to {output} failed") from exc
     except Exception as exc:
         log(failure=telemetry.error_category(exc))
         raise

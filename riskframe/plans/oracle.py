@@ -19,6 +19,9 @@ scored AS (
          round(1 / (1 + exp(-({RIVAL_INTERCEPT} + ({RIVAL_WEIGHTS['dw']}) * dw))), 6) AS p_rival
   FROM feat)"""
 
+# the same for all documents; y is NULL without a label
+SCORED_ALL = SCORED.replace("JOIN labels", "LEFT JOIN labels")
+
 RETURNS = """
 scored AS (
   SELECT l_orderkey, l_linenumber, l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
@@ -76,6 +79,8 @@ def values_grid(*cents: int) -> str:
 SWEEP_OUT = f"threshold, tn, fp, fn, tp, {rounded(RATES)}"
 ORACLE["threshold_sweep"] = f"{sweep()} SELECT {SWEEP_OUT} FROM sweep"
 ORACLE["threshold_sweep_returns"] = f"{sweep(RETURNS)} SELECT {SWEEP_OUT} FROM sweep"
+FINE = "SELECT CAST(i AS DOUBLE) / 1000 AS threshold FROM range(10, 991) r(i)"
+ORACLE["threshold_grid_fine"] = f"{sweep(RETURNS, grid=FINE)} SELECT {SWEEP_OUT} FROM sweep"
 ORACLE["threshold_sweep_by_lang"] = (
     f"{sweep(by='lang, threshold', grid=COARSE)} SELECT lang, {SWEEP_OUT} FROM sweep"
 )
@@ -265,7 +270,7 @@ r AS (SELECT '0' AS label, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS suppor
  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM m
  UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n FROM m)
 SELECT label, {rounded(['precision', 'recall', 'f1'])}, CAST(support AS BIGINT) AS support FROM r"""
-ORACLE["positive_share"] = f"""WITH {SCORED}
+ORACLE["positive_share"] = f"""WITH {SCORED_ALL}
 SELECT lang, count(*) AS n, count(*) FILTER (p >= {T}) AS positive,
   round(avg(CASE WHEN p >= {T} THEN 1.0 ELSE 0.0 END), 6) AS positive_share FROM scored GROUP BY lang"""
 ORACLE["scored_checks"] = f"""WITH {SCORED},
@@ -359,7 +364,7 @@ def numeric_line(c: str) -> str:
 
 THREE = ["acctbal", "tenure", "total_text"]
 ORACLE["profile_numeric"] = f"WITH {CLEAN} " + " UNION ALL ".join(numeric_line(c) for c in THREE)
-ORACLE["profile_categorical"] = f"""WITH {SCORED},
+ORACLE["profile_categorical"] = f"""WITH {SCORED_ALL},
 l AS (SELECT 'lang' AS "column", lang AS value FROM feat UNION ALL SELECT 'source', source FROM feat
   UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM feat),
 c AS (SELECT "column", value, count(*) AS "count" FROM l WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -554,7 +559,7 @@ def attribution(weights: dict[str, float]) -> str:
         f"SELECT doc_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, ({w}) * ({c} - (SELECT avg({c}) FROM scored)) AS contribution FROM scored"
         for c, w in weights.items()
     )
-    return f"WITH {SCORED}, attr AS ({body})"
+    return f"WITH {SCORED_ALL}, attr AS ({body})"
 
 
 PINNED = attribution(DOC_WEIGHTS)
@@ -638,7 +643,7 @@ SELECT doc_id, y, fold, round(1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))), 4
 Z = "ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6)))"
 LOGITS = f"cells AS (SELECT fold, y, 1.0 AS w, {Z} AS z FROM folds)"
 ORACLE["sigmoid_calibration"] = f"""WITH {FOLDS}, {LOGITS}, {newton(['z'], 1.0, 'SELECT -1 AS g')}
-SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 4) AS p FROM folds, fit"""
+SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 4) AS p FROM (WITH {SCORED_ALL} SELECT doc_id, p FROM scored), fit"""
 GRIDDED = FOLDS.replace("folds AS (SELECT *,", "folds AS (SELECT * REPLACE (round(p, 2) AS p),")
 
 
@@ -684,7 +689,8 @@ ORDER BY total_cost, tp DESC, threshold LIMIT 1"""
 # ------------------------------------------------------------ scoring
 
 SCORES = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g')},
-sc AS (SELECT doc_id, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS q FROM folds, fit)"""
+sc AS (SELECT doc_id, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS q
+  FROM (WITH {SCORED_ALL} SELECT doc_id, dw, log_chars FROM feat), fit)"""
 ORACLE["score_batch"] = f"""{SCORES}
 SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS prediction, CASE WHEN q >= 0.19 THEN 'Yes' ELSE 'No' END AS prediction_label,
   CAST(0.19 AS DOUBLE) AS threshold FROM sc"""

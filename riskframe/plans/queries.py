@@ -75,6 +75,11 @@ def threshold_sweep_returns(spark, sf):
     return thresholds.threshold_sweep(views.scored_returns(spark, sf))
 
 
+@query
+def threshold_grid_fine(spark, sf):
+    return thresholds.threshold_sweep(views.scored_returns(spark, sf), threshold_grid(0.01, 0.99, 0.001))
+
+
 @query
 def threshold_sweep_by_lang(spark, sf):
     return thresholds.threshold_sweep(views.scored_documents(spark, sf), COARSE_GRID, ["lang"])
@@ -235,7 +240,7 @@ def classification_report(spark, sf):
 
 @query
 def positive_share(spark, sf):
-    return metrics.positive_share(views.scored_documents(spark, sf), DOC_THRESHOLD, ["lang"])
+    return metrics.positive_share(views.scored_documents(spark, sf, labelled=False), DOC_THRESHOLD, ["lang"])
 
 
 @query
@@ -335,7 +340,7 @@ def profile_numeric(spark, sf):
 @query
 def profile_categorical(spark, sf):
     return profile.categorical_values(
-        views.documents_with_features(spark, sf).withColumn("n_chars", F.col("n_chars").cast("string")),
+        views.documents_with_features(spark, sf, labelled=False).withColumn("n_chars", F.col("n_chars").cast("string")),
         ["lang", "source", "n_chars"],
     )
 
@@ -617,7 +622,7 @@ SPREAD = {"dw": "words", "log_chars": "length"}
 
 
 def pinned_attribution(spark, sf):
-    scored = views.scored_documents(spark, sf)
+    scored = views.scored_documents(spark, sf, labelled=False)
     means = explain.column_means(scored, list(views.DOC_WEIGHTS))
     return explain.linear_attribution(scored, ["doc_id"], views.DOC_WEIGHTS, means)
 
@@ -634,7 +639,7 @@ def global_importance(spark, sf):
 
 @query
 def grouped_importance(spark, sf):
-    scored = views.scored_documents(spark, sf)
+    scored = views.scored_documents(spark, sf, labelled=False)
     weights = {"dw": -11.06, "log_chars": -0.50, "n_chars": 0.0001}
     attr = explain.linear_attribution(
         scored, ["doc_id"], weights, explain.column_means(scored, list(weights))
@@ -689,7 +694,7 @@ def oof_logistic(spark, sf):
 
 @query
 def sigmoid_calibration(spark, sf):
-    scored = views.scored_documents(spark, sf).select("doc_id", "p")
+    scored = views.scored_documents(spark, sf, labelled=False).select("doc_id", "p")
     fitted = calibrate.fit_calibrator(views.scored_documents(spark, sf), "sigmoid")
     return calibrate.apply_calibrator(scored, fitted).withColumn("p", F.round("p", 4))
 
@@ -738,15 +743,15 @@ def calibrated_threshold(spark, sf):
 
 
 def saved_scorer(spark, sf):
-    """Fit, write and reload a model; the second value is the table to score."""
-    fitted, table = pinned_logistic(spark, sf)
+    """Fit on labelled documents and write the model; the second value is the table to score: all documents."""
+    fitted, _ = pinned_logistic(spark, sf)
     path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
     rules = {"dw": contract.NumericRule("float", 0.0, 1.0), "log_chars": contract.NumericRule("float", 0.0)}
     artifacts.save_artifacts(
         spark, path, fitted, artifacts.derive_contract(fitted, rules, ("y",)), 0.19,
         "Business cost optimization on OOF probabilities", "threshold optimisation",
     )
-    return path, table.select("doc_id", *MODEL_NUMERIC)
+    return path, views.documents_with_features(spark, sf, labelled=False).select("doc_id", *MODEL_NUMERIC)
 
 
 @query

@@ -123,12 +123,14 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree_digest(spark: SparkSession, path: str) -> str:
-    """One hash for a folder: over the sorted hashes and names below it.
+    """One hash for a folder: over the sorted relative names and hashes below it.
 
     Meant for model folders, whose list of files is short.
     """
     digests = file_digests(spark, path)
-    line = F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "sha256")
+    # names relative to the folder, so that a file moved or swapped inside it changes the hash
+    folder = f"/{path.rstrip('/').rsplit('/', 1)[-1]}/"
+    line = F.concat_ws(":", F.substring_index("file", folder, -1), "sha256")
     return digests.agg(
         F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("h")
     ).first()["h"]

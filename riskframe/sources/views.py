@@ -32,8 +32,11 @@ def linear_score(weights: dict[str, float], intercept: float) -> Column:
     return z
 
 
-def documents_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with numeric features. The text is reduced before the join."""
+def documents_with_features(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Documents with numeric features; all of them (``y`` NULL without a label) or the labelled ones.
+
+    The text is reduced before the join.
+    """
     words = F.split(F.col("text"), " ", -1)
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -46,12 +49,12 @@ def documents_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", (1 - F.col("quality")).cast("int").alias("y")
     )
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", "inner" if labelled else "left")
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """``doc_id, lang, source, n_chars, dw, log_chars, y, p`` with ``p`` at six decimals."""
-    return documents_with_features(spark, sf_dir).withColumn(
+    return documents_with_features(spark, sf_dir, labelled).withColumn(
         "p", F.round(sigmoid(linear_score(DOC_WEIGHTS, DOC_INTERCEPT)), 6)
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import math
 from dataclasses import asdict, dataclass
 
@@ -116,15 +118,18 @@ def retention_grid(
 
 
 def threshold_grid(start: float = 0.01, end: float = 0.99, step: float = 0.01) -> list[float]:
-    """Ascending thresholds rounded to two decimals."""
-    if not (0.0 <= start <= 1.0 and 0.0 <= end <= 1.0):
-        raise ValueError("grid ends must be in [0, 1]")
-    if step <= 0:
-        raise ValueError("step must be positive")
-    if start >= end:
-        raise ValueError("start must be below end")
-    n = round((end - start) / step) + 1
-    return check_grid([t for t in (round(start + i * step, 2) for i in range(n)) if t <= 1.0])
+    """All thresholds ``start + i * step`` up to ``end``, counted in exact decimals.
+
+    The numbers are taken as they are written (0.001 is one thousandth), so a grid of any
+    step has all its thresholds, each the float nearest to its decimal, and none beyond its
+    end. An end that no step meets is not a threshold.
+    """
+    first, last, width = (Decimal(str(x)) for x in (start, end, step))
+    if not 0 <= first < last <= 1:
+        raise ValueError(f"a grid rises inside [0, 1]; got {start} to {end}")
+    if not width > 0:
+        raise ValueError(f"a grid rises by a positive step; got {step}")
+    return check_grid(float(first + i * width) for i in range(int((last - first) / width) + 1))
 
 
 def check_grid(grid) -> list[float]:

@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe import failures
 from riskframe.operators import contract as ct
 from riskframe.operators import models, score, telemetry
 from riskframe.plans import jobs
 from riskframe.sources import artifacts, files
+from riskframe.sources.files import tree_digest
 from riskframe.streaming import scoring as stream_scoring
 from riskframe.streaming import telemetry as stream_telemetry
 from test_errors_explain import training_table
@@ -255,14 +257,35 @@ def test_counters(spark):
         telemetry.scoring_event(spark, "x", 1.0, 0.1, failure="odd")
 
 
-def test_categories():
+def test_categories(spark, tmp_path):
     c = telemetry.error_category
     assert c(ct.ContractError("x", [])) == "validation_error"
-    assert c(ValueError("SHA256 mismatch")) == "artifact_integrity_error"
-    assert c(ValueError("other")) == "artifact_load_error"
-    assert c(FileNotFoundError("x")) == "artifact_load_error"
-    assert c(json.JSONDecodeError("x", "", 0)) == "artifact_load_error"
-    assert c(RuntimeError("x")) == "unknown_error"
+    assert c(failures.ArtifactTampered("x")) == "artifact_integrity_error"
+    assert c(failures.ScoringFailed("x")) == "inference_error"
+    assert c(RuntimeError("sha256 integrity")) == c(ValueError("other")) == "unknown_error"
+    wrapped = RuntimeError("outer")
+    wrapped.__cause__ = failures.ArtifactMissing("inner")
+    assert c(wrapped) == "artifact_load_error"
+    with pytest.raises(failures.ArtifactMissing) as missing:
+        score.Scorer.load(spark, f"{tmp_path}/nowhere")
+    assert c(missing.value) == "artifact_load_error"
+    with pytest.raises(ValueError) as wrong:
+        score.check_threshold(1.5)
+    assert c(wrong.value) == "validation_error"
+
+
+def test_digest_sees_moved_and_swapped_files(spark, tmp_path):
+    def digest(files):
+        root = tmp_path / f"m{len(list(tmp_path.iterdir()))}" / "model"
+        for name, text in files.items():
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_text(text)
+        return tree_digest(spark, str(root))
+
+    plain = digest({"a/part": "1", "b/part": "2"})
+    assert plain == digest({"a/part": "1", "b/part": "2"})
+    assert plain != digest({"a/part": "2", "b/part": "1"})
+    assert plain != digest({"a/part": "1", "c/part": "2"})
 
 
 def test_events_hold_no_row_data():

@@ -80,3 +80,22 @@ def test_samples(people):
     b = {r["id"] for r in split.sample_rows(people.repartition(5), "id", 500).collect()}
     assert len(a) == 500 and a == b
     assert [r["id"] for r in split.first_rows(people, ["id"], 3).collect()] == [0, 1, 2]
+
+
+def test_repeated_keys_stay_together(spark):
+    """A hot key with half of the rows: whole keys share a block, the other sizes are near."""
+    rows = [(0 if i % 2 else 1 + i % 100, i % 3 == 0) for i in range(1000)]
+    df = spark.createDataFrame([(k, int(y)) for k, y in rows], "k long, y int")
+    folds = split.stratified_folds(df, "k", "y", 5)
+    assert folds.count() == 1000
+    assert folds.groupBy("k", "y").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    parts = split.stratified_split(df.where("k > 0"), "k", "y", 0.3, 0.3)
+    sizes = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert abs(sizes["test"] - 150) <= 20 and abs(sizes["val"] - 105) <= 20
+
+
+@pytest.mark.parametrize("cut", [split.stratified_folds, split.stratified_split])
+def test_null_keys_are_named(spark, cut):
+    df = spark.createDataFrame([(1, 0), (None, 1), (3, 1)], "k long, y int")
+    with pytest.raises(ValueError, match="key column k is NULL in 1 rows"):
+        cut(df, "k", "y")

@@ -61,6 +61,10 @@ def test_grid():
     grid = threshold_grid()
     assert len(grid) == 99 and grid[0] == 0.01 and grid[-1] == 0.99 and grid == sorted(grid)
     assert grid == [i / 100 for i in range(1, 100)]
+    fine = threshold_grid(0.01, 0.99, 0.001)
+    assert len(fine) == 981 and fine[1] == 0.011 and fine[-1] == 0.99
+    assert threshold_grid(0.06, 0.96, 0.1) == [0.06, 0.16, 0.26, 0.36, 0.46, 0.56, 0.66, 0.76, 0.86, 0.96]
+    assert threshold_grid(0.0, 0.95, 0.1)[-1] == 0.9
     assert len(COARSE_GRID) == 17 and COARSE_GRID[-1] == 0.9
     for bad in ((-0.1, 0.5, 0.1), (0.1, 1.5, 0.1), (0.1, 0.5, 0.0), (0.5, 0.5, 0.1), (0.6, 0.5, 0.1)):
         with pytest.raises(ValueError):
