@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import sql_literal
 from ..functions.ranking import exact_quantiles
-from ..session import require_small
+from ..session import durable, require_small
 
-MAX_CATEGORIES = 5_000
+MAX_CATEGORIES = 100_000  # default of the parameter: values of one column, which become labels of the model
 
 
 def _long(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
@@ -85,16 +85,19 @@ def with_class_weight(df: DataFrame, label: str, weights: dict[int, float], name
 
 
 def one_hot_long(
-    df: DataFrame, key: str, columns: Sequence[str], domains: dict[str, Sequence[str]]
+    df: DataFrame, key: str, columns: Sequence[str], domains: dict[str, Sequence[str]], max_categories: int = 5_000
 ) -> DataFrame:
-    """``(key, feature, value)`` of the encoded categories; an unknown value has only zeros."""
+    """``(key, feature, value)`` of the encoded categories; an unknown value has only zeros.
+
+    Every category is a row of the result; a column with more than ``max_categories`` is an error.
+    """
     cells = [
         F.struct(
             F.lit(f"cat__{c}_{v}").alias("feature"),
             F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).cast("double").alias("value"),
         )
         for c in columns
-        for v in require_small(list(domains[c]), f"domain of {c}", MAX_CATEGORIES)
+        for v in require_small(list(domains[c]), f"domain of {c}", max_categories)
     ]
     return df.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
 
@@ -111,9 +114,16 @@ class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         Params._dummy(), "categorical", "categorical columns", TypeConverters.toListString
     )
 
-    def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = ()):
+    maxCategories = Param(
+        Params._dummy(), "maxCategories", "most values of one categorical column", TypeConverters.toInt
+    )
+
+    def __init__(
+        self, numeric: Sequence[str] = (), categorical: Sequence[str] = (), maxCategories: int = MAX_CATEGORIES
+    ):
         super().__init__()
-        self._set(numeric=list(numeric), categorical=list(categorical))
+        self._setDefault(maxCategories=MAX_CATEGORIES)
+        self._set(numeric=list(numeric), categorical=list(categorical), maxCategories=maxCategories)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         num, cat = self.getOrDefault(self.numeric), self.getOrDefault(self.categorical)
@@ -126,14 +136,17 @@ class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
                 raise ValueError(f"no values to impute from in {lost}")
             fills.update(found)
         if cat:
-            # at most MAX_CATEGORIES values per column (and one row more) reach the driver
-            counted = category_counts(dataset, cat)
-            domain = counted.limit(MAX_CATEGORIES * len(cat) + 1).collect()
-            if len(domain) > MAX_CATEGORIES * len(cat):
-                raise ValueError(f"a categorical column has more than {MAX_CATEGORIES} values")
+            most = self.getOrDefault(self.maxCategories)
+            counted = durable(category_counts(dataset, cat), "categories")
+            sizes = {r["column"]: r["count"] for r in counted.groupBy("column").count().collect()}
+            if large := {c: n for c, n in sizes.items() if n > most}:
+                raise ValueError(f"columns with more than {most} categories: {large}")
+            domain: dict[str, dict[str, int]] = {c: {} for c in cat}
+            for r in counted.collect():
+                domain[r["column"]][r["value"]] = r["n"]
             for c in cat:
-                values = {r["value"]: r["n"] for r in domain if r["column"] == c}
-                labels[c] = require_small(sorted(values), f"domain of {c}", MAX_CATEGORIES)
+                values = domain[c]
+                labels[c] = require_small(sorted(values), f"domain of {c}", most)
                 fills[c] = min(values, key=lambda v: (-values[v], v))
         parts = [
             f"coalesce(nanvl(cast(`{c}` AS double), cast(NULL AS double)), {fills[c]!r}D) AS `num__{c}`"

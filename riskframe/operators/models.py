@@ -181,8 +181,13 @@ def oof_scores(
     The folded table is written first: every fit reads it many times. The k fits are
     distributed jobs started from ``parallelism`` driver threads.
     """
-    columns = list(keep) if keep is not None else df.columns
-    table = durable(df, "folds", fold)
+    return _cross_scored(durable(df, "folds", fold), pipeline, k, fold, list(keep or df.columns), parallelism)
+
+
+def _cross_scored(
+    table: DataFrame, pipeline: Estimator, k: int, fold: str, columns: list[str], parallelism: int = 4
+) -> DataFrame:
+    """Out-of-fold scores of a table that is written by fold already."""
 
     def held_out(i: int) -> DataFrame:
         model = pipeline.fit(table.where(F.col(fold) != i))
@@ -205,9 +210,9 @@ def cv_metrics(df: DataFrame, pipeline: Estimator, k: int, fold: str = "fold", y
 
 def compare_models(df: DataFrame, models: dict[str, Estimator], k: int, fold: str = "fold", y: str = LABEL) -> DataFrame:
     """``(model, metric, mean, std)`` for several pipelines, best ROC-AUC first."""
-    df = durable(df, "compare")
+    table = durable(df, "folds", fold)
     parts = [
-        oof_scores(df, p, k, fold, keep=[y, fold]).withColumn("model", F.lit(name))
+        _cross_scored(table, p, k, fold, [y, fold]).withColumn("model", F.lit(name))
         for name, p in models.items()
     ]
     scored = parts[0]

@@ -644,7 +644,6 @@ Z = "ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1
 LOGITS = f"cells AS (SELECT fold, y, 1.0 AS w, {Z} AS z FROM folds)"
 ORACLE["sigmoid_calibration"] = f"""WITH {FOLDS}, {LOGITS}, {newton(['z'], 1.0, 'SELECT -1 AS g')}
 SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 4) AS p FROM (WITH {SCORED_ALL} SELECT doc_id, p FROM scored), fit"""
-GRIDDED = FOLDS.replace("folds AS (SELECT *,", "folds AS (SELECT * REPLACE (round(p, 2) AS p),")
 
 
 def isotonic(groups: str) -> str:
@@ -656,9 +655,9 @@ low AS (SELECT x.g, x.i, b.j, min(b.m) AS m FROM pre x JOIN blk b ON b.g = x.g A
 iso AS (SELECT l.g, pre.p, max(l.m) AS v FROM low l JOIN pre ON pre.g = l.g AND pre.i = l.i GROUP BY 1, 2)"""
 
 
-ORACLE["isotonic_calibration"] = f"""WITH {GRIDDED}, {isotonic('SELECT -1 AS g')}
+ORACLE["isotonic_calibration"] = f"""WITH {FOLDS}, {isotonic('SELECT -1 AS g')}
 SELECT doc_id, y, round(v, 6) AS p FROM folds JOIN iso ON iso.p = folds.p"""
-CROSSED = f"""{GRIDDED}, {isotonic('SELECT DISTINCT fold AS g FROM folds')},
+CROSSED = f"""{FOLDS}, {isotonic('SELECT DISTINCT fold AS g FROM folds')},
 {LOGITS}, {newton(['z'], 1.0, 'SELECT DISTINCT fold AS g FROM folds')},
 near AS (SELECT f.doc_id, f.fold, f.y, f.p, max(i.p) FILTER (i.p <= f.p) AS lo, min(i.p) FILTER (i.p >= f.p) AS hi
   FROM folds f JOIN iso i ON i.g = f.fold GROUP BY 1, 2, 3, 4),
@@ -679,7 +678,7 @@ w AS (SELECT s.log_loss - i.log_loss AS ll, s.brier - i.brier AS br FROM (SELECT
 SELECT CASE WHEN abs(ll) > 1e-4 THEN CASE WHEN ll < 0 THEN 'sigmoid' ELSE 'isotonic' END
   WHEN abs(br) > 1e-4 THEN CASE WHEN br < 0 THEN 'sigmoid' ELSE 'isotonic' END ELSE 'sigmoid' END AS selected_method,
   CASE WHEN abs(ll) > 1e-4 THEN 'log_loss' WHEN abs(br) > 1e-4 THEN 'brier' ELSE 'tie_break_prefer_sigmoid' END AS decision_rule FROM w"""
-ORACLE["calibrated_threshold"] = f"""WITH {GRIDDED}, {isotonic('SELECT -1 AS g')},
+ORACLE["calibrated_threshold"] = f"""WITH {FOLDS}, {isotonic('SELECT -1 AS g')},
 cal AS (SELECT folds.y, round(iso.v, 9) AS q FROM folds JOIN iso ON iso.p = folds.p),
 grid AS (SELECT CAST(i AS DOUBLE) / 100 AS threshold FROM range(1, 100) r(i)),
 c AS ({counts('threshold', p='q', src='cal, grid')})

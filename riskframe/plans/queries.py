@@ -363,7 +363,9 @@ def split_accounts(spark, sf):
 
 
 def folded_documents(spark, sf, k=5):
-    return split.stratified_folds(views.scored_documents(spark, sf), "doc_id", "y", k)
+    # the texts are read once; cuts, folds and fits read the written features
+    table = durable(views.scored_documents(spark, sf), "features")
+    return split.stratified_folds(table, "doc_id", "y", k)
 
 
 @query
@@ -699,20 +701,16 @@ def sigmoid_calibration(spark, sf):
     return calibrate.apply_calibrator(scored, fitted).withColumn("p", F.round("p", 4))
 
 
-def gridded_documents(spark, sf):
-    return folded_documents(spark, sf).withColumn("p", F.round("p", 2))
-
-
 @query
 def isotonic_calibration(spark, sf):
-    scored = gridded_documents(spark, sf).select("doc_id", "y", "p")
+    scored = folded_documents(spark, sf).select("doc_id", "y", "p")
     fitted = calibrate.fit_calibrator(scored, "isotonic")
     return calibrate.apply_calibrator(scored, fitted)
 
 
 @query
 def calibration_metrics(spark, sf):
-    crossed = calibrate.cross_fit_calibration(gridded_documents(spark, sf), "fold", 5)
+    crossed = calibrate.cross_fit_calibration(folded_documents(spark, sf), "fold", 5)
     # nine decimals so that equal block means stay equal in every engine
     per_fold = calibrate.calibration_fold_metrics(crossed.withColumn("p", F.round("p", 9)))
     table = calibrate.calibration_table(per_fold)
@@ -723,14 +721,14 @@ def calibration_metrics(spark, sf):
 
 @query
 def calibration_choice(spark, sf):
-    crossed = calibrate.cross_fit_calibration(gridded_documents(spark, sf), "fold", 5)
+    crossed = calibrate.cross_fit_calibration(folded_documents(spark, sf), "fold", 5)
     table = calibrate.calibration_table(calibrate.calibration_fold_metrics(crossed))
     return calibrate.select_calibration(table).select("selected_method", "decision_rule")
 
 
 @query
 def calibrated_threshold(spark, sf):
-    scored = gridded_documents(spark, sf).select("doc_id", "y", "p")
+    scored = folded_documents(spark, sf).select("doc_id", "y", "p")
     fitted = calibrate.fit_calibrator(scored, "isotonic")
     calibrated = calibrate.apply_calibrator(scored, fitted).withColumn("p", F.round("p", 9))
     best = cost.cheapest_threshold(

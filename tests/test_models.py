@@ -184,3 +184,23 @@ def test_cross_fit(table):
     assert t["sigmoid"]["log_loss"] < t["baseline"]["log_loss"] and len(t["isotonic"]["fold_brier"]) == 3
     assert t["sigmoid"]["roc_auc"] == pytest.approx(t["baseline"]["roc_auc"], abs=1e-9)
     assert math.isfinite(t["isotonic"]["brier"])
+
+
+def test_columns_with_many_categories(spark):
+    """More than 5,000 values of one column beside few of another; the limit counts each column."""
+    df = spark.range(6_500).select(
+        F.concat(F.lit("v"), (F.col("id") % 6_000).cast("string")).alias("many"),
+        F.concat(F.lit("w"), (F.col("id") % 3).cast("string")).alias("few"),
+    )
+    fitted = features.TablePreprocessor(categorical=["many", "few"]).fit(df)
+    domains = features.category_domains(fitted)
+    assert (len(domains["many"]), domains["few"]) == (6_000, ["w0", "w1", "w2"])
+    assert fitted.transform(df).select("features").first()[0].size == 6_003
+    with pytest.raises(ValueError, match="many"):
+        features.TablePreprocessor(categorical=["many", "few"], maxCategories=5_000).fit(df)
+
+
+def test_depth_beyond_the_limit_is_refused(spark):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x1 double, y int")
+    with pytest.raises(ValueError, match="depth 50"):
+        models.risk_pipeline(["x1"], kind="tree", maxDepth=50).fit(df)
