@@ -110,7 +110,12 @@ def cost_sensitivity(
     scored: DataFrame, scenarios: Sequence[CostScenario], grid=None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Cheapest threshold of each scenario from a single sweep."""
-    best = cheapest_threshold(with_costs(threshold_sweep(scored, grid, by), scenarios), by)
+    return sweep_sensitivity(threshold_sweep(scored, grid, by), scenarios, by)
+
+
+def sweep_sensitivity(sweep: DataFrame, scenarios: Sequence[CostScenario], by: Sequence[str] = ()) -> DataFrame:
+    """``cost_sensitivity`` of a sweep that is there already."""
+    best = cheapest_threshold(with_costs(sweep, scenarios), by)
     ratio = F.when(F.col("cost_fp") > 0, F.col("cost_fn") / F.col("cost_fp")).otherwise(
         F.lit(float("inf"))
     )
@@ -177,7 +182,14 @@ def retention_sensitivity(
 
     Population and class counts come from the chosen row, so the table is read once.
     """
-    costed = with_retention_costs(threshold_sweep(scored, grid, by, y, p), scenarios)
+    return sweep_retention_sensitivity(threshold_sweep(scored, grid, by, y, p), scenarios, by)
+
+
+def sweep_retention_sensitivity(
+    sweep: DataFrame, scenarios: Sequence[RetentionScenario], by: Sequence[str] = ()
+) -> DataFrame:
+    """``retention_sensitivity`` of a sweep that is there already."""
+    costed = with_retention_costs(sweep, scenarios)
     best = cheapest_retention_threshold(costed, by)
     full = with_baselines(
         best.withColumn("population_size", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))

@@ -191,12 +191,13 @@ def run_cost_optimisation(
     The test rows are never read before the threshold is fixed.
     """
     grid = threshold_grid()
-    costed = durable(cost.with_costs(thresholds.threshold_sweep(oof, grid), [costs]), "costs")
+    sweep = durable(thresholds.threshold_sweep(oof, grid), "sweep")
+    costed = cost.with_costs(sweep, [costs])
     best = cost.cheapest_threshold(costed)
     files.write_threshold_csv(costed, f"{output}/cost_thresholds")
     files.write_json(cost.cost_summary(best, len(grid), model_metrics), f"{output}/cost_analysis")
     files.write_result_csv(
-        cost.cost_sensitivity(oof, list(scenarios), grid), f"{output}/cost_sensitivity", ["scenario"]
+        cost.sweep_sensitivity(sweep, list(scenarios)), f"{output}/cost_sensitivity", ["scenario"]
     )
     threshold = float(best.first()["threshold"])
     if test is not None:
@@ -214,14 +215,13 @@ def run_retention_optimisation(
 ) -> float:
     """As ``run_cost_optimisation`` with retention-aware costs and policy baselines."""
     grid = threshold_grid()
-    costed = durable(
-        cost.with_retention_costs(thresholds.threshold_sweep(oof, grid), [scenario]), "costs"
-    )
+    sweep = durable(thresholds.threshold_sweep(oof, grid), "sweep")
+    costed = cost.with_retention_costs(sweep, [scenario])
     best = cost.cheapest_retention_threshold(costed)
     files.write_threshold_csv(costed, f"{output}/retention_thresholds")
     files.write_json(cost.cost_summary(best, len(grid), model_metrics), f"{output}/retention_analysis")
     files.write_result_csv(
-        cost.retention_sensitivity(oof, list(grid_scenarios or retention_grid()), grid),
+        cost.sweep_retention_sensitivity(sweep, list(grid_scenarios or retention_grid())),
         f"{output}/retention_sensitivity",
         ["scenario"],
     )
@@ -249,7 +249,11 @@ def run_calibration(oof: DataFrame, fold: str, k: int, output: str) -> str:
 def run_error_report(
     scored: DataFrame, threshold: float, categorical: Sequence[str], numeric: Sequence[str], output: str
 ) -> None:
-    """Counts and rates, hard cases, slices and numeric summaries as JSON tables."""
+    """Counts and rates, hard cases, slices and numeric summaries as JSON tables.
+
+    The scored table is written once; the four reports read that.
+    """
+    scored = durable(scored, "scored")
     files.write_json(errors.error_rates(scored, threshold), f"{output}/error_rates")
     files.write_json(errors.hard_cases(scored, threshold), f"{output}/hard_cases")
     files.write_json(errors.error_slices(scored, threshold, categorical), f"{output}/error_slices")

@@ -549,7 +549,9 @@ ORACLE["threshold_csv"] = (
 )
 ORACLE["csv_roundtrip"] = f"WITH {RAW} SELECT account_id, tenure, region, acctbal, lapsed FROM raw"
 ORACLE["split_tables"] = f"WITH {A_SPLIT} SELECT account_id, y FROM splits WHERE split = 'val'"
-ORACLE["dataset_manifest"] = """SELECT 'row_count' AS "check", CAST(count(*) AS VARCHAR) AS actual FROM customer UNION ALL SELECT 'column_count', '5'"""
+ORACLE["dataset_manifest"] = """WITH lost AS (SELECT count(*) FILTER (c_custkey = 1) = 0 AS same FROM customer)
+SELECT copy, "check", copy = 'intact' OR "check" = 'column_count' OR same AS ok
+FROM (VALUES ('intact'), ('changed')) a(copy), (VALUES ('row_count'), ('column_count'), ('sha256')) b("check"), lost"""
 
 # ------------------------------------------------------------ attribution
 

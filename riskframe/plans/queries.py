@@ -565,7 +565,7 @@ def telemetry_stream(spark, sf):
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     events = views.as_scoring_events(arriving)
     stream_telemetry.run_windowed_telemetry(events, f"{run}/out", f"{run}/checkpoint")
-    out = spark.read.parquet(f"{run}/out")
+    out = stream_telemetry.latest_windows(spark.read.parquet(f"{run}/out"))
     return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
 
 
@@ -614,8 +614,21 @@ def split_tables(spark, sf):
 
 @query
 def dataset_manifest(spark, sf):
+    """Record counts and hash of a stored table, then check it and a copy that lost one row."""
+    run = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     table = views.table(spark, sf, "customer")
-    return files.manifest_report(table, rows=1500, columns=5).select("check", "actual")
+    table.write.parquet(f"{run}/intact/data")
+    table.where("c_custkey <> 1").write.parquet(f"{run}/changed/data")
+    recorded = files.tree_digest(spark, f"{run}/intact/data")
+    rows, columns = table.count(), len(table.columns)
+    reports = []
+    for name in ("intact", "changed"):
+        stored = f"{run}/{name}/data"
+        report = files.manifest_report(
+            spark.read.parquet(stored), rows, columns, files.tree_digest(spark, stored), expected_digest=recorded
+        )
+        reports.append(report.select(F.lit(name).alias("copy"), "check", "ok"))
+    return reports[0].unionByName(reports[1])
 
 
 # ------------------------------------------------------------ attribution

@@ -33,11 +33,13 @@ def start_scoring(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = scorer.contract.check(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        scored = scorer.decide(checked, threshold)
-        rejected = checked.where(F.size(ERRORS) > 0)
-        for rows, path in ((scored, output), (rejected, quarantine)):
-            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        checked.unpersist()
+        try:
+            scored = scorer.decide(checked, threshold)
+            rejected = checked.where(F.size(ERRORS) > 0)
+            for rows, path in ((scored, output), (rejected, quarantine)):
+                rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            checked.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -13,24 +13,15 @@ def windowed_telemetry(
     events: DataFrame, window: str = "1 day", watermark: str = "1 hour", by: tuple[str, ...] = ("event_type",)
 ) -> DataFrame:
     """Counts per tumbling window of event time; later events than the watermark are dropped."""
-    return (
+    counted = (
         events.withWatermark("timestamp", watermark)
         .groupBy(F.window("timestamp", window).alias("window"), *by)
         .agg(*summary_columns())
-        .select(
-            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
-            *[c for c in _summary_names()],
-        )
     )
-
-
-def _summary_names() -> list[str]:
-    return [
-        "invocation_count", "success_count", "failure_count", "validation_failure_count",
-        "inference_failure_count", "artifact_integrity_failure_count",
-        "artifact_load_failure_count", "total_predictions", "positive_predictions",
-        "negative_predictions",
-    ]
+    return counted.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
+        *[c for c in counted.columns if c not in ("window", *by)],
+    )
 
 
 def start_event_sink(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -46,17 +37,19 @@ def start_event_sink(events: DataFrame, path: str, checkpoint: str, trigger: dic
 
 
 def run_windowed_telemetry(
-    events: DataFrame, output: str, checkpoint: str, mode: str = "complete", **options
+    events: DataFrame, output: str, checkpoint: str, mode: str = "update", **options
 ) -> None:
-    """Run over everything available and write the windows as one parquet table per batch.
+    """Run over everything available; each micro-batch replaces its own ``batch_id`` partition.
 
-    In complete mode the last batch holds all windows; in append mode closed windows only.
+    In update mode a batch writes the windows it changed (``latest_windows`` reads the last
+    state of each), in append mode the windows that the watermark closed. Both forget closed
+    windows, so the state stays bounded, and a batch that is run again leaves no duplicates.
     """
+    if mode not in ("update", "append"):
+        raise ValueError("mode must be update or append")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(
-            output if mode == "complete" else f"{output}/batch_id={batch_id}"
-        )
+        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     query = (
         windowed_telemetry(events, **options)
@@ -67,3 +60,11 @@ def run_windowed_telemetry(
         .start()
     )
     query.awaitTermination()
+
+
+def latest_windows(written: DataFrame, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The last state of every window of a table that update mode wrote."""
+    keys = ["window_start", "window_end", *by]
+    values = [c for c in written.columns if c not in (*keys, "batch_id")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("last"))
+    return last.select(*keys, "last.*")
