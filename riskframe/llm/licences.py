@@ -207,7 +207,7 @@ def scan(
             F.array_max(places).cast("long").alias("last_word"),
             joined(base).alias("base_labels"),
             joined(F.concat(base, found)).alias("labels"),
-            F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.least(best, F.lit(1.0)), F.lit(0.0))).alias("score"),
+            F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.least(F.coalesce(best, F.lit(0.0)), F.lit(1.0))).alias("score"),
         )
 
     return docs.withColumn("licence", let(let(let(file_words(text), indexed), by_word), verdict))

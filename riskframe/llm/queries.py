@@ -66,7 +66,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licences.scan(docs).select("doc_id", "licence.*")
+    return licences.scan(docs).select("doc_id", "licence.*").withColumn("score", F.round("score", 6))
 
 
 @query

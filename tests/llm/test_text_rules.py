@@ -90,6 +90,7 @@ def test_licence_method_adds_labels(documents):
     ]
     got = {r["doc_id"]: r for r in licences.scan(documents(texts)).select("doc_id", "licence.*").collect()}
     assert [got[i]["labels"] for i in range(5)] == ["mit", "cc-by-nc", "", "", "apache"]
+    assert got[0]["score"] > 0.6 and [got[i]["score"] for i in (2, 3)] == [0.0, 0.0]
     assert got[0]["base_labels"] == "" and got[4]["base_labels"] == "apache"
     assert licences.scan(documents(texts).filter("doc_id < 0")).count() == 0
 
