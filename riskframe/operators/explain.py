@@ -24,6 +24,7 @@ from .errors import OUTCOMES, with_outcome
 from .features import feature_names, feature_origins
 
 MAX_NODES = 2_000_000
+MAX_TABLE_BITS = 8  # features on a leaf's path up to which all patterns are tabulated
 
 
 def _to_long(df: DataFrame, keep: Sequence[str], cells: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -166,23 +167,44 @@ def _shapley_table(patterns: np.ndarray, absent: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest_contributions(x: np.ndarray, trees: list, n_trees: int) -> np.ndarray:
-    """Additive contributions of every feature to the forest probability, for a batch."""
+def _pattern_values(codes: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """Shapley values of the patterns whose bits are the numbers ``codes``."""
+    bits = (codes[:, None] >> np.arange(len(absent))) & 1
+    return _shapley_table(bits.astype(float), absent)
+
+
+def forest_contributions(x: np.ndarray, trees: list, n_trees: int, tables: dict | None = None) -> np.ndarray:
+    """Additive contributions of every feature to the forest probability, for a batch.
+
+    A row meets a leaf as one number: a bit for each feature on the leaf's path, set if the
+    row passes all its splits on that feature. Values of all numbers of a short path are
+    tabulated once (in ``tables``, which a task keeps between batches); a longer path
+    tabulates the numbers that occur.
+    """
+    tables = {} if tables is None else tables
     phi = np.zeros_like(x, dtype=float)
-    for splits, leaves in trees:
+    for t, (splits, leaves) in enumerate(trees):
         goes_left = np.empty((len(splits), len(x)), dtype=bool)
         for j, (f, categorical, left) in enumerate(splits):
             goes_left[j] = np.isin(x[:, f], left) if categorical else x[:, f] <= left[0]
-        for value, features, absent, tests in leaves:
+        sides = {True: goes_left, False: ~goes_left}
+        for leaf, (value, features, absent, tests) in enumerate(leaves):
             if len(features) == 0 or value == 0.0:
                 continue
-            known = np.ones((len(x), len(features)))
+            codes = np.zeros(len(x), dtype=np.int64)
             for c, conditions in enumerate(tests):
-                for j, side in conditions:
-                    known[:, c] *= goes_left[j] == side
-            patterns, inverse = np.unique(known, axis=0, return_inverse=True)
-            table = _shapley_table(patterns, absent) * (value / n_trees)
-            phi[:, features] += table[inverse.reshape(-1)]
+                passed = sides[conditions[0][1]][conditions[0][0]]
+                for j, side in conditions[1:]:
+                    passed = passed & sides[side][j]
+                codes += passed.astype(np.int64) << c
+            if len(features) <= MAX_TABLE_BITS:
+                if (t, leaf) not in tables:
+                    tables[t, leaf] = _pattern_values(np.arange(1 << len(features)), absent) * (value / n_trees)
+                values = tables[t, leaf]
+            else:
+                met, codes = np.unique(codes, return_inverse=True)
+                values = _pattern_values(met, absent) * (value / n_trees)
+            phi[:, features] += values[codes]
     return phi
 
 
@@ -207,9 +229,10 @@ def forest_attribution(df: DataFrame, model: PipelineModel, key: Sequence[str])
     n_trees = len(trees)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict = {}
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            phi = forest_contributions(x, shared.value, n_trees)
+            phi = forest_contributions(x, shared.value, n_trees, tables)
             yield pdf.assign(phi=list(phi))
 
     explained = rows.mapInPandas(explain, schema)
