@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import SYLLABLES, prose
+from texts import SYLLABLES, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,6 +1,6 @@
 """Benchmark leaks against brute force, and the pieces of the retrieval."""
 
-from conftest import prose
+from texts import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

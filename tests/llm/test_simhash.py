@@ -4,7 +4,7 @@ import random
 
 import pytest
 import xxhash
-from conftest import prose
+from texts import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

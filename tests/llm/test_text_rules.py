@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import prose
+from texts import prose
 from pyspark.sql import functions as F
 
 from riskframe.llm import licences, quality, urls
