@@ -700,6 +700,14 @@ SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS predict
 ORACLE["score_files"] = f"""{SCORES}
 SELECT 'predict_batch' AS event_type, count(*) AS prediction_count, count(*) FILTER (q >= 0.3) AS positive_predictions,
   count(*) FILTER (q < 0.3) AS negative_predictions, CAST(0.3 AS DOUBLE) AS threshold, true AS success, count(*) AS batch_size FROM sc"""
+ORACLE["predict_classes"] = f"{SCORES} SELECT doc_id, CAST(q >= 0.3 AS INTEGER) AS prediction FROM sc"
+ORACLE["predict_probabilities"] = f"{SCORES} SELECT doc_id, round(q, 4) AS probability FROM sc"
+ORACLE["scored_file_rows"] = (
+    f"{SCORES} SELECT doc_id, CAST(q >= 0.3 AS INTEGER) AS prediction, round(q, 4) AS probability FROM sc"
+)
+ORACLE["sensitivity_csv"] = ORACLE["cost_sensitivity"]
+ORACLE["error_report_files"] = ORACLE["error_slices"]
+ORACLE["error_rates_json"] = ORACLE["error_rates"]
 ORACLE["decision_cells"] = f"""WITH {SCORED}
 SELECT y, CAST(p >= {T} AS INTEGER) AS a, CAST(p_rival >= {T} AS INTEGER) AS b, count(*) AS n FROM scored GROUP BY 1, 2, 3"""
 

@@ -597,6 +597,40 @@ def threshold_csv(spark, sf):
     return files.read_csv(spark, path, spark.createDataFrame([], schema).schema)
 
 
+def read_json_documents(spark, path, schema):
+    """JSON documents read back with the schema of the table that was written."""
+    return spark.read.schema(schema).json(path)
+
+
+@query
+def sensitivity_csv(spark, sf):
+    """The cost run end to end: its sensitivity CSV read back."""
+    run = f"{shared_dir(spark)}/costs-{uuid.uuid4().hex}"
+    scored = views.scored_documents(spark, sf)
+    jobs.run_cost_optimisation(scored, None, run)
+    schema = cost.cost_sensitivity(scored, COST_SCENARIOS).schema
+    return files.read_csv(spark, f"{run}/cost_sensitivity", schema)
+
+
+@query
+def error_report_files(spark, sf):
+    """The error report end to end: its slices read back."""
+    run = f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}"
+    scored = views.scored_documents(spark, sf)
+    jobs.run_error_report(scored, DOC_THRESHOLD, SLICES, NUMERICS, run)
+    schema = errors.error_slices(scored, DOC_THRESHOLD, SLICES).schema
+    return read_json_documents(spark, f"{run}/error_slices", schema)
+
+
+@query
+def error_rates_json(spark, sf):
+    """A JSON document written and read back."""
+    path = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    rates = errors.error_rates(views.scored_documents(spark, sf), DOC_THRESHOLD)
+    files.write_json(rates, path)
+    return read_json_documents(spark, path, rates.schema)
+
+
 @query
 def csv_roundtrip(spark, sf):
     path = f"{shared_dir(spark)}/accounts-{uuid.uuid4().hex}.csv"
@@ -774,6 +808,34 @@ def score_batch(spark, sf):
     )
 
 
+@query
+def predict_classes(spark, sf):
+    path, rows = saved_scorer(spark, sf)
+    return score.Scorer.load(spark, path).keeping("doc_id").predict(rows, 0.3).select("doc_id", "prediction")
+
+
+@query
+def predict_probabilities(spark, sf):
+    path, rows = saved_scorer(spark, sf)
+    scored = score.Scorer.load(spark, path).keeping("doc_id").predict_proba(rows)
+    return scored.select("doc_id", F.round("probability", 4).alias("probability"))
+
+
+@query
+def scored_file_rows(spark, sf):
+    """File in, file out: the rows of the scored file."""
+    path, rows = saved_scorer(spark, sf)
+    run = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{run}/in")
+    jobs.score_files(spark, path, f"{run}/in", f"{run}/out.csv", f"{run}/events", threshold=0.3, passthrough=["doc_id"])
+    out = spark.read.option("header", True).csv(f"{run}/out.csv")
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("churn_prediction").cast("int").alias("prediction"),
+        F.round(F.col("churn_probability").cast("double"), 4).alias("probability"),
+    )
+
+
 @query
 def score_files(spark, sf):
     path, rows = saved_scorer(spark, sf)
