@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import written
-from .tokens import CACHE_WORDS, SPACES, load_tokenizer
+from .tokens import SPACES, PieceEncoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -31,27 +31,13 @@ def default_tokenizer() -> str:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[list[list[str]]], list[bytes]]:
-    """``encode(texts as words)`` of one worker: little-endian 32-bit ids of each text.
+def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """``encode(words)`` of one worker: little-endian 32-bit ids of each word.
 
-    The tokenizer drops white space and never joins over it, so ids are those of the words;
-    a worker remembers the ids of words it has met.
+    The tokenizer drops white space and never joins over it, so a text's ids are those of
+    its words.
     """
-    tokenizer, known = load_tokenizer(path), {}
-
-    def encode(texts: list[list[str]]) -> list[bytes]:
-        new = {w for words in texts for w in words} - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = {w for words in texts for w in words}
-        new = list(new)
-        for i in range(0, len(new), 2_000):
-            part = new[i : i + 2_000]
-            for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in texts]
-
-    return encode
+    return PieceEncoder(path, lambda ids: np.array(ids, dtype="<u4").tobytes(), fold=True)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -60,9 +46,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         for begin in range(0, batch.num_rows, 200):
             part = batch.slice(begin, 200)
             rows, piece, start, ids = [], [], [], []
-            words = [_WORD.findall(t) for t in part.column("__text").to_pylist()]
-            for row, content in enumerate(encode(words)):
-                content += end
+            for row, text in enumerate(part.column("__text").to_pylist()):
+                content = b"".join(encode(_WORD.findall(text))) + end
                 for i, at in enumerate(range(0, len(content), 4 * capacity)):
                     rows.append(row)
                     piece.append(i)

@@ -18,7 +18,7 @@ OVERLAP = 256  # characters that a chunk shares with the next, at first
 #: A boundary counts if so many characters follow it in its chunk: more than any look-ahead
 #: of the splitting pattern (1) and any special token's length.
 MARGIN = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 400_000  # pieces that a worker remembers, twice
 
 # What the tokenizers' patterns call white space. Python adds four control characters to these.
 _SPACE_CODES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -43,23 +43,60 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is a
+    visible Latin-1 character, else the next free code from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+# One word of Latin-1 letters, perhaps after a space and before punctuation without apostrophes.
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class PieceEncoder:
+    """Values of pieces of text, remembered by a worker: ``keep(ids)`` of the tokenizer's ids.
+
+    A plain word is what the tokenizer's pattern matches first (with its space) and its
+    punctuation second, and nothing in it changes by normalisation but the case (``fold``),
+    so the model's merges give its ids. Anything else goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, keep: Callable[[list[int]], object], fold: bool = False):
+        self.tokenizer = load_tokenizer(path)
+        self.model = self.tokenizer.model
+        self.keep, self.fold = keep, fold
+        self.letters = _byte_letters()
+        self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def ids(self, piece: str) -> list[int]:
+        plain = _PLAIN.fullmatch(piece)
+        if not plain:
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        space, word, marks = plain.groups()
+        if self.fold:
+            space, word = "", word.lower()
+        spelled = "".join(map(self.letters.__getitem__, (space + word).encode()))
+        out = [t.id for t in self.model.tokenize(spelled)]
+        return out + [t.id for t in self.model.tokenize(marks)] if marks else out
+
+    def __call__(self, pieces: list[str]) -> list:
+        for p in set(pieces):
+            if p not in self.known:
+                value = self.older.get(p)
+                self.known[p] = self.keep(self.ids(p)) if value is None else value
+        out = [self.known[p] for p in pieces]
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        return out
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> Count:
-    """``count(pieces)`` of one worker, which remembers the counts of pieces it has met."""
-    tokenizer, known = load_tokenizer(path), {}
-
-    def count(pieces: list[str]) -> list[int]:
-        new = set(pieces) - known.keys()
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(pieces)
-        new = list(new)
-        for i in range(0, len(new), 2_000):
-            part = new[i : i + 2_000]
-            known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        return [known[p] for p in pieces]
-
-    return count
+    """``count(pieces)`` of one worker."""
+    return PieceEncoder(path, len)
 
 
 def pieces_of(text: str) -> list[str]:

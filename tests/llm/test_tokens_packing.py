@@ -1,10 +1,11 @@
 """Token counts and packing against the library on whole texts."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
-from conftest import prose
+from texts import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def word_bpe():
     return Tokenizer.from_file(packing.default_tokenizer())
 
 
+@lru_cache
+def loaded(path):
+    return tokens.load_tokenizer(path)
+
+
 def lengths(tokenizer, texts):
     return [len(e) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
@@ -44,6 +50,20 @@ def test_counts_by_chunks(documents, odd_texts, byte_bpe, chunk, overlap):
     assert [r["n_tokens"] for r in got] == lengths(byte_bpe, texts)
 
 
+LATIN = [chr(c) for c in range(0x21, 0x180)]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.sampled_from(["", " "]), st.text(st.sampled_from(LATIN), min_size=1, max_size=12), st.text(st.sampled_from(LATIN[:32]), max_size=4))
+def test_words_by_model_and_by_tokenizer(space, word, marks):
+    for path, fold in ((tokens.default_tokenizer(), False), (packing.default_tokenizer(), True)):
+        encoder = tokens.PieceEncoder(path, list, fold) if path not in ENCODERS else ENCODERS[path]
+        ENCODERS[path] = encoder
+        piece = space + word + marks
+        assert encoder.ids(piece) == encoder.tokenizer.encode(piece, add_special_tokens=False).ids
+
+
+ENCODERS = {}
 TRICKY = st.text(st.sampled_from("ab 's\t\n\x0b\x1c\x85\xa0 　é1½!<|endoftext|>"), max_size=60)
 
 
@@ -51,7 +71,7 @@ TRICKY = st.text(st.sampled_from("ab 's\t\n\x0b\x1c\x85\xa0 　é1½!<|endofte
 @given(TRICKY)
 def test_pieces_encode_alone(text):
     for path in (tokens.default_tokenizer(),):
-        t = tokens.load_tokenizer(path)
+        t = loaded(path)
         assert "".join(tokens.pieces_of(text)) == text
         assert [i for p in tokens.pieces_of(text) for i in t.encode(p, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
 
@@ -59,9 +79,9 @@ def test_pieces_encode_alone(text):
 @settings(max_examples=300, deadline=None)
 @given(TRICKY)
 def test_words_encode_alone(text):
-    t = tokens.load_tokenizer(packing.default_tokenizer())
-    got = packing._encoder(packing.default_tokenizer())([packing._WORD.findall(text)])[0]
-    assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    t = loaded(packing.default_tokenizer())
+    got = packing._encoder(packing.default_tokenizer())(packing._WORD.findall(text))
+    assert np.frombuffer(b"".join(got), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing(documents, odd_texts, word_bpe):
