@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,15 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .common import blocks, word_table
 
 HALF = 16  # words of half a passage: passages are two halves, and every half begins one
-RANK, EXTRA, POWER_STEPS, SEED = 96, 16, 2, 7
-MIN_COSINE = 0.25
+RANK, EXTRA, POWER_STEPS, SEED = 512, 16, 2, 7
+MIN_COSINE = 0.3
+#: Words in more than this share of the documents weigh nothing, but for the rarest of each item.
+FREQUENT, RAREST = 0.02, 5
 MIN_COMMON = 0.8  # share of an item's words in the longest common subsequence
 MIN_COMMON_WITH_ANSWER = 0.6  # enough if the item's answer stands there too
 ANSWER_WORDS = 3  # an item's last words count as its answer
 SHORT = 6  # items of fewer words must stand there word by word
-BLOCK_ITEMS = 2_000  # items searched in one pass over the documents
+BLOCK_ITEMS = 250  # items searched in one pass over the documents: about as many passages as RANK
 MAX_BLOCK_WORDS = 400_000
 
 # Letters (any byte of a longer code too), digits; the rest separates words.
@@ -73,6 +76,15 @@ def read_items(rows: list) -> Items:
     return Items([r["item_id"] for r in rows], words, np.unique(hashes))
 
 
+def word_weights(items: Items, n: int, frequency: np.ndarray) -> np.ndarray:
+    """IDF of each word; 0 if it is frequent and not among the rarest of an item."""
+    kept = frequency <= FREQUENT * n
+    for words in items.words:
+        own = np.unique(np.searchsorted(items.vocabulary, words))
+        kept[own[np.argsort(frequency[own], kind="stable")[:RAREST]]] = True
+    return np.where(kept, np.log((n + 1) / (frequency + 1)) + 1e-3, 0.0)
+
+
 def passage_halves(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and text of each half passage of the words' texts."""
     first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -136,11 +148,20 @@ def _rows_of(words: list[np.ndarray], vocabulary: np.ndarray, weight: np.ndarray
 
 
 def _project(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """The sparse matrix of these cells times the basis, a few thousand cells at a time."""
     out = np.zeros((n, basis.shape[1]))
-    np.add.at(out, row, basis[column] * value[:, None])
+    for i in range(0, len(row), 2_048):
+        part = slice(i, i + 2_048)
+        np.add.at(out, row[part], basis[column[part]] * value[part, None])
     return out
 
 
+def _added(blocks_of_rows: pd.DataFrame) -> pd.DataFrame:
+    """The tasks' shares of one block of the sum, added up."""
+    total = sum(np.frombuffer(v) for v in blocks_of_rows["values"])
+    return pd.DataFrame({"block": blocks_of_rows["block"].iloc[:1], "values": [total.tobytes()]})
+
+
 def latent_space(benchmark: DataFrame, items: Items, weight: np.ndarray, other: float, rank: int = RANK) -> Space:
     """Randomised SVD of the items' TF-IDF passages.
 
@@ -162,22 +183,18 @@ def latent_space(benchmark: DataFrame, items: Items, weight: np.ndarray, other:
                 number, hashes = _words([folded(t) for t in batch.column(0).to_pylist()])
                 own = np.split(hashes, np.flatnonzero(np.diff(number)) + 1) if len(hashes) else []
                 row, column, value, owner = _rows_of(own, vocabulary, weights)
-                np.add.at(total, column, _project(row, column, value, len(owner), q)[row] * value[:, None])
+                total += _project(column, row, value, len(total), _project(row, column, value, len(owner), q))
                 any_rows = True
             if any_rows:
                 for i in range(0, len(total), 512):
-                    part = total[i : i + 512].ravel().tolist()
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([i // 512]), "values": pa.array([part], pa.list_(pa.float64()))})
-
-        sums = benchmark.select("text").mapInArrow(run, "block long, values array<double>")
-        added = F.aggregate(
-            F.collect_list("values"),
-            F.transform(F.first("values"), lambda x: F.lit(0.0)),
-            lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
-        )
-        rows = sums.groupBy("block").agg(added.alias("values")).collect()
-        image = np.concatenate([np.array(r["values"]) for r in sorted(rows, key=lambda r: r["block"])]).reshape(size, k)
-        basis = np.linalg.qr(image)[0]
+                    part = total[i : i + 512].tobytes()
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i // 512]), "values": pa.array([part], pa.binary())})
+
+        sums = benchmark.select("text").mapInArrow(run, "block long, values binary")
+        rows = sums.groupBy("block").applyInPandas(_added, "block long, values binary").collect()
+        image = b"".join(bytes(r["values"]) for r in sorted(rows, key=lambda r: r["block"]))
+        basis = np.linalg.qr(np.frombuffer(image).reshape(size, k))[0]
+        shared.destroy()
     row, column, value, owner = _rows_of(items.words, items.vocabulary, weight)
     projected = _project(row, column, value, len(owner), basis)
     # rotate to the singular directions and keep the strongest
@@ -227,24 +244,32 @@ def candidates(space: Space, number: np.ndarray, hashes: np.ndarray) -> Iterator
         return
     begin, end, text = passage_halves(number)
     place = _numbers(hashes, space.vocabulary)
-    known = place >= 0
-    weight = np.where(known, space.weight[np.maximum(place, 0)], np.float32(space.other_weight)).astype(np.float64)
-    norm = np.sqrt(_passages(np.add.reduceat(weight**2, begin), text))
-    half = np.repeat(np.arange(len(begin)), end - begin)[known]
-    vectors = np.zeros((len(begin), space.basis.shape[1]), dtype=np.float32)
-    if len(half):
-        starts = np.flatnonzero(np.diff(half, prepend=-1))
-        scaled = space.basis[place[known]] * space.weight[place[known]][:, None]
-        vectors[half[starts]] = np.add.reduceat(scaled, starts, axis=0)
-    vectors = _passages(vectors, text) / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
-    # no cosine exceeds the share of the passage that the space holds
-    promising = np.flatnonzero(np.einsum("ij,ij->i", vectors, vectors) >= MIN_COSINE**2)
-    last = np.append(text[1:] == text[:-1], False)
+    weight = np.where(place >= 0, space.weight[np.maximum(place, 0)], np.float32(space.other_weight)).astype(np.float64)
+    known = (place >= 0) & (weight > 0)
+    whole = _passages(np.add.reduceat(weight**2, begin), text)
+    share = _passages(np.add.reduceat(np.where(known, weight**2, 0), begin), text) / np.maximum(whole, 1e-12)
+    # a passage's cosine is about the root of the share of its weight in known words, at most
+    promising = np.flatnonzero(share >= MIN_COSINE**2 / 2)
+    if not len(promising):
+        return
+    follows = np.append(text[1:] == text[:-1], False)
+    needed = np.zeros(len(begin), dtype=bool)
+    needed[promising] = True
+    needed[promising[follows[promising]] + 1] = True
+    half = np.repeat(np.arange(len(begin)), end - begin)
+    use = np.flatnonzero(known & needed[half])
+    row_of = np.cumsum(needed) - 1
+    vectors = np.zeros((int(needed.sum()) + 1, space.basis.shape[1]), dtype=np.float32)
+    starts = np.flatnonzero(np.diff(half[use], prepend=-1))
+    scaled = space.basis[place[use]] * space.weight[place[use]][:, None]
+    vectors[row_of[half[use][starts]]] = np.add.reduceat(scaled, starts, axis=0)
     for at in range(0, len(promising), 2_048):
         part = promising[at : at + 2_048]
-        row, passage = np.nonzero(vectors[part] @ space.passages.T >= MIN_COSINE)
-        for p, i in sorted({(int(part[r]), int(space.owner[s])) for r, s in zip(row, passage)}):
-            yield int(text[p]), i, int(begin[p]), int(end[p + 1] if last[p] else end[p])
+        passage = vectors[row_of[part]] + np.where(follows[part, None], vectors[row_of[part] + 1], 0)
+        passage /= np.sqrt(np.maximum(whole[part], 1e-12))[:, None].astype(np.float32)
+        row, near = np.nonzero(passage @ space.passages.T >= MIN_COSINE)
+        for p, i in sorted({(int(part[r]), int(space.owner[s])) for r, s in zip(row, near)}):
+            yield int(text[p]), i, int(begin[p]), int(end[p + 1] if follows[p] else end[p])
 
 
 LEAK = StructType(
@@ -261,7 +286,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank:
 
     ``benchmark`` has ``item_id`` and ``text``. IDF counts cover all documents; documents are
     folded into the latent space of the items' passages, so they are never shuffled. Items
-    are searched in blocks of 2,000, one pass over the documents each, which bounds what is
+    are searched in blocks of 250, one pass over the documents each, which bounds what is
     broadcast. A text leaks an item if the longest common subsequence around a passage near
     it holds 80 % of the item's words, or 60 % with the item's last words; items of fewer
     than 6 words must stand word by word, and items without a word leak nowhere. A null text
@@ -281,9 +306,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank:
         if not len(items.vocabulary):
             continue
         n, frequency = document_frequency(docs, items.vocabulary, text)
-        weight = np.log((n + 1) / (frequency + 1)) + 1e-3
-        # a word of no item: as rare as the median word of the items
-        space = latent_space(block, items, weight, float(np.median(weight)), rank)
+        weight = word_weights(items, n, frequency)
+        # a word of no item: as rare as the median word of the items that weighs
+        space = latent_space(block, items, weight, float(np.median(weight[weight > 0])), rank)
         found = _searched(found, spark.sparkContext.broadcast((space, items.words, items.ids)), text)
     return found
 
