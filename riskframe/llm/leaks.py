@@ -16,9 +16,7 @@ from .common import blocks, word_table
 
 HALF = 16  # words of half a passage: passages are two halves, and every half begins one
 RANK, EXTRA, POWER_STEPS, SEED = 512, 16, 2, 7
-MIN_COSINE = 0.3
-#: Words in more than this share of the documents weigh nothing, but for the rarest of each item.
-FREQUENT, RAREST = 0.02, 5
+MIN_COSINE = 0.25
 MIN_COMMON = 0.8  # share of an item's words in the longest common subsequence
 MIN_COMMON_WITH_ANSWER = 0.6  # enough if the item's answer stands there too
 ANSWER_WORDS = 3  # an item's last words count as its answer
@@ -76,13 +74,9 @@ def read_items(rows: list) -> Items:
     return Items([r["item_id"] for r in rows], words, np.unique(hashes))
 
 
-def word_weights(items: Items, n: int, frequency: np.ndarray) -> np.ndarray:
-    """IDF of each word; 0 if it is frequent and not among the rarest of an item."""
-    kept = frequency <= FREQUENT * n
-    for words in items.words:
-        own = np.unique(np.searchsorted(items.vocabulary, words))
-        kept[own[np.argsort(frequency[own], kind="stable")[:RAREST]]] = True
-    return np.where(kept, np.log((n + 1) / (frequency + 1)) + 1e-3, 0.0)
+def word_weights(n: int, frequency: np.ndarray) -> np.ndarray:
+    """IDF of each word."""
+    return np.log((n + 1) / (frequency + 1)) + 1e-3
 
 
 def passage_halves(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,9 +300,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank:
         if not len(items.vocabulary):
             continue
         n, frequency = document_frequency(docs, items.vocabulary, text)
-        weight = word_weights(items, n, frequency)
-        # a word of no item: as rare as the median word of the items that weighs
-        space = latent_space(block, items, weight, float(np.median(weight[weight > 0])), rank)
+        weight = word_weights(n, frequency)
+        # a word of no item: as rare as the median word of the items
+        space = latent_space(block, items, weight, float(np.median(weight)), rank)
         found = _searched(found, spark.sparkContext.broadcast((space, items.words, items.ids)), text)
     return found
 

@@ -93,3 +93,26 @@ def test_candidate_recall(spark):
         number, hashes = leaks._words([text])
         found += any(c[1] == k for c in leaks.candidates(space, number, hashes))
     assert found == len(bench)
+
+
+def test_paraphrases_without_the_rarest_words(spark, documents):
+    """Items of mostly common words whose rarest words are replaced: candidates as long as the check accepts them."""
+    r = np.random.default_rng(11)
+    common = [f"word{i}" for i in range(1_000)]  # each in about 6 % of the documents
+    rare = [f"rare{i}" for i in range(12 * 8)]
+    bench, planted, texts = [], [], []
+    for i in range(12):
+        words = [common[j] for j in r.integers(0, len(common), 28)]
+        own = rare[8 * i : 8 * i + 8]
+        for w, at in zip(own, r.permutation(28)[:8]):
+            words.insert(int(at), w)
+        words += [common[j] for j in r.integers(0, len(common), 3)]
+        bench.append((i, " ".join(words)))
+        planted.append(" ".join(f"other{i}x{w}" if w in own else w for w in words))
+    for i in range(400):
+        filler = [common[j] for j in r.integers(0, len(common), 60)] + [f"own{i}x{j}" for j in range(20)]
+        texts.append(" ".join(filler[int(j)] for j in r.permutation(80)))
+    docs = documents([f"{texts[i]} {p} {texts[i + 12]}" for i, p in enumerate(planted)] + texts[24:])
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    got = {x["doc_id"]: {y["item_id"] for y in x["leaks"]} for x in leaks.find_leaks(docs, benchmark).collect()}
+    assert all(i in got[i] for i in range(12))
