@@ -41,6 +41,8 @@ AROUND_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 #: Opening one of these closes an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What may stand in a head; any other element ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A block inside a paragraph ends it.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -77,6 +79,11 @@ class _Reader(HTMLParser):
         self.in_hidden = 0
 
     def handle_starttag(self, tag, attrs):
+        # inside a title, template or script the head goes on
+        if self.open[-1][0] == "head" and tag not in IN_HEAD and tag not in ("html", "head"):
+            self._close({"head"})
+        elif tag == "body":
+            self._close({"head"})
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.pieces.append((self.open[-1][1], " "))
@@ -128,6 +135,8 @@ class _Reader(HTMLParser):
         self._close({tag}, stop=frozenset() if block else ENDS_PARAGRAPH)
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self._close({"head"})
         if self.in_hidden:
             return
         at = self.open[-1][1]

@@ -69,3 +69,15 @@ def test_without_labels(spark):
     assert html_text.extract(pages, None).first()["text"] == "only this"
     assert html_text.extract(pages.filter("page_id < 0"), None).count() == 0
     assert html_text.train(pages.filter("page_id < 0")) is None
+
+
+@pytest.mark.parametrize("begin", ["<body>", "", "<div>"])
+def test_head_without_end_tag(begin):
+    page = f"<html><head><title>No</title><meta charset=utf-8><style>p{{}}</style>{begin}<p>Text of it.<p>More."
+    assert html_text.page_texts([page], None) == ["Text of it. More."]
+    assert html_text.page_texts([f"<html><head><title>No</title>{begin} Bare text."], None) == ["Bare text."]
+
+
+def test_noscript_in_a_head():
+    page = "<html><head><noscript><img src=x><p>hidden</p></noscript><title>No</title></head><body><p>Text.</body>"
+    assert html_text.page_texts([page], None) == ["Text."]
