@@ -61,7 +61,7 @@ class Node:
     order: int
     words: frozenset[str]
     hidden: bool
-    around: bool
+    around: bool  # its own names say so; read_page settles it for the branch
     article: bool
     children: list[int] = field(default_factory=list)
     links: int = 0
@@ -99,7 +99,9 @@ class _Reader(HTMLParser):
             above = self.nodes[at]
             hidden = above.hidden or tag in HIDDEN or any(k == "hidden" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
             article = above.article or tag in ARTICLE_TAGS
-            around = above.around or tag in AROUND_TAGS or bool(words & AROUND_WORDS) or tag == "header" and not above.article
+            # names of both kinds ("entry-header", "content has-sidebar") and headers of an article say nothing
+            said = words & AROUND_WORDS - ({"header"} if above.article else set())
+            around = tag in AROUND_TAGS or bool(said) and not words & ARTICLE_WORDS or tag == "header" and not above.article
             self.nodes.append(Node(tag, at, above.depth + 1, len(above.children), words, hidden, around, article))
             above.children.append(len(self.nodes) - 1)
             at = len(self.nodes) - 1
@@ -166,7 +168,23 @@ def read_page(html: str | None) -> tuple[list[Node], list[str], list[tuple[int,
         if text:
             out.append((node, len(out), text))
             own[node].append(text)
-    return reader.nodes, [" ".join(x) for x in own], out
+    texts = [" ".join(x) for x in own]
+    _settle_surroundings(reader.nodes, texts)
+    return reader.nodes, texts, out
+
+
+def _settle_surroundings(nodes: list[Node], own: list[str]) -> None:
+    """Named branches are surroundings, but for those that hold most of what the page is about.
+
+    That is more than half of the text in article elements, or of all text if none is there.
+    """
+    all_chars = [0 if x.hidden else len(t) for x, t in zip(nodes, own)]
+    article_chars = [n if x.article else 0 for x, n in zip(nodes, all_chars)]
+    held = article_chars if any(article_chars) else all_chars
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    for x, n in zip(nodes[1:], held[1:]):
+        x.around = nodes[x.parent].around or x.around and 2 * n <= held[0]
 
 
 def node_features(nodes: list[Node], own: list[str]) -> np.ndarray:
@@ -205,7 +223,7 @@ def node_features(nodes: list[Node], own: list[str]) -> np.ndarray:
                 all_links[p] / max(1.0, all_chars[p]),
                 below[i],
                 float(bool(x.words & ARTICLE_WORDS)),
-                float(bool(x.words & AROUND_WORDS)),
+                float(bool(x.words & AROUND_WORDS) and not x.words & ARTICLE_WORDS),
                 float(x.article),
                 float(x.around),
                 *(float(x.tag == t) for t in TAG_KINDS),
@@ -272,7 +290,8 @@ def train(pages: DataFrame, html: str = "html") -> Trees | None:
     """Trees from a bounded sample of the pages (those of least hash); None if it states one role only.
 
     Pages label themselves: what stands in an article element is text, what stands in
-    navigation, footers, forms or elements named like adverts, notices or comments is not.
+    navigation, footers, forms or elements named like adverts, notices or comments is not,
+    unless that branch holds most of the page's article.
     Every node counts a second time without its names, so that pages that name nothing are
     judged by their shape.
     """

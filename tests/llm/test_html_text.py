@@ -81,3 +81,26 @@ def test_head_without_end_tag(begin):
 def test_noscript_in_a_head():
     page = "<html><head><noscript><img src=x><p>hidden</p></noscript><title>No</title></head><body><p>Text.</body>"
     assert html_text.page_texts([page], None) == ["Text."]
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<div class="content has-sidebar"><article>{}</article></div>',
+        '<article class="post comments-open">{}</article>',
+        '<form id="aspnetForm"><div class="share"><p>Share it</p></div><article>{}</article></form>',
+        '<div class="has-sidebar"><main>{}</main></div>',
+        '<article><div class="entry-header"><h1>Heading of the page, as it is.</h1></div>{}</article>',
+        '<article><div class="header"><h1>Heading of the page, as it is.</h1></div>{}</article>',
+    ],
+)
+def test_names_around_an_article_do_not_drop_it(trees, wrap):
+    heading = "Heading of the page, as it is. " if "Heading" in wrap else ""
+    got = html_text.page_texts([PAGE.format(wrap.format(f"{ARTICLE}<p>And more words to it.</p>"))], trees)
+    assert got[0].startswith(f"{heading}{WANT}") and not set(got[0].split()) & {"Menu", "Buy", "cookies.", "reader", "imprint."}
+
+
+def test_a_branch_with_comments_in_articles_goes():
+    comments = "".join(f'<article class="comment"><p>Comment {i}.</p></article>' for i in range(3))
+    page = f"<main><p>{'Text of it. ' * 20}</p></main><section class='comments'>{comments}</section>"
+    assert html_text.page_texts([page], None) == [("Text of it. " * 20).strip()]
