@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .licences import MIN_SHARE, NOTICES, PHRASES, RARE_WORDS, SLACK
 from .quality import STOP_WORDS
 
@@ -105,3 +106,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS B
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(least(coalesce(share, 0.0::DOUBLE), 1.0::DOUBLE), 6) END AS score
 FROM plain LEFT JOIN base USING (r) LEFT JOIN labelled USING (r) LEFT JOIN best USING (r)"""
+
+
+ORACLE["op11_phrase_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 30),
+inner_phrases AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM candidates, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i)
+  WHERE m < k AND i + m - 1 <= k),
+covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inner_phrases i USING (lang, phrase) WHERE 100 * i.a >= 80 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail
+  FROM candidates ANTI JOIN covered USING (lang, phrase), (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, j, h.f AS l, t.f AS r,
+         CAST((2000000 * CAST(c.a AS HUGEINT)) // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""

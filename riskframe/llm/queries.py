@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import html_text, language, leaks, licences, packing, passages, quality, simhash, tokens, urls
+from . import (
+    html_text, language, leaks, licences, neighbours, packing, passages, phrases, quality, simhash, tokens, urls, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -108,3 +110,26 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = leaks.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.common")
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: rows whose vec_id is divisible by 20."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.nearest(rows, rows.filter("vec_id % 20 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "whitening.*")
+    parts = F.arrays_zip("whitened", "explained")
+    return rows.select("*", F.posexplode(parts).alias("at", "part")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "part.whitened", "part.explained", "identity_error",
+    )
