@@ -21,7 +21,7 @@ from ..session import ship_package
 from .common import written
 
 K = 20
-SAMPLE_CELLS = 2_000_000  # numbers (rows times dimensions) of the sample that the tree is fitted on
+SAMPLE_CELLS = 1_000_000  # numbers (rows times dimensions) of the sample that the tree is fitted on
 BRANCHES = 12
 LEAF_SAMPLE = 16  # sample rows of a leaf
 LLOYD_STEPS = 8
@@ -38,7 +38,7 @@ class Tree:
     """Nodes in depth-first order: centre, children's numbers, and for leaves their number and bucket."""
 
     centres: np.ndarray
-    children: list[np.ndarray]
+    children: list[list[int]]
     leaf_of: np.ndarray  # leaf number of a node, -1 for inner nodes
     bucket: np.ndarray  # of each leaf
     scale: float  # vectors are divided by this before anything else
@@ -103,7 +103,7 @@ def fit_tree(sample: np.ndarray, scale: float, radius: float) -> Tree:
     leaf_of = np.where(inner, -1, np.cumsum(~inner) - 1)
     held = np.array(sizes)[~inner]
     bucket = np.minimum((np.cumsum(held) - held) * BUCKETS // max(1, held.sum()), BUCKETS - 1)
-    return Tree(np.array(centres), [np.array(c, dtype=int) for c in children], leaf_of, bucket, scale, radius)
+    return Tree(np.array(centres), children, leaf_of, bucket, scale, radius)
 
 
 def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
@@ -120,23 +120,24 @@ def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def visits(tree: Tree, distance: np.ndarray, most: int, sizes: np.ndarray, least_rows: int) -> list[int]:
+def visits(tree: Tree, distance: np.ndarray, most: int, sizes: np.ndarray, least_rows: int) -> np.ndarray:
     """Leaves in best-bin-first order, given a query's distance to each node.
 
     The queue holds nodes by distance; an inner node gives way to its children. ``most``
     leaves, or more until they hold ``least_rows`` rows.
     """
-    queue, found, rows = [(distance[0], 0)], [], 0
+    away, children = distance.tolist(), tree.children
+    queue, found, rows = [(away[0], 0)], [], 0
     while queue and (len(found) < most or rows < least_rows):
         _, node = heapq.heappop(queue)
-        leaf = tree.leaf_of[node]
-        if leaf >= 0:
-            found.append(int(leaf))
-            rows += sizes[leaf]
+        if children[node]:
+            for child in children[node]:
+                heapq.heappush(queue, (away[child], child))
         else:
-            for child in tree.children[node].tolist():
-                heapq.heappush(queue, (distance[child], child))
-    return found
+            found.append(node)
+            if len(found) >= most:
+                rows = sizes[tree.leaf_of[found]].sum()
+    return tree.leaf_of[found]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -350,7 +351,8 @@ def nearest(
     most = calibrated_visits(tree, index, _matrix(some) if len(some) else np.zeros((0, dim)), sizes, k, target)
 
     shared = spark.sparkContext.broadcast((tree, sizes))
-    sent = written(_visited(asked, shared, most, k + 1), "visits")
+    dealt = asked.repartition(min(10_000, -(-n_asked // QUERY_CHUNK)), "id")
+    sent = written(_visited(dealt, shared, most, k + 1), "visits")
     pairs = _chunks(index, "v", INDEX_CHUNK, "rows", "leaf", "v", "ids").join(
         _chunks(sent, "query", QUERY_CHUNK, "queries", "query", "v", "leaves"), "bucket"
     )

@@ -65,7 +65,7 @@ def test_clusters_are_searched_in_part(spark):
     every = neighbours.visits(tree, distance, tree.n_leaves, sizes, 0)
     assert sorted(every) == list(range(tree.n_leaves))
     few = neighbours.visits(tree, distance, 1, sizes, 50)
-    assert few == every[: len(few)] and sizes[few].sum() >= 50 > sizes[few[:-1]].sum()
+    assert (few == every[: len(few)]).all() and sizes[few].sum() >= 50 > sizes[few[:-1]].sum()
 
 
 def test_long_rows_count_by_inner_product(spark):
