@@ -1,6 +1,6 @@
 """Phrase collocations: an FM-index of each shard counts its n-grams, Spark sums them across shards.
 
-A shard is about a million words of one language inside one task. Its index holds the text
+A shard is some 600,000 words of one language inside one task. Its index holds the text
 sorted by the first few words only (depth-limited), which is all that counts of short
 phrases need: a phrase is an interval of that order, and one backward step per word finds
 the interval of every phrase that is one word longer. Kept in both directions, intervals
@@ -29,7 +29,7 @@ TOP = 2_000
 SCALE = 2_000_000
 COVERED_PERCENT = 80  # a longer phrase this frequent against a shorter one inside it replaces it
 NO_LANGUAGE = "und"
-SHARD_BYTES = 6_000_000  # text indexed at once, about a million words
+SHARD_BYTES = 4_000_000  # text indexed at once, about 600,000 words
 FILTER_BITS = 1 << 26  # of the Bloom filter of frequent word pairs: 8 MB, whatever the corpus
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: part of a word, 1: between words, 2: ends a piece
@@ -344,7 +344,7 @@ def collocations(
     A null language is ``und``; null and empty texts, and repeated rows, count as they stand
     (the latter once each); an empty table and languages without a frequent phrase give no
     rows; other columns are ignored, whatever their names. A text of any length is cut into
-    shards where a piece ends. A piece beyond 6 MB is a shard of its own.
+    shards where a piece ends. A piece beyond 4 MB is a shard of its own.
     """
     counts = written(phrase_counts(docs, text, lang, max_words, min_count, shard_bytes), "phrase-counts")
     known = counts.select("lang", "phrase", "n")
