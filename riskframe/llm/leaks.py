@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import blocks, word_table
+from ..session import ship_package
+from .common import blocks, shingle_hashes, split_words, word_table, written
 
 HALF = 16  # words of half a passage: passages are two halves, and every half begins one
-RANK, EXTRA, POWER_STEPS, SEED = 512, 16, 2, 7
+RANK, EXTRA, POWER_STEPS, SEED = 128, 16, 2, 7
 MIN_COSINE = 0.25
 MIN_COMMON = 0.8  # share of an item's words in the longest common subsequence
 MIN_COMMON_WITH_ANSWER = 0.6  # enough if the item's answer stands there too
 ANSWER_WORDS = 3  # an item's last words count as its answer
+SLICE = 4_096  # passages folded into the latent space at once
 SHORT = 6  # items of fewer words must stand there word by word
-BLOCK_ITEMS = 250  # items searched in one pass over the documents: about as many passages as RANK
-MAX_BLOCK_WORDS = 400_000
+RARE_SHARE = 0.5  # share of an item's words, rarest first, that the search for places counts
+BLOCK_PASSAGES = 4_000  # half passages of the items searched in one pass over the documents
 
 # Letters (any byte of a longer code too), digits; the rest separates words.
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -48,12 +50,30 @@ class Space:
 
     vocabulary: np.ndarray
     weight: np.ndarray
-    other_weight: float
     basis: np.ndarray
     passages: np.ndarray
     owner: np.ndarray
 
 
+@dataclass
+class RareWords:
+    """Inverted lists of the items' rarer words, and how many of them a leak holds at least.
+
+    A leak's common subsequence has at least 80 % of the item's words, so it has all but
+    20 % of any subset of them: a place where fewer of the rarest 50 % stand cannot leak.
+    Where the item's last words stand, the same holds with 60 % and 40 %.
+    """
+
+    start: np.ndarray  # of each vocabulary word, where its list begins
+    item: np.ndarray
+    times: np.ndarray  # places in the item
+    least: np.ndarray  # of each item
+    least_with_answer: np.ndarray
+    answer: np.ndarray  # sorted hashes of the items' last words
+    answer_item: np.ndarray
+    reach: np.ndarray  # half passages to each side of a passage that are compared with the item
+
+
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     number, _, _, hashes = word_table(texts)
     return number, hashes
@@ -90,14 +110,6 @@ def passage_halves(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return begin, np.minimum(begin + HALF, (first + size)[owner]), number[begin] if len(begin) else begin
 
 
-def _passages(values: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Each half with the next one of its text."""
-    out = values.copy()
-    same = np.flatnonzero(text[:-1] == text[1:])
-    out[same] += values[same + 1]
-    return out
-
-
 def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text: str) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each word, over all whole documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -150,13 +162,97 @@ def _project(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, bas
     return out
 
 
+def rare_words(items: Items, frequency: np.ndarray) -> RareWords:
+    lists: list[tuple[int, int, int]] = []
+    least, least_with_answer, answers, reach = [], [], [], []
+    for i, words in enumerate(items.words):
+        n = len(words)
+        place = np.sort(_numbers(words, items.vocabulary))
+        rare = place[np.argsort(frequency[place], kind="stable")]
+        if n >= SHORT:
+            rare = rare[: -(-int(1000 * RARE_SHARE) * n // 1000)]
+            answers.append((int(_answers(words, np.zeros(n, dtype=int))[0][-1]), i))
+        for share, out in ((MIN_COMMON, least), (MIN_COMMON_WITH_ANSWER, least_with_answer)):
+            needed = -(-int(1000 * share) * n // 1000) if n >= SHORT else n
+            out.append(max(1, needed - (n - len(rare))))
+        reach.append(-(-n // HALF))
+        word, times = np.unique(rare, return_counts=True)
+        lists += [(w, i, t) for w, t in zip(word.tolist(), times.tolist())]
+    table = np.array(sorted(lists), dtype=np.int64).reshape(-1, 3)
+    start = np.searchsorted(table[:, 0], np.arange(len(items.vocabulary) + 1))
+    answers.sort()
+    answer = np.array([h for h, _ in answers], dtype=np.uint64)
+    answer_item = np.array([i for _, i in answers], dtype=np.int64)
+    return RareWords(
+        start, table[:, 1], table[:, 2], np.array(least), np.array(least_with_answer), answer, answer_item, np.array(reach)
+    )
+
+
+def _answers(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of as many words as an answer has, and its first word."""
+    return shingle_hashes(hashes, number, ANSWER_WORDS)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of several ranges in a row, and the range of each."""
+    of = np.repeat(np.arange(len(first)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[of], of
+
+
+def promising(
+    rare: RareWords, half: np.ndarray, place: np.ndarray, n_halves: int, number: np.ndarray, hashes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(half passage, item): passages around which enough of the item's rarer words stand.
+
+    ``half``, ``place``, ``number`` and ``hashes`` give each word's half passage, its number
+    in the vocabulary (-1: none), its text and its hash. Nothing that could leak is left out:
+    a word counts in every half it stands in.
+    """
+    words = len(rare.start)
+    hit = np.flatnonzero(place >= 0)
+    once = np.unique(half[hit] * words + place[hit])
+    at, word = once // words, once % words
+    entry, of = _ranges(rare.start[word], rare.start[word + 1] - rare.start[word])
+    at, item, times = at[of], rare.item[entry], rare.times[entry]
+    # a window of the item's reach lies in two neighbouring cells of that size
+    stride, span = n_halves + 2, 2 * rare.reach + 2
+    cell, which = np.unique(item * stride + at // span[item], return_inverse=True)
+    total = np.bincount(which, times, minlength=len(cell))
+    beside = np.zeros(len(cell))
+    follows = np.flatnonzero(np.diff(cell) == 1)
+    beside[follows] = total[follows + 1]
+    beside[follows + 1] = np.maximum(beside[follows + 1], total[follows])
+    kept = (total + beside >= rare.least_with_answer[cell // stride])[which]
+    # the windows themselves
+    key, which = np.unique(item[kept] * stride + at[kept], return_inverse=True)
+    sums = np.concatenate([[0], np.cumsum(np.bincount(which, times[kept], minlength=len(key)))])
+    item, at = key // stride, key % stride
+    low, high = np.maximum(at - 1 - rare.reach[item], 0), np.minimum(at + rare.reach[item], n_halves - 1)
+    again = np.flatnonzero(item[1:] == item[:-1]) + 1
+    low[again] = np.maximum(low[again], high[again - 1] + 1)
+    centre, of = _ranges(low, np.maximum(high - low + 1, 0))
+    item = item[of]
+    begin = np.searchsorted(key, item * stride + np.maximum(centre - rare.reach[item], 0))
+    end = np.searchsorted(key, item * stride + np.minimum(centre + 1 + rare.reach[item], n_halves), side="right")
+    around = sums[end] - sums[begin]
+    run, first = _answers(hashes, number)
+    low = np.searchsorted(rare.answer, run)
+    entry, of = _ranges(low, np.searchsorted(rare.answer, run, side="right") - low)
+    # an answer may begin in the half before the compared words and end among them
+    stands = np.sort(rare.answer_item[entry] * stride + half[first[of]])
+    begin = np.searchsorted(stands, item * stride + np.maximum(centre - rare.reach[item] - 1, 0))
+    end = np.searchsorted(stands, item * stride + np.minimum(centre + 1 + rare.reach[item], n_halves), side="right")
+    enough = (around >= rare.least[item]) | ((around >= rare.least_with_answer[item]) & (end > begin))
+    return centre[enough], item[enough]
+
+
 def _added(blocks_of_rows: pd.DataFrame) -> pd.DataFrame:
     """The tasks' shares of one block of the sum, added up."""
     total = sum(np.frombuffer(v) for v in blocks_of_rows["values"])
     return pd.DataFrame({"block": blocks_of_rows["block"].iloc[:1], "values": [total.tobytes()]})
 
 
-def latent_space(benchmark: DataFrame, items: Items, weight: np.ndarray, other: float, rank: int = RANK) -> Space:
+def latent_space(benchmark: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK) -> Space:
     """Randomised SVD of the items' TF-IDF passages.
 
     Tasks hold the passages of some items each and add up their share of ``A' (A Q)`` by
@@ -197,7 +293,7 @@ def latent_space(benchmark: DataFrame, items: Items, weight: np.ndarray, other:
     placed = (projected @ right.T).astype(np.float32)
     length = np.linalg.norm(placed, axis=1)
     return Space(
-        items.vocabulary, weight.astype(np.float32), other, basis,
+        items.vocabulary, weight.astype(np.float32), basis,
         placed / np.maximum(length, 1e-12)[:, None], owner,
     )
 
@@ -232,38 +328,37 @@ def check(words: np.ndarray, begin: int, end: int, item: np.ndarray) -> tuple[fl
     return share, answer, share >= MIN_COMMON or (answer and share >= MIN_COMMON_WITH_ANSWER)
 
 
-def candidates(space: Space, number: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word, end) of passages whose cosine with a passage of the item suffices."""
+def candidates(space: Space, rare: RareWords, number: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, end) of passages near a passage of the item in the latent space.
+
+    Only passages that hold enough of an item's rarer words are folded in and compared.
+    """
     if not len(hashes) or not len(space.owner):
         return
     begin, end, text = passage_halves(number)
+    half = np.repeat(np.arange(len(begin)), end - begin)
     place = _numbers(hashes, space.vocabulary)
-    weight = np.where(place >= 0, space.weight[np.maximum(place, 0)], np.float32(space.other_weight)).astype(np.float64)
-    known = (place >= 0) & (weight > 0)
-    whole = _passages(np.add.reduceat(weight**2, begin), text)
-    share = _passages(np.add.reduceat(np.where(known, weight**2, 0), begin), text) / np.maximum(whole, 1e-12)
-    # a passage's cosine is about the root of the share of its weight in known words, at most
-    promising = np.flatnonzero(share >= MIN_COSINE**2 / 2)
-    if not len(promising):
-        return
+    centre, item = promising(rare, half, place, len(begin), number, hashes)
+    order = np.lexsort((item, centre))
+    centre, item = centre[order], item[order]
     follows = np.append(text[1:] == text[:-1], False)
-    needed = np.zeros(len(begin), dtype=bool)
-    needed[promising] = True
-    needed[promising[follows[promising]] + 1] = True
-    half = np.repeat(np.arange(len(begin)), end - begin)
-    use = np.flatnonzero(known & needed[half])
-    row_of = np.cumsum(needed) - 1
-    vectors = np.zeros((int(needed.sum()) + 1, space.basis.shape[1]), dtype=np.float32)
-    starts = np.flatnonzero(np.diff(half[use], prepend=-1))
-    scaled = space.basis[place[use]] * space.weight[place[use]][:, None]
-    vectors[row_of[half[use][starts]]] = np.add.reduceat(scaled, starts, axis=0)
-    for at in range(0, len(promising), 2_048):
-        part = promising[at : at + 2_048]
-        passage = vectors[row_of[part]] + np.where(follows[part, None], vectors[row_of[part] + 1], 0)
-        passage /= np.sqrt(np.maximum(whole[part], 1e-12))[:, None].astype(np.float32)
-        row, near = np.nonzero(passage @ space.passages.T >= MIN_COSINE)
-        for p, i in sorted({(int(part[r]), int(space.owner[s])) for r, s in zip(row, near)}):
-            yield int(text[p]), i, int(begin[p]), int(end[p + 1] if follows[p] else end[p])
+    first = np.searchsorted(space.owner, np.arange(len(rare.least) + 1))
+    words = np.flatnonzero(place >= 0)
+    starts = np.searchsorted(half[words], np.arange(len(begin) + 1))
+    for at in range(0, len(centre), SLICE):
+        own, back = np.unique(centre[at : at + SLICE], return_inverse=True)
+        last = own + 1 + follows[own]
+        word, of = _ranges(starts[own], starts[last] - starts[own])
+        word = place[words[word]]
+        vectors = np.zeros((len(own), space.basis.shape[1]), dtype=np.float32)
+        for i in range(0, len(word), 4_096):
+            part = slice(i, i + 4_096)
+            np.add.at(vectors, of[part], space.basis[word[part]] * space.weight[word[part], None])
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+        near = vectors @ space.passages.T >= MIN_COSINE
+        for p, row, i in zip(centre[at : at + SLICE].tolist(), back.tolist(), item[at : at + SLICE].tolist()):
+            if near[row, first[i] : first[i + 1]].any():
+                yield int(text[p]), i, int(begin[p]), int(end[p + 1] if follows[p] else end[p])
 
 
 LEAK = StructType(
@@ -275,41 +370,52 @@ LEAK = StructType(
 _LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.float64())]))
 
 
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """``(text, item_id, n_items)``: each text of the benchmark once, with its least id and its number of rows."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    return rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rank: int = RANK) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items found in each whole text, and their common share.
 
-    ``benchmark`` has ``item_id`` and ``text``. IDF counts cover all documents; documents are
-    folded into the latent space of the items' passages, so they are never shuffled. Items
-    are searched in blocks of 250, one pass over the documents each, which bounds what is
-    broadcast. A text leaks an item if the longest common subsequence around a passage near
-    it holds 80 % of the item's words, or 60 % with the item's last words; items of fewer
-    than 6 words must stand word by word, and items without a word leak nowhere. A null text
-    counts as empty and leaks nothing; repeated rows and items count each; empty tables give
-    empty results; a column named ``leaks`` is replaced.
+    ``benchmark`` has ``item_id`` and ``text``. IDF counts cover all documents, in one pass;
+    documents are folded into the latent space of the items' passages, so they are never
+    shuffled. A passage is compared if it and its surroundings hold enough of an item's
+    rarer words, which every leak does. Items are searched in blocks of about 4,000 half
+    passages, one pass over the documents each, which bounds what is broadcast.
+
+    A text leaks an item if the longest common subsequence around a passage near it holds
+    80 % of the item's words, or 60 % with the item's last words; items of fewer than 6 words
+    must stand word by word, and items without a word leak nowhere. Items of one text are
+    one class, named by its least id (``item_classes`` has the number of its rows). A null
+    text counts as empty and leaks nothing; repeated documents count each; empty tables give
+    empty results; a column named ``leaks`` is replaced. Texts of any length are read whole.
     """
     spark = docs.sparkSession
-    numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    total = numbered.count()
-    n_blocks = max(1, -(-total // BLOCK_ITEMS))
+    ship_package(spark)
+    classes = written(item_classes(benchmark).withColumn("halves", F.ceil(F.size(split_words(F.col("text"))) / HALF)), "items")
+    n_blocks = max(1, -(-(classes.agg(F.sum("halves")).first()[0] or 0) // BLOCK_PASSAGES))
     found = docs.drop("leaks").withColumn("leaks", F.array().cast(ArrayType(LEAK)))
-    for b in range(n_blocks):
-        block = numbered.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b)
+    blocks_of_items = [classes.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+    vocabulary = np.unique(np.concatenate([read_items(block.collect()).vocabulary for block in blocks_of_items]))
+    if not len(vocabulary):
+        return found
+    n, frequency = document_frequency(docs, vocabulary, text)
+    for block in blocks_of_items:
         items = read_items(block.collect())
-        if sum(map(len, items.words)) > MAX_BLOCK_WORDS:
-            raise ValueError(f"a block of items has more than {MAX_BLOCK_WORDS} words; use smaller blocks")
         if not len(items.vocabulary):
             continue
-        n, frequency = document_frequency(docs, items.vocabulary, text)
-        weight = word_weights(n, frequency)
-        # a word of no item: as rare as the median word of the items
-        space = latent_space(block, items, weight, float(np.median(weight)), rank)
-        found = _searched(found, spark.sparkContext.broadcast((space, items.words, items.ids)), text)
+        own = frequency[_numbers(items.vocabulary, vocabulary)]
+        space = latent_space(block, items, word_weights(n, own), rank)
+        shared = spark.sparkContext.broadcast((space, rare_words(items, own), items.words, items.ids))
+        found = _searched(found, shared, text)
     return found
 
 
 def _searched(docs: DataFrame, shared, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, words, ids = shared.value
+        space, rare, words, ids = shared.value
         for batch in batches:
             texts = [folded(t) for t in batch.column("__text").to_pylist()]
             leaks = batch.column("leaks").to_pylist()
@@ -317,7 +423,7 @@ def _searched(docs: DataFrame, shared, text: str) -> DataFrame:
                 number, hashes = _words(texts[block])
                 first = np.searchsorted(number, np.arange(len(texts[block]) + 1))
                 best: dict[tuple[int, int], float] = {}
-                for t, i, begin, end in candidates(space, number, hashes):
+                for t, i, begin, end in candidates(space, rare, number, hashes):
                     if best.get((t, i), 0) == 1:
                         continue
                     own = hashes[first[t] : first[t + 1]]

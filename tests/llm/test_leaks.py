@@ -71,7 +71,7 @@ def test_latent_space_holds_the_strongest_directions(spark):
     rows = spark.createDataFrame([(i, prose(7000 + i, 60)) for i in range(40)], "item_id long, text string").repartition(3)
     block = leaks.read_items(rows.collect())
     weight = np.ones(len(block.vocabulary))
-    space = leaks.latent_space(rows, block, weight, 1.0, rank=10)
+    space = leaks.latent_space(rows, block, weight, rank=10)
     row, column, value, owner = leaks._rows_of(block.words, block.vocabulary, weight)
     dense = np.zeros((len(owner), len(block.vocabulary)))
     np.add.at(dense, (row, column), value)
@@ -86,12 +86,13 @@ def test_candidate_recall(spark):
     bench = [(i, prose(8000 + i, 16 + i)) for i in range(30)]
     block = leaks.read_items([{"item_id": i, "text": t} for i, t in bench])
     weight = np.full(len(block.vocabulary), 3.0)
-    space = leaks.latent_space(spark.createDataFrame(bench, "item_id long, text string"), block, weight, 3.0)
+    space = leaks.latent_space(spark.createDataFrame(bench, "item_id long, text string"), block, weight)
+    rare = leaks.rare_words(block, np.zeros(len(weight), dtype=int))
     found = 0
     for k, (i, t) in enumerate(bench):
         text = leaks.folded(f"{prose(k, 3 + k)} {t} {prose(100 + k, 200)}")
         number, hashes = leaks._words([text])
-        found += any(c[1] == k for c in leaks.candidates(space, number, hashes))
+        found += any(c[1] == k for c in leaks.candidates(space, rare, number, hashes))
     assert found == len(bench)
 
 
@@ -116,3 +117,59 @@ def test_paraphrases_without_the_rarest_words(spark, documents):
     benchmark = spark.createDataFrame(bench, "item_id long, text string")
     got = {x["doc_id"]: {y["item_id"] for y in x["leaks"]} for x in leaks.find_leaks(docs, benchmark).collect()}
     assert all(i in got[i] for i in range(12))
+
+
+def test_no_place_that_could_leak_is_passed_over():
+    """Places kept against all places and items: where the check accepts, the counts of rarer words do."""
+    r = np.random.default_rng(3)
+    word = lambda: f"w{int(60 * r.random() ** 2)}"
+    bench = [" ".join(word() for _ in range(int(n))) for n in r.integers(2, 70, 40)]
+    block = leaks.read_items([{"item_id": i, "text": t} for i, t in enumerate(bench)])
+    rare = leaks.rare_words(block, r.integers(0, 9, len(block.vocabulary)))
+    seen = 0
+    for _ in range(30):
+        part = bench[int(r.integers(40))].split()
+        part = [w if r.random() > 0.25 else "other" for w in part]
+        text = " ".join([word() for _ in range(int(r.integers(90)))] + part + [word() for _ in range(50)])
+        number, hashes = leaks._words([leaks.folded(text), leaks.folded(" ".join(part))])
+        begin, end, owner = leaks.passage_halves(number)
+        half = np.repeat(np.arange(len(begin)), end - begin)
+        centre, item = leaks.promising(rare, half, leaks._numbers(hashes, block.vocabulary), len(begin), number, hashes)
+        kept = set(zip(centre.tolist(), item.tolist()))
+        assert len(kept) == len(centre)
+        for h in range(len(begin)):
+            own = np.flatnonzero(number == owner[h])
+            last = end[h + 1] if h + 1 < len(begin) and owner[h + 1] == owner[h] else end[h]
+            for i, words in enumerate(block.words):
+                if leaks.check(hashes[own], begin[h] - own[0], last - own[0], words)[2]:
+                    seen += 1
+                    assert (h, i) in kept
+    assert seen > 100
+
+
+def test_edited_items_against_all_pairs(spark, documents):
+    """Recall of the whole operator against the check at every place of every document, for every item."""
+    r = np.random.default_rng(17)
+    bench = [(i, prose(300 + i, int(n))) for i, n in enumerate(r.integers(8, 90, 40))]
+    texts = []
+    for i, t in bench:
+        words = [w if r.random() > 0.12 else f"new{int(r.integers(50))}" for w in t.split()]
+        texts.append(f"{prose(i, int(r.integers(5, 120)))} {' '.join(words)} {prose(900 + i, 60)}")
+    block = leaks.read_items([{"item_id": i, "text": t} for i, t in bench])
+    want = set()
+    for d, t in enumerate(texts):
+        _, hashes = leaks._words([leaks.folded(t)])
+        for begin in range(0, len(hashes), leaks.HALF):
+            end = min(begin + 2 * leaks.HALF, len(hashes))
+            want |= {(d, i) for i, words in enumerate(block.words) if leaks.check(hashes, begin, end, words)[2]}
+    found = leaks.find_leaks(documents(texts), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(x["doc_id"], y["item_id"]) for x in found for y in x["leaks"]}
+    assert got <= want and len(want) >= 30 and len(got) >= 0.95 * len(want)
+
+
+def test_repeated_items_are_one_class(spark, documents):
+    text = prose(77, 40)
+    benchmark = spark.createDataFrame([(i, text) for i in range(9, 400)] + [(500, prose(78, 40))], "item_id long, text string")
+    assert {(r["item_id"], r["n_items"]) for r in leaks.item_classes(benchmark).collect()} == {(9, 391), (500, 1)}
+    got = leaks.find_leaks(documents([f"before {text} after", "else"]), benchmark).collect()
+    assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in got} == {0: [9], 1: []}
