@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as trimmed from both ends of a text, and the accepted
@@ -132,3 +132,14 @@ def round_doubles(df, places: int = 6):
             for n, t in df.dtypes
         ]
     )
+
+
+def evaluated(df: DataFrame) -> DataFrame:
+    """``df`` with every column computed once per row, however often later steps use it.
+
+    The optimizer copies a computed column into each filter and projection that names it. It
+    does not look through a generator, so the row passes through one that yields it once;
+    nothing is moved between tasks.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.array(row)))

@@ -8,17 +8,21 @@ Three tools, all exact and all free of a window over the whole table:
 * ``hash_cuts`` - the r-th smallest key hash per class, by radix selection on the hex
   digits of the hash: each step is one narrow scan that counts 4,096 digit groups. Rows are
   then assigned to blocks by comparing their hash with literals: no shuffle of the data.
-* ``exact_quantiles`` - approximate quantiles bracket the answer, then only rows inside
-  the bracket are counted and ordered.
+* ``exact_quantiles`` - brackets around the answer are cut into ranges by counts, round by
+  round, until their ends are the answer: narrow scans, nothing is moved or ordered.
 """
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .expressions import literal_array
 from ..session import MAX_LITERAL_ROWS, require_small
@@ -230,95 +234,143 @@ def with_block(
 # ---------------------------------------------------------------- quantiles
 
 
+def _exponent(v: Column) -> Column:
+    """A non-decreasing map of doubles that spreads them by their order of magnitude."""
+    # the smallest positive double has a logarithm above -745
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + 746.0))
+
+
+def _half(v: Column) -> Column:
+    """Finite and halved: differences of two such values do not overflow."""
+    return F.greatest(F.least(v, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)) / 2
+
+
+def _counted(clean: DataFrame, group: list[str], schema: StructType, brackets: list[_Bracket], cells: int) -> list:
+    """``(id, cell, n, lo, hi)``: the rows of each bracket by ``cells`` ranges of its values."""
+    by_group: dict[tuple, list] = {}
+    for i, b in enumerate(brackets):
+        by_group.setdefault(b.group, []).append((i, b.lo, b.hi, b.by_exponent))
+    kind = "array<struct<id:int,lo:double,hi:double,by_exponent:boolean>>"
+    named = StructType([StructField(f"_g{i}", schema[g].dataType) for i, g in enumerate(group)])
+    table = clean.sparkSession.createDataFrame([(*g, b) for g, b in by_group.items()], named.add("_brackets", DataType.fromDDL(kind)))
+
+    def scale(x: Column, bracket: Column) -> Column:
+        return F.when(bracket["by_exponent"], _exponent(x)).otherwise(_half(x))
+
+    ends = F.transform(
+        "_brackets",
+        lambda b: F.struct(b["id"].alias("id"), b["lo"].alias("lo"), b["hi"].alias("hi"), b["by_exponent"].alias("by_exponent"),
+                           scale(b["lo"], b).alias("from"), scale(b["hi"], b).alias("to")),
+    )
+    table = table.withColumn("_brackets", ends)
+    cond = F.lit(True)
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    v, b = F.col("_v"), F.col("_b")
+    # at most one bracket of the group holds a row; one row of the small table meets each row
+    own = F.filter("_brackets", lambda x: (v >= x["lo"]) & (v <= x["hi"]))
+    share = (scale(v, b) - b["from"]) / (b["to"] - b["from"])
+    cell = F.when(b["to"] > b["from"], F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise((v > b["lo"]).cast("long"))
+    rows = clean.join(F.broadcast(table), cond).select("_v", F.get(own, 0).alias("_b")).where("_b IS NOT NULL")
+    return (
+        rows.groupBy(b["id"].alias("id"), cell.alias("cell"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        .collect()
+    )
+
+
+@dataclass
+class _Bracket:
+    """Values of a group between two of its values, their number, and the ranks wanted among them."""
+
+    group: tuple
+    lo: float
+    hi: float
+    n: int
+    ranks: list[tuple[int, tuple]]  # rank inside the bracket, what it is wanted for
+    by_exponent: bool = False
+
+    def settle(self, found: dict) -> bool:
+        """Note the ranks that the ends reveal; True if others remain."""
+        open_ranks = []
+        for rank, wanted in self.ranks:
+            if rank == 0 or self.lo == self.hi:
+                found[wanted] = self.lo
+            elif rank == self.n - 1:
+                found[wanted] = self.hi
+            else:
+                open_ranks.append((rank, wanted))
+        self.ranks = open_ranks
+        return bool(open_ranks)
+
+
 def exact_quantiles(
     df: DataFrame,
     group: Sequence[str],
     value: str,
     probs: Sequence[float],
     groups: int,
-    accuracy: int = 100_000,
     extra: dict[str, Column] | None = None,
+    cells: int = 4_096,
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``(*group, prob, quantile, n_values)``.
 
     ``groups`` is the caller's proven bound on the number of group values (column names,
-    outcome labels); it is checked because the bounds of all groups are broadcast. NULL and
-    NaN values are left out; ``extra`` adds plain aggregates of the value column (named
-    ``_v``) that ride along in the first pass. The Greenwald-Khanna summary gives, per group and probability,
-    two bounds whose rank error is proven; values between the bounds are counted exactly,
-    values below only as one number.
+    outcome labels); more of them are an error. NULL and NaN values are left out; ``extra``
+    adds plain aggregates of the value column (named ``_v``) that ride along in the first
+    pass.
+
+    Selection in rounds: a bracket of values is cut into up to ``cells`` ranges, one scan
+    counts the rows of each and notes its least and greatest value, and the range that holds
+    a wanted rank is the next bracket. Ranges are equally wide; if they hardly shrink a
+    bracket (a few values far from the rest), the next round cuts it by order of magnitude.
+    Each round takes at least a bracket's ends away, so the rounds end, usually after two or
+    three; no rows are moved or ordered, and at most 200,000 counts reach the driver.
     """
-    group = list(group)
+    group, extra = list(group), extra or {}
     if not group or groups * len(probs) > MAX_LITERAL_ROWS:
         raise ValueError("exact_quantiles needs group columns with a small number of values")
-    probs = require_small(list(probs), "probabilities")
-    slack = 5.0 / accuracy
-    lows = [max(0.0, q - slack) for q in probs]
-    highs = [min(1.0, q + slack) for q in probs]
-    clean = df.select(*group, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    bounds = clean.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_q"),
-        *[e.alias(n) for n, e in (extra or {}).items()],
-    )
-    k = len(probs)
-    carried = list(extra or {})
-    per_prob = bounds.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        "_n",
-        F.posexplode(literal_array([float(q) for q in probs])).alias("_i", "prob"),
-        "_q",
-        *carried,
-    ).select(
-        *[f"_g{i}" for i in range(len(group))],
-        "_n",
-        "prob",
-        F.element_at("_q", F.col("_i") + 1).alias("_lo"),
-        F.element_at("_q", F.col("_i") + 1 + k).alias("_hi"),
-        *carried,
-    )
-    cond = F.lit(True)
-    for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    # zone 0: below the bounds, zone 1: between them, zone 2: above. The outer zones become
-    # one row each, with the value next to the bounds: interpolation may need that neighbour.
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    keys = [*[f"_g{i}" for i in range(len(group))], "prob", "_n", *carried]
-    zone = F.when(v < lo, 0).when(v <= hi, 1).otherwise(2)
-    counted = (
-        clean.join(F.broadcast(per_prob), cond)
-        .select(*keys, "_v", zone.alias("_zone"))
-        .groupBy(*keys, "_zone", F.when(F.col("_zone") == 1, v).alias("_at"))
-        .agg(F.count(F.lit(1)).alias("_count"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_zone", "_at")
-    cumulative = counted.withColumn("_cum", F.sum("_count").over(w))
-    position = (F.col("_n") - 1) * F.col("prob")
-    left, right = F.floor(position), F.ceil(position)
-
-    def value_at(index: Column) -> Column:
-        """Value of the row with this 0-based rank, NULL where its zone does not reveal it."""
-        cum, at = F.col("_cum"), F.col("_zone")
-        value = (
-            F.when(at == 1, F.col("_at"))
-            .when((at == 0) & (index == cum - 1), F.col("_max"))
-            .when((at == 2) & (index == cum - F.col("_count")), F.col("_min"))
-        )
-        here = (cum > index) & (cum - F.col("_count") <= index)
-        return F.max(F.when(here, value))
-
-    picked = cumulative.groupBy(*keys).agg(value_at(left).alias("_a"), value_at(right).alias("_b"))
-    return picked.select(
-        *[F.col(f"_g{i}").alias(g) for i, g in enumerate(group)],
-        "prob",
-        F.when(
-            F.col("_a").isNull() | F.col("_b").isNull(),
-            F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
-        )
-        .otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (position - left))
-        .alias("quantile"),
-        F.col("_n").alias("n_values"),
-        *carried,
+    probs = [float(q) for q in require_small(list(probs), "probabilities")]
+    clean = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    summary = clean.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_values"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        *[e.alias(n) for n, e in extra.items()],
     )
+    rows = summary.limit(groups + 1).collect()
+    if len(rows) > groups:
+        raise ValueError(f"exact_quantiles found more than {groups} groups")
+    found: dict[tuple, float] = {}
+    brackets = []
+    for r in rows:
+        key, n = tuple(r[: len(group)]), r["n_values"]
+        at = [((n - 1) * q, i) for i, q in enumerate(probs)]
+        ranks = [(rank, (key, i, side)) for p, i in at for side, rank in enumerate((math.floor(p), math.ceil(p)))]
+        brackets.append(_Bracket(key, r["_lo"], r["_hi"], n, ranks))
+    brackets = [b for b in brackets if b.settle(found)]
+    while brackets:
+        width = max(16, min(cells, 200_000 // len(brackets)))
+        counted: dict[int, list] = {}
+        for r in _counted(clean, group, summary.schema, brackets, width):
+            counted.setdefault(r["id"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
+        following = []
+        for i, b in enumerate(brackets):
+            before, todo = 0, sorted(b.ranks)
+            for _, n, lo, hi in sorted(counted[i]):
+                here = [(rank - before, wanted) for rank, wanted in todo if rank < before + n]
+                todo = todo[len(here) :]
+                before += n
+                if here:
+                    following.append(_Bracket(b.group, lo, hi, n, here, not b.by_exponent and 16 * n > b.n))
+        brackets = [b for b in following if b.settle(found)]
+    out = []
+    for r in rows:
+        key, n = tuple(r[: len(group)]), r["n_values"]
+        for i, q in enumerate(probs):
+            low, high, at = found[key, i, 0], found[key, i, 1], (n - 1) * q
+            between = low if low == high else low + (high - low) * (at - math.floor(at))
+            out.append((*key, q, between, n, *(r[name] for name in extra)))
+    schema = StructType([summary.schema[g] for g in group])
+    schema = schema.add("prob", "double").add("quantile", "double").add("n_values", "long")
+    return df.sparkSession.createDataFrame(out, StructType([*schema, *(summary.schema[name] for name in extra)]))

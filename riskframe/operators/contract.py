@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import parse_double, trim_space
+from ..functions.expressions import evaluated, parse_double, trim_space
 from ..session import require_small
 
 ERRORS, INPUT = "_errors", "_input"
@@ -162,14 +162,19 @@ class Contract:
         return checks
 
     def check(self, df: DataFrame) -> DataFrame:
-        """Add every violation of every row as an array; one projection, no shuffle."""
+        """Add every violation of every row as an array; no shuffle.
+
+        Computed input columns are evaluated once, before the rules read them, and the rules
+        once, before anything filters on them.
+        """
         self.require_columns(df)
+        df = evaluated(df)
         problems: list[Column] = []
         for name, rule in self.numeric.items():
             problems += self._numeric_error(df, name, rule)
         for name, domain in self.categorical.items():
             problems += self._category_error(name, domain)
-        return df.withColumn(ERRORS, F.array_compact(F.array(*problems)).cast(ERROR_TYPE))
+        return evaluated(df.withColumn(ERRORS, F.array_compact(F.array(*problems)).cast(ERROR_TYPE)))
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Valid rows in feature order, and the rejected rows with their violations."""
