@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from .expressions import literal_array
-from ..session import MAX_LITERAL_ROWS, require_small
+from ..session import MAX_LITERAL_ROWS, durable, require_small
 
 HEX_DIGITS = 3
 
@@ -331,7 +331,9 @@ def exact_quantiles(
     if not group or groups * len(probs) > MAX_LITERAL_ROWS:
         raise ValueError("exact_quantiles needs group columns with a small number of values")
     probs = [float(q) for q in require_small(list(probs), "probabilities")]
+    # written once: the rounds scan these two columns, not what they were computed from
     clean = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    clean = durable(clean, "values")
     summary = clean.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_values"),
         F.min("_v").alias("_lo"),

@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Sequence
 from functools import partial
 
+import pandas as pd
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -16,8 +17,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import logit
-from ..session import durable, run_together
+from ..functions.expressions import checked_p, checked_y, logit
+from ..functions.ranking import value_range_cuts, with_range
+from ..session import durable, require_small, run_together
 from ..spec import LABEL, SCORE
 from . import metrics as m
 
@@ -27,6 +29,7 @@ LOG_LOSS_TOLERANCE = 1e-4
 BRIER_TOLERANCE = 1e-4
 METHODS = ("sigmoid", "isotonic")
 CALIBRATED = "calibrated"
+FAN_IN = 16  # stretches of scores whose blocks one task pools
 
 
 class PositiveScore(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -58,21 +61,24 @@ class _ScoreCalibrator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(labelCol=labelCol, scoreCol=scoreCol)
 
-    def _table(self, dataset: DataFrame) -> DataFrame:
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
         # Label and range checks happen while counting. Written once: the fit reads the
         # distinct scores several times, the rows behind them only here.
         table = m.score_table(
             dataset, y=self.getOrDefault(self.labelCol), p=self.getOrDefault(self.scoreCol)
         )
-        return durable(table, "scores")
+        return self.fit_scores(durable(table, "scores"))
+
+    def fit_scores(self, table: DataFrame) -> PipelineModel:
+        """Fit on distinct scores with their positives and negatives: ``(p, pos, neg)``."""
+        raise NotImplementedError
 
 
 class SigmoidCalibrator(_ScoreCalibrator):
     """L2-regularised (C = 1) logistic regression on the clipped log-odds."""
 
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
+    def fit_scores(self, table: DataFrame) -> PipelineModel:
         name = self.getOrDefault(self.scoreCol)
-        table = self._table(dataset)
         total = table.agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).first()["n"]
         if not total:
             raise ValueError("cannot calibrate on an empty table")
@@ -97,22 +103,61 @@ class SigmoidCalibrator(_ScoreCalibrator):
         )
 
 
+def _pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring blocks of one stretch of scores, pooled until their rates increase."""
+    node = rows["node"].iloc[0] // FAN_IN
+    stack: list[list] = []
+    for block in rows.sort_values("lo")[["lo", "hi", "pos", "n"]].itertuples(index=False, name=None):
+        lo, hi, pos, n = block
+        pos, n = int(pos), int(n)
+        # whole numbers: rates are compared without rounding
+        while stack and stack[-1][2] * n >= pos * stack[-1][3]:
+            lo, _, before, size = stack.pop()
+            pos, n = pos + before, n + size
+        stack.append([lo, hi, pos, n])
+    out = pd.DataFrame(stack, columns=["lo", "hi", "pos", "n"])
+    out.insert(0, "node", node)
+    return out
+
+
+def pooled_blocks(table: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``(lo, hi, pos, n)``: the blocks of equal fitted rate that isotonic regression forms.
+
+    ``table`` has distinct scores ``(p, pos, neg)``. Scores are cut into ranges; each task
+    pools the blocks of one range, then of 16 neighbouring stretches, up a tree to all of
+    them: blocks pooled in a part stay pooled in the whole, so a stretch hands on only the
+    blocks it is left with. What the last step holds is the fitted function.
+    """
+    cuts = value_range_cuts(table, "p", ranges)
+    n = (F.col("pos") + F.col("neg")).alias("n")
+    blocks = with_range(table, "p", cuts, "_range").select(
+        # the first step divides the number like every other
+        (F.col("_range").cast("long") * FAN_IN).alias("node"), F.col("p").alias("lo"), F.col("p").alias("hi"), "pos", n
+    )
+    stretches = FAN_IN * (len(cuts) + 1)
+    while stretches > 1:
+        stretches = -(-stretches // FAN_IN)
+        blocks = blocks.groupBy(F.expr(f"node div {FAN_IN}")).applyInPandas(_pool, "node long, lo double, hi double, pos long, n long")
+    return blocks.drop("node")
+
+
 class IsotonicCalibrator(_ScoreCalibrator):
     """Non-decreasing fit; linear between its points, constant outside them.
 
-    Distinct scores are pooled per partition first; only pooled blocks, far fewer than
-    scores, meet in the last merge of the built-in regression.
+    The blocks are pooled up a tree of score ranges; the built-in regression, whose model is
+    saved and applied, gets their two ends and finds nothing left to pool.
     """
 
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
+    def fit_scores(self, table: DataFrame) -> PipelineModel:
         name = self.getOrDefault(self.scoreCol)
-        n = (F.col("pos") + F.col("neg")).cast("double")
-        points = self._table(dataset).select("p", (F.col("pos") / n).alias("rate"), n.alias("w"))
-        if points.isEmpty():
+        if table.isEmpty():
             raise ValueError("cannot calibrate on an empty table")
+        blocks = durable(pooled_blocks(table), "blocks")
+        rate = (F.col("pos") / F.col("n")).alias("rate")
+        ends = blocks.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias(name), rate)
         fitted = IsotonicRegression(
-            featuresCol=name, labelCol="rate", weightCol="w", predictionCol=CALIBRATED, isotonic=True
-        ).fit(points.withColumnRenamed("p", name))
+            featuresCol=name, labelCol="rate", predictionCol=CALIBRATED, isotonic=True
+        ).fit(ends)
         return PipelineModel(stages=[fitted])
 
 
@@ -147,15 +192,36 @@ def apply_calibrator(df: DataFrame, calibrator: PipelineModel, p: str = SCORE) -
     return out.select(*[F.col(CALIBRATED).alias(c) if c == p else F.col(c) for c in columns])
 
 
+def _counts_by_fold(base: DataFrame, k: int) -> DataFrame:
+    """``(p, pos, neg, pos_0, neg_0, ...)``: the rows of each score, in all folds and in each."""
+    y, folds = F.col("_y"), require_small(list(range(k)), "folds", 1_000)
+    sums = [F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")]
+    for i in folds:
+        here = F.col("fold") == i
+        sums += [F.sum(F.when(here, y).otherwise(0)).alias(f"pos_{i}"), F.sum(F.when(here, 1 - y).otherwise(0)).alias(f"neg_{i}")]
+    rows = base.select("fold", checked_p(F.col(SCORE)).alias("p"), checked_y(F.col(LABEL)).cast("long").alias("_y"))
+    return rows.groupBy("p").agg(*sums)
+
+
+def _without_fold(counts: DataFrame, i: int) -> DataFrame:
+    left = counts.select("p", (F.col("pos") - F.col(f"pos_{i}")).alias("pos"), (F.col("neg") - F.col(f"neg_{i}")).alias("neg"))
+    return left.where(F.col("pos") + F.col("neg") > 0)
+
+
 def cross_fit_calibration(
     scored: DataFrame, fold: str, k: int, methods: Sequence[str] = METHODS, parallelism: int = 4
 ) -> DataFrame:
-    """Held-out calibrated rows per method: ``(method, fold, y, p)``, baseline included."""
+    """Held-out calibrated rows per method: ``(method, fold, y, p)``, baseline included.
+
+    The rows are shuffled once, into one table of distinct scores with the counts of all
+    folds; what a fit learns from is the total minus its fold, a projection of that table.
+    """
     base = durable(scored.select(F.col(fold).alias("fold"), LABEL, SCORE), "folds", "fold")
+    counts = durable(_counts_by_fold(base, k), "fold-scores")
     parts = [base.select(F.lit("baseline").alias("method"), "fold", LABEL, SCORE)]
 
     def held_out(method: str, i: int) -> DataFrame:
-        model = fit_calibrator(base.where(F.col("fold") != i), method)
+        model = build_calibrator(method).fit_scores(_without_fold(counts, i))
         rows = apply_calibrator(base.where(F.col("fold") == i), model)
         return rows.select(F.lit(method).alias("method"), "fold", LABEL, SCORE)
 

@@ -45,12 +45,19 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def value_share(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, value, count, percent)`` with the percentage at two decimals.
 
-    Totals run over the few counted values, not over the rows.
+    Totals are sums of the counted values, joined on as one row for each group: no window,
+    so neither the table nor a group is gathered in one task.
     """
     counted = df.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    whole = Window.partitionBy(*(by or [F.lit(1)]))
-    return counted.withColumn(
-        "percent", F.round(F.col("count") * 100 / F.sum("count").over(whole), 2)
+    if not by:
+        total = counted.agg(F.sum("count")).scalar()
+        return counted.withColumn("percent", F.round(F.col("count") * 100 / total, 2))
+    totals = counted.groupBy(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)]).agg(F.sum("count").alias("_total"))
+    cond = F.lit(True)
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return counted.join(totals, cond).select(
+        *by, "value", "count", F.round(F.col("count") * 100 / F.col("_total"), 2).alias("percent")
     )
 
 

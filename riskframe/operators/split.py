@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import class_counts, hash_cuts, key_hash, with_block
 
 SEED = 42
+TOP_ROWS = 10_000  # rows of a sample that are found as a top-k
 
 
 def allocate(total: int, per_class: dict[int, int]) -> dict[int, int]:
@@ -92,8 +93,23 @@ def split_report(df: DataFrame, label: str, split: str = "split") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows without replacement, the same ones every time (a distributed top-k by hash)."""
-    return df.orderBy(key_hash(key, seed)).limit(n)
+    """``n`` rows without replacement: those of least key hash, the same ones every time.
+
+    A few rows are a top-k. Beyond 10,000, where a task would send as many rows to one other
+    task, the hash of the n-th row is found from counts and rows are kept where they are.
+    Rows with a NULL key are never taken; fewer than ``n`` rows are all returned.
+    """
+    named = df.where(F.col(key).isNotNull())
+    h = key_hash(key, seed)
+    if n <= TOP_ROWS:
+        return named.orderBy(h).limit(n)
+    counted = named.select(key, F.lit(0).alias("_class"))
+    if counted.count() <= n:
+        return named
+    cut = hash_cuts(counted, key, "_class", seed, {0: [n]})[0][0]
+    below = named.where(h < cut)
+    # rows that share the last hash: as many as are left to take
+    return below.unionByName(named.where(h == cut).limit(n - below.count()))
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

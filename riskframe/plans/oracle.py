@@ -711,6 +711,19 @@ ORACLE["error_rates_json"] = ORACLE["error_rates"]
 ORACLE["decision_cells"] = f"""WITH {SCORED}
 SELECT y, CAST(p >= {T} AS INTEGER) AS a, CAST(p_rival >= {T} AS INTEGER) AS b, count(*) AS n FROM scored GROUP BY 1, 2, 3"""
 
+ORACLE["auc_difference"] = f"""WITH {SCORED},
+seen AS (SELECT y, p, p_rival, CAST(sum(y) OVER () AS DOUBLE) AS np, CAST(sum(1 - y) OVER () AS DOUBLE) AS nn,
+  sum(1 - y) OVER (ORDER BY p) - sum(1 - y) OVER (PARTITION BY p) / 2.0 AS neg_a, sum(1 - y) OVER (ORDER BY p_rival) - sum(1 - y) OVER (PARTITION BY p_rival) / 2.0 AS neg_b,
+  sum(y) OVER (ORDER BY p) - sum(y) OVER (PARTITION BY p) / 2.0 AS pos_a, sum(y) OVER (ORDER BY p_rival) - sum(y) OVER (PARTITION BY p_rival) / 2.0 AS pos_b
+  FROM scored),
+placed AS (SELECT y, CASE WHEN y = 1 THEN neg_a / nn ELSE 1 - pos_a / np END AS a, CASE WHEN y = 1 THEN neg_b / nn ELSE 1 - pos_b / np END AS b FROM seen),
+c AS (SELECT y, avg(a) AS a, avg(b) AS b, var_samp(a - b) / count(*) AS v FROM placed GROUP BY y),
+one AS (SELECT max(a) FILTER (y = 1) AS auc_a, max(b) FILTER (y = 1) AS auc_b, sqrt(sum(v)) AS std_error FROM c),
+d AS (SELECT *, auc_a - auc_b AS auc_difference FROM one)
+SELECT round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_difference, 6) AS auc_difference, round(std_error, 6) AS std_error,
+  round(auc_difference / std_error, 6) AS z, round(auc_difference - 1.959963984540054 * std_error, 6) AS low,
+  round(auc_difference + 1.959963984540054 * std_error, 6) AS high FROM d"""
+
 # ------------------------------------------------------------ model comparison
 
 PER_FOLD = "SELECT DISTINCT fold AS g FROM folds"

@@ -989,6 +989,12 @@ def bootstrap_auc(spark, sf):
     return bootstrap.bootstrap_interval(draws, "auc_difference")
 
 
+@query
+def auc_difference(spark, sf):
+    row = metrics.auc_difference(views.two_scored_documents(spark, sf), "p", "p_rival")
+    return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
+
+
 @query
 def decision_cells(spark, sf):
     return bootstrap.decision_cells(

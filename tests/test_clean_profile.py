@@ -71,3 +71,15 @@ def test_top_values_are_limited_before_the_shuffle(spark):
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in initial and "Partial" in initial and "CartesianProduct" not in initial
+
+
+def test_value_share_by_group_without_window(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", None), (None, "x"), (None, "y"), ("b", "z")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    got = {(r["g"], r["value"]): (r["count"], r["percent"]) for r in profile.value_share(df, "v", ["g"]).collect()}
+    assert got == {("a", "x"): (2, 66.67), ("a", None): (1, 33.33), (None, "x"): (1, 50.0), (None, "y"): (1, 50.0), ("b", "z"): (1, 100.0)}
+    whole = profile.value_share(df, "v")
+    assert {r["value"]: r["percent"] for r in whole.collect()} == {"x": 50.0, "y": 16.67, "z": 16.67, None: 16.67}
+    assert profile.value_share(df.where("false"), "v").collect() == []
+    for out in (whole, profile.value_share(df, "v", ["g"])):
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

@@ -328,3 +328,16 @@ def test_late_events_are_dropped(spark, tmp_path):
     run()
     rows = {str(r["window_start"])[:10]: r["invocation_count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {"2024-01-01": 1, "2024-01-03": 1}
+
+
+def test_inputs_and_rules_are_evaluated_once(spark):
+    rules = ct.Contract({"words": ct.NumericRule("float", minimum=1.0, maximum=50.0)}, {"first": ("a", "b")}, passthrough=("id",))
+    texts = spark.createDataFrame([(1, "a b c"), (2, "c d"), (3, " "), (4, None)], "id long, text string")
+    words = F.size(F.array_distinct(F.split("text", "[a-c]"))).cast("double")
+    rows = texts.select("id", words.alias("words"), F.substring("text", 1, 1).alias("first"))
+    valid, rejected = rules.split(rows)
+    for out in (valid, rejected, rules.select_valid(rules.check(rows), keep_input=True)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct") == 1 and plan.count("unknown_category") == 1
+    assert [r["id"] for r in valid.collect()] == [1]
+    assert {r["id"] for r in rejected.collect()} == {2, 3, 4}

@@ -97,19 +97,42 @@ def test_mean_and_population_std(frame):
     assert (r["mean"], r["std"]) == (2.0, 1.0)
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("cells", [16, 4096])
+def test_exact_quantiles(spark, cells):
     rng = np.random.default_rng(3)
     v = np.concatenate([np.full(700, 5.0), rng.normal(5, 2, 1300).round(3)])
-    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", 1.0), ("b", None), ("b", float("nan"))], "g string, v double")
+    rows = [("a", float(x)) for x in v] + [("b", 1.0), ("b", None), ("b", float("nan")), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for accuracy in (50, 100_000):
-        got = {
-            (r["g"], r["prob"]): r["quantile"]
-            for r in ranking.exact_quantiles(df, ["g"], "v", probs, groups=2, accuracy=accuracy).collect()
-        }
-        for q in probs:
-            assert got[("a", q)] == pytest.approx(np.quantile(v, q), abs=1e-12)
-            assert got[("b", q)] == 1.0
+    out = ranking.exact_quantiles(df, ["g"], "v", probs, groups=3, cells=cells, extra={"top": F.max("_v")}).collect()
+    got = {(r["g"], r["prob"]): r["quantile"] for r in out}
+    for q in probs:
+        assert got["a", q] == pytest.approx(np.quantile(v, q), abs=1e-12)
+        assert got["b", q] == 1.0 and got[None, q] == pytest.approx(2 + 2 * q)
+    assert {(r["g"], r["n_values"], r["top"]) for r in out} == {("a", 2000, v.max()), ("b", 1, 1.0), (None, 2, 4.0)}
+
+
+def test_exact_quantiles_far_apart(spark):
+    """Values of every order of magnitude, both signs, infinities, and near neighbours beside them."""
+    rng = np.random.default_rng(9)
+    inf = float("inf")
+    near = [1.0 + i * 2.0**-52 for i in range(300)]
+    v = np.array([*(rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500)), *near, 5e-324, -5e-324, 0.0, 1.7e308, -1.7e308, inf, -inf, inf])
+    df = spark.createDataFrame([("a", float(x)) for x in v], "g string, v double").repartition(3)
+    ranks = [0, 1, 2, 200, 400, 401, 402, 550, 551, 700, len(v) - 3, len(v) - 1]
+    probs = [r / (len(v) - 1) for r in ranks]
+    got = {r["prob"]: r["quantile"] for r in ranking.exact_quantiles(df, ["g"], "v", probs, groups=1, cells=64).collect()}
+    for q in probs:
+        at = (len(v) - 1) * q
+        low, high = np.sort(v)[[int(np.floor(at)), int(np.ceil(at))]]
+        assert got[q] == low or low < got[q] <= high
+
+
+def test_exact_quantiles_check_their_groups(spark):
+    df = spark.createDataFrame([(str(i), 1.0) for i in range(4)], "g string, v double")
+    with pytest.raises(ValueError, match="more than 3 groups"):
+        ranking.exact_quantiles(df, ["g"], "v", [0.5], groups=3)
+    assert ranking.exact_quantiles(df.where("false"), ["g"], "v", [0.5], groups=3).collect() == []
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 149, 150, 151, 1000])
@@ -125,3 +148,29 @@ def test_checks_table(spark):
     bad = spark.createDataFrame([(2, 0.5), (1, 1.5), (None, None)], "y int, p double")
     got = {r["check"]: (r["ok"], r["bad_rows"]) for r in metrics.scored_checks(bad).collect()}
     assert got == {"not_empty": (True, 0), "label_binary": (False, 2), "probability_range": (False, 2)}
+
+
+def delong(y, a, b):
+    """AUCs and the variance of their difference, from all pairs."""
+    y, scores = np.array(y), [np.array(a), np.array(b)]
+    wins = [(s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0]) for s in scores]
+    d10, d01 = (wins[0] - wins[1]).mean(axis=1), (wins[0] - wins[1]).mean(axis=0)
+    return wins[0].mean(), wins[1].mean(), d10.var(ddof=1) / len(d10) + d01.var(ddof=1) / len(d01)
+
+
+@pytest.mark.parametrize("places", [1, 6])
+def test_auc_difference(spark, places):
+    rng = np.random.default_rng(places)
+    y = rng.integers(0, 2, 400)
+    a = (0.3 * y + 0.7 * rng.random(400)).round(places)
+    b = (0.5 * a + 0.5 * rng.random(400)).round(places)
+    df = spark.createDataFrame([(int(c), float(p), float(q)) for c, p, q in zip(y, a, b)], "y int, p double, q double")
+    row = metrics.auc_difference(df, "p", "q").first()
+    auc_a, auc_b, variance = delong(y, a, b)
+    assert row["auc_a"] == pytest.approx(auc_a) and row["auc_b"] == pytest.approx(auc_b)
+    assert row["std_error"] == pytest.approx(variance**0.5)
+    assert row["high"] - row["low"] == pytest.approx(2 * 1.959963984540054 * variance**0.5)
+    one = metrics.auc_difference(df.where("y = 1"), "p", "q").first()
+    assert set(one) == {None}
+    same = metrics.auc_difference(df, "p", "p").first()
+    assert (same["auc_difference"], same["std_error"], same["z"]) == (0.0, 0.0, None)

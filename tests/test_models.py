@@ -204,3 +204,45 @@ def test_depth_beyond_the_limit_is_refused(spark):
     df = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "x1 double, y int")
     with pytest.raises(ValueError, match="depth 50"):
         models.risk_pipeline(["x1"], kind="tree", maxDepth=50).fit(df)
+
+
+def pooled(ps, pos, n):
+    """Isotonic rates by pooling from left to right."""
+    stack = []
+    for p, a, b in zip(ps, pos, n):
+        stack.append([a, b, 1])
+        while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
+            a, b, k = stack.pop()
+            stack[-1] = [stack[-1][0] + a, stack[-1][1] + b, stack[-1][2] + k]
+    return [a / b for a, b, k in stack for _ in range(k)]
+
+
+@pytest.mark.parametrize("shape", ["noisy", "rising", "falling"])
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_isotonic_blocks_of_a_tree(spark, shape, ranges):
+    r = np.random.default_rng(ranges)
+    size = 3_000
+    ps = np.sort(r.random(size).round(9))
+    rate = {"noisy": ps, "rising": ps, "falling": 1 - ps}[shape]
+    n = r.integers(1, 4, size) if shape == "noisy" else np.full(size, 1000)
+    pos = r.binomial(n, rate) if shape == "noisy" else (1000 * rate).astype(int)
+    rows = [(float(p), int(a), int(b - a)) for p, a, b in zip(ps, pos, n)]
+    table = spark.createDataFrame(rows, "p double, pos long, neg long").repartition(5)
+    blocks = sorted(calibrate.pooled_blocks(table, ranges).collect())
+    want = pooled(ps, pos.tolist(), n.tolist())
+    got = {}
+    for b in blocks:
+        inside = (ps >= b["lo"]) & (ps <= b["hi"])
+        assert n[inside].sum() == b["n"] and pos[inside].sum() == b["pos"]
+        got.update((float(p), b["pos"] / b["n"]) for p in ps[inside])
+    assert [got[float(p)] for p in ps] == want
+
+
+def test_folds_are_subtracted(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 3, int(r.integers(2)), float(r.integers(40) / 50)) for i in range(500)]
+    base = spark.createDataFrame(rows, "fold int, y int, p double")
+    counts = calibrate._counts_by_fold(base, 3)
+    for i in range(3):
+        want = metrics.score_table(base.where(F.col("fold") != i))
+        assert sorted(calibrate._without_fold(counts, i).collect()) == sorted(want.collect())

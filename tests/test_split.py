@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,17 @@ def test_null_keys_are_named(spark, cut):
     df = spark.createDataFrame([(1, 0), (None, 1), (3, 1)], "k long, y int")
     with pytest.raises(ValueError, match="key column k is NULL in 1 rows"):
         cut(df, "k", "y")
+
+
+def test_sample_by_counts_takes_the_same_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i // 3 if i > 90 else i, i) for i in range(600)] + [(None, -1)], "id long, row long")
+    hashes = lambda rows: sorted(hashlib.md5(f"42-{r['id']}".encode()).hexdigest() for r in rows)
+    for n in (1, 50, 333):
+        few = split.sample_rows(df, "id", n).collect()
+        monkeypatch.setattr(split, "TOP_ROWS", 0)
+        many = split.sample_rows(df, "id", n).collect()
+        monkeypatch.undo()
+        assert hashes(few) == hashes(many) and len(many) == n
+        assert len({r["row"] for r in many}) == n and None not in {r["id"] for r in many}
+    monkeypatch.setattr(split, "TOP_ROWS", 0)
+    assert split.sample_rows(df, "id", 5_000).count() == 600
