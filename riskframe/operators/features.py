@@ -13,13 +13,14 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import sql_literal
 from ..functions.ranking import exact_quantiles
 from ..session import durable, require_small
 
+ID_RANGES = 4_096  # ranges of the hash that values are numbered in
 MAX_CATEGORIES = 100_000  # default of the parameter: values of one column, which become labels of the model
 
 
@@ -84,22 +85,68 @@ def with_class_weight(df: DataFrame, label: str, weights: dict[int, float], name
     return df.withColumn(name, out)
 
 
-def one_hot_long(
-    df: DataFrame, key: str, columns: Sequence[str], domains: dict[str, Sequence[str]], max_categories: int = 5_000
-) -> DataFrame:
-    """``(key, feature, value)`` of the encoded categories; an unknown value has only zeros.
+def _long_categories(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """``(*keep, column, value)`` of the non-NULL categories."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    return df.select(*keep, F.explode(F.array(*cells)).alias("s")).select(*keep, "s.*").where("value IS NOT NULL")
 
-    Every category is a row of the result; a column with more than ``max_categories`` is an error.
+
+def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, id)``: the categories of each column, numbered from 0 without gaps.
+
+    For columns of any number of values: distinct values are cut into ranges of their hash,
+    ranges are counted and the counts accumulated (4,096 rows for each column), and values
+    are numbered inside their range. No value reaches the driver and no task holds a column.
+    The numbers follow hash and value, the same ones every time. NULL is no category.
     """
-    cells = [
-        F.struct(
-            F.lit(f"cat__{c}_{v}").alias("feature"),
-            F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).cast("double").alias("value"),
-        )
-        for c in columns
-        for v in require_small(list(domains[c]), f"domain of {c}", max_categories)
-    ]
-    return df.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
+    values = durable(_long_categories(df, columns).distinct().withColumn("_range", F.pmod(F.xxhash64("value"), F.lit(ID_RANGES))), "categories")
+    upto = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = values.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("column").alias("_column"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy("column", "_range").orderBy("value")) - 1
+    numbered = values.withColumn("_inside", inside).join(before, (F.col("column") == F.col("_column")) & (F.col("_range") == F.col("_r")))
+    return durable(numbered.select("column", "value", (F.col("_before") + F.col("_inside")).alias("id")), "dictionary")
+
+
+def dictionary_sizes(dictionary: DataFrame) -> dict[str, int]:
+    """Categories of each column: one number for each."""
+    return {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
+
+
+def with_category_ids(df: DataFrame, dictionary: DataFrame, columns: Sequence[str], sizes: dict[str, int]) -> DataFrame:
+    """Add ``idx__<column>``: the category's number, or the number of categories if it is unknown or NULL."""
+    out = df
+    for c in columns:
+        if not sizes.get(c):
+            raise ValueError(f"no category of {c} is known")
+        own = dictionary.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("id").alias("_id"))
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": sizes[c] + 1}}
+        number = F.coalesce("_id", F.lit(sizes[c])).cast("double").alias(f"idx__{c}", metadata=nominal)
+        out = out.join(own, F.col(c).cast("string") == F.col("_value"), "left").select(*out.columns, number)
+    return out
+
+
+def wide_one_hot(df: DataFrame, columns: Sequence[str], sizes: dict[str, int]) -> DataFrame:
+    """Add the sparse vector ``cat__<column>`` for each column with an ``idx__<column>``.
+
+    The slot of unknown values is the last one, which is dropped: they are all zero.
+    """
+    hot = OneHotEncoder(
+        inputCols=[f"idx__{c}" for c in columns], outputCols=[f"cat__{c}" for c in columns], dropLast=True
+    )
+    return hot.fit(df).transform(df)
+
+
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """``(key, feature, value)`` of the encoded categories, ones only.
+
+    Rows meet the dictionary by column and value, so it may hold any number of categories;
+    an unknown value has none.
+    """
+    known = dictionary.select(F.col("column").alias("_c"), F.col("value").alias("_v"))
+    hits = _long_categories(df, columns, key).join(known, (F.col("column") == F.col("_c")) & (F.col("value") == F.col("_v")), "left_semi")
+    return hits.select(key, F.concat(F.lit("cat__"), "column", F.lit("_"), "value").alias("feature"), F.lit(1.0).alias("value"))
 
 
 class TablePreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable):

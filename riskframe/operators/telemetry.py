@@ -53,17 +53,6 @@ def error_category(exc: BaseException) -> str:
     return "unknown_error"
 
 
-def category_of(code: Column) -> Column:
-    """Category of a message or exception name, for event tables written elsewhere."""
-    text = F.lower(code)
-    return (
-        F.when(text.rlike("validation|contract"), "validation_error")
-        .when(text.rlike("integrity|sha256"), "artifact_integrity_error")
-        .when(text.rlike("filenotfound|value|oserror|json"), "artifact_load_error")
-        .otherwise("unknown_error")
-    )
-
-
 def scoring_event(
     spark: SparkSession,
     event_type: str,

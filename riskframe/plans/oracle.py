@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.views import DOC_INTERCEPT, DOC_WEIGHTS, RIVAL_INTERCEPT, RIVAL_WEIGHTS
-from ..spec import COST_SCENARIOS, DEFAULT_COSTS, retention_grid
+from ..spec import COST_SCENARIOS, DEFAULT_COSTS, GRID_C, retention_grid
 
 ORACLE: dict[str, str] = {}
 T = 0.19
@@ -468,6 +468,11 @@ SELECT account_id, 'cat__region_' || region AS feature, CAST(1 AS DOUBLE) AS val
   WHERE region IN (SELECT region FROM splits WHERE split = 'train')
 UNION ALL SELECT account_id, 'cat__segment_raw_' || segment_raw, CAST(1 AS DOUBLE) FROM splits
   WHERE segment_raw IN (SELECT segment_raw FROM splits WHERE split = 'train')"""
+ORACLE["wide_categories"] = f"""WITH {A_SPLIT},
+t AS (SELECT split, region, CAST(CAST(round(total_text) AS BIGINT) AS VARCHAR) AS spent FROM splits),
+k AS (SELECT split, CAST(region IS NOT NULL AND region IN (SELECT region FROM t WHERE split = 'train' AND region IS NOT NULL) AS INTEGER) AS region,
+  CAST(spent IS NOT NULL AND spent IN (SELECT spent FROM t WHERE split = 'train' AND spent IS NOT NULL) AS INTEGER) AS spent FROM t)
+SELECT split, region, spent, count(*) AS n, (SELECT count(DISTINCT spent) FROM t WHERE split = 'train') AS spent_values FROM k GROUP BY ALL"""
 ORACLE["encoded_means"] = f"""WITH {IMPUTED},
 n AS (SELECT split, count(*) AS n FROM imp GROUP BY 1),
 v AS (SELECT 'cat__region_' || region AS feature, 'region' AS c, region AS v FROM (SELECT DISTINCT region FROM splits WHERE split = 'train' AND region IS NOT NULL)
@@ -642,6 +647,10 @@ SELECT feature, round(v, 3) AS coefficient, CASE WHEN v > 0 THEN 'increases' ELS
   CAST(row_number() OVER (ORDER BY abs(v) DESC) AS INTEGER) AS rank FROM c"""
 ORACLE["oof_logistic"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT DISTINCT fold AS g FROM folds')}
 SELECT doc_id, y, fold, round(1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))), 4) AS p FROM folds JOIN fit ON g = fold"""
+ORACLE["logistic_grid"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {', '.join(
+    newton(['dw', 'log_chars'], 1 / c, 'SELECT DISTINCT fold AS g FROM folds', tag=f'c{i}_') for i, c in enumerate(GRID_C))},
+points AS ({' UNION ALL '.join(f'SELECT *, CAST({c} AS DOUBLE) AS C FROM c{i}_fit' for i, c in enumerate(GRID_C))})
+SELECT CAST(g AS BIGINT) AS fold, C, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM points"""
 Z = "ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6)))"
 LOGITS = f"cells AS (SELECT fold, y, 1.0 AS w, {Z} AS z FROM folds)"
 ORACLE["sigmoid_calibration"] = f"""WITH {FOLDS}, {LOGITS}, {newton(['z'], 1.0, 'SELECT -1 AS g')}

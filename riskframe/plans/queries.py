@@ -26,6 +26,7 @@ from ..operators import (
     features,
     metrics,
     models,
+    newton,
     profile,
     score,
     split,
@@ -38,6 +39,7 @@ from ..streaming import scoring as stream_scoring
 from ..streaming import telemetry as stream_telemetry
 from . import jobs
 from ..spec import (
+    GRID_C,
     COARSE_GRID,
     COST_SCENARIOS,
     DEFAULT_COSTS,
@@ -445,10 +447,20 @@ def imputed_accounts(spark, sf):
 @query
 def one_hot_long(spark, sf):
     table = split_accounts(spark, sf)
-    fitted = features.TablePreprocessor([], ACCOUNT_CATEGORIES).fit(table.where(F.col("split") == "train"))
-    return features.one_hot_long(
-        table, "account_id", ACCOUNT_CATEGORIES, features.category_domains(fitted)
-    ).where("value = 1")
+    dictionary = features.category_dictionary(table.where(F.col("split") == "train"), ACCOUNT_CATEGORIES)
+    return features.one_hot_long(table, "account_id", ACCOUNT_CATEGORIES, dictionary)
+
+
+@query
+def wide_categories(spark, sf):
+    """Dictionary and vectors of a column with many values: size, and rows by what their vectors hold."""
+    table = split_accounts(spark, sf).withColumn("spent", F.round("total_text", 0).cast("long").cast("string"))
+    dictionary = features.category_dictionary(table.where(F.col("split") == "train"), ["spent", "region"])
+    sizes = features.dictionary_sizes(dictionary)
+    hot = features.wide_one_hot(features.with_category_ids(table, dictionary, ["spent", "region"], sizes), ["spent", "region"], sizes)
+    ones = [F.aggregate(vector_to_array(f"cat__{c}"), F.lit(0.0), lambda a, x: a + x).cast("int").alias(c) for c in ("region", "spent")]
+    counted = hot.select("split", *ones).groupBy("split", "region", "spent").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("split", "region", "spent", "n", F.lit(sizes["spent"]).cast("long").alias("spent_values"))
 
 
 @query
@@ -741,6 +753,16 @@ def oof_logistic(spark, sf):
     return scored.withColumn("p", F.round("p", 4))
 
 
+@query
+def logistic_grid(spark, sf):
+    """All points of five folds and the grid of C at once."""
+    folded = folded_documents(spark, sf)
+    fitted = newton.logistic_points(folded, MODEL_NUMERIC, GRID_C, range(5), "fold")
+    return fitted.select(
+        "fold", "C", *[F.round(c, 4).alias(n) for n, c in zip(("b0", "b1", "b2"), ("intercept", F.col("coefficients")[0], F.col("coefficients")[1]))]
+    )
+
+
 @query
 def sigmoid_calibration(spark, sf):
     scored = views.scored_documents(spark, sf, labelled=False).select("doc_id", "p")
