@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,26 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import blocks
 
-#: Bounds of the labelled sample: texts of each language, characters of a text, and characters
-#: of all languages together, shared evenly.
+#: Bounds of the labelled sample: texts of each language, characters of a text (of a longer one
+#: a stretch at a place given by its hash), and characters of all languages together, shared evenly.
 SAMPLE_TEXTS = 64
 SAMPLE_TEXT_CHARS = 4_000
 SAMPLE_CHARS = 160_000
 MAX_LANGUAGES = 500
-ALPHABET = 62  # most frequent letters of the sample; others match nothing
+DENSE = 62  # most frequent letters of the sample: columns of a table; edges of the others are searched
 WINDOW = 1_024  # letters that are parsed in one go
 UNKNOWN = "und"
-SPACE, OTHER, PAD = 0, ALPHABET + 1, ALPHABET + 2
-WIDTH = ALPHABET + 3
+SPACE, OTHER, PAD = 0, DENSE + 1, DENSE + 2
+WIDTH = DENSE + 3  # classes from here on are the letters beyond the most frequent
 
 
 @dataclass(frozen=True)
 class Model:
     """Automata of all languages in one table of edges ``(state, letter class, next state)``.
 
-    Row l of ``roots`` is the root of language l; ``cost`` turns a phrase into bits.
+    Row l of ``roots`` is the root of language l; ``cost`` turns a phrase into bits. ``alphabet``
+    has every letter of the sample, the most frequent first.
     """
 
     languages: tuple[str, ...]
@@ -78,17 +81,39 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def letter_class(place: int) -> int:
+    """Class of the letter at a place of the alphabet."""
+    return place + 1 if place < DENSE else place - DENSE + WIDTH
+
+
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """At most SAMPLE_TEXTS rows ``(lang, text)`` of each language: those of least text hash.
 
-    Texts of more than SAMPLE_TEXT_CHARS characters stay out of the sample. Ranks are cut
-    inside the tasks first, so a language with most rows moves no more than any other.
+    A text of more than SAMPLE_TEXT_CHARS characters gives a stretch of that length from a
+    place that its hash names. Hashes alone are ranked, cut inside the tasks first; the texts
+    of the chosen hashes are read after, once for each hash.
     """
-    fit = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
-        F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_TEXT_CHARS) & F.col("text").rlike(r"\p{L}")
+    long = F.length(text) - SAMPLE_TEXT_CHARS
+    start = F.when(long > 0, F.pmod(F.xxhash64(text), long + 1)).otherwise(0) + 1
+    fit = labelled.select(
+        F.col(lang).alias("lang"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_TEXT_CHARS)).alias("text")
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return fit.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS).drop("n")
+    fit = fit.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    least = fit.select("lang", "h").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
+    cuts = least.groupBy("lang").agg(F.max("h").alias("cut")).limit(MAX_LANGUAGES + 1).collect()
+    if len(cuts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not cuts:
+        return fit.select("lang", "text").filter(F.lit(False))
+    cut = F.create_map(*(F.lit(x) for r in cuts for x in (r["lang"], r["cut"])))
+    chosen = fit.filter(F.col("h") <= F.element_at(cut, F.col("lang")))
+    return chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).drop("h")
+
+
+def learnt_text(texts: set[str], share: int) -> str:
+    """The sample of a language: its texts in the order of a hash, cut at ``share`` characters."""
+    return " ".join(sorted(texts, key=lambda t: (zlib.crc32(t.encode()), t)))[:share]
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -96,33 +121,41 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     texts: dict[str, set[str]] = {}
     for r in sample(labelled, text, lang).toLocalIterator():
         texts.setdefault(r["lang"], set()).add(normalise(r["text"]))
-        if len(texts) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = tuple(sorted(texts))
     share = SAMPLE_CHARS // max(1, len(languages))
-    learnt = {x: " ".join(sorted(texts[x]))[:share] for x in languages}
+    learnt = {x: learnt_text(texts[x], share) for x in languages}
     letters = Counter(c for x in learnt.values() for c in x if c != " ")
-    alphabet = "".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]))
-    classes = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": SPACE}
+    alphabet = "".join(sorted(letters, key=lambda c: (-letters[c], c)))
+    classes = {c: letter_class(i) for i, c in enumerate(alphabet)} | {" ": SPACE}
     roots, edges, at = [], [], 0
     for x in languages:
-        # a class that no text has separates nothing: unknown letters simply break the sample
-        moves = suffix_automaton([classes.get(c, OTHER) for c in learnt[x]])
+        moves = suffix_automaton([classes[c] for c in learnt[x]])
         roots.append(at)
-        edges.extend((at + s, c, at + t) for s, m in enumerate(moves) for c, t in m.items() if c != OTHER)
+        edges.extend((at + s, c, at + t) for s, m in enumerate(moves) for c, t in m.items())
         at += len(moves)
     cost = np.array([math.log2(len(learnt[x]) + 1) for x in languages])
     return Model(languages, alphabet, np.array(roots, np.int32), at, np.array(edges, np.int32).reshape(-1, 3), cost)
 
 
 class Parser:
-    """A model laid out for array steps: one table of next states for all languages."""
+    """A model laid out for array steps: one table of next states for all languages.
+
+    The table has the most frequent letters; edges of all others, and there may be thousands
+    of letters, are a sorted list of numbers.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         table = np.full((model.states, WIDTH), -1, dtype=np.int32)
         state, letter, to = model.edges.T
-        table[state, letter] = to
+        dense = letter < WIDTH
+        table[state[dense], letter[dense]] = to[dense]
+        self.classes = WIDTH + max(0, len(model.alphabet) - DENSE)
+        keys = state[~dense].astype(np.int64) * self.classes + letter[~dense]
+        order = np.argsort(keys)
+        # a last key that no letter has, so that every search ends inside
+        self.rare_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rare_to = np.append(to[~dense][order], 0).astype(np.int32)
         # where no move exists, a new phrase starts with this letter from the language's root
         sizes = np.diff(np.append(model.roots, model.states))
         for root, size in zip(model.roots, sizes):
@@ -131,13 +164,26 @@ class Parser:
             own[:] = np.where(own >= 0, own, ~restart[None, :])
         table[:, PAD] = np.arange(model.states)
         self.table = table.ravel()
-        self.letters = np.full(0x110000, SPACE, dtype=np.uint8)
-        classes = {c: i + 1 for i, c in enumerate(model.alphabet)}
+        self.letters = np.full(0x110000, SPACE, dtype=np.int32)
+        classes = {c: letter_class(i) for i, c in enumerate(model.alphabet)}
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
                 self.letters[code] = classes.get(c.lower()[0], OTHER)
 
+    def _rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states by letters beyond the table; where no edge exists, the complement of the new phrase's state."""
+
+        def follow(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = states.astype(np.int64) * self.classes + letter
+            at = np.searchsorted(self.rare_keys, key)
+            return self.rare_keys[at] == key, self.rare_to[at]
+
+        root = np.broadcast_to(self.model.roots[:, None], state.shape)
+        known, to = follow(state)
+        begun, first = follow(root)
+        return np.where(known, to, ~np.where(begun, first, root))
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language (texts x languages), and its letters and spaces.
 
@@ -161,8 +207,15 @@ class Parser:
         grid[place % WINDOW, (np.cumsum(windows) - windows)[owner] + place // WINDOW] = letter
         state = np.repeat(self.model.roots[:, None], len(of_text), axis=1)
         breaks = np.zeros(state.shape, dtype=np.int32)
-        for step in grid:
-            moved = self.table[state * WIDTH + step]
+        rare = grid >= WIDTH
+        with_rare = rare.any(axis=1)
+        for row, step in enumerate(grid):
+            if with_rare[row]:
+                moved = self.table[state * WIDTH + np.where(rare[row], OTHER, step)]
+                at = np.flatnonzero(rare[row])
+                moved[:, at] = self._rare(state[:, at], step[at])
+            else:
+                moved = self.table[state * WIDTH + step]
             failed = moved < 0
             breaks += failed
             state = np.where(failed, ~moved, moved)
@@ -208,6 +261,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     language was learnt. Repeated rows get equal results; columns named like the results
     are replaced; an empty table gives an empty one.
     """
+    ship_package(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     content = kept.withColumn("__text", F.col(text))

@@ -60,7 +60,7 @@ def test_phrases_match_brute_force(spark):
     for t, row in zip(texts, count):
         letters = language.normalise(t) + " "  # a text ends like a word
         for x, n in zip(model.languages, row):
-            sample = " ".join(sorted(samples[x]))[: language.SAMPLE_CHARS // 2]
+            sample = language.learnt_text(samples[x], language.SAMPLE_CHARS // 2)
             whole = "".join(c if c == " " or c in model.alphabet else "\0" for c in letters)
             expected = sum(
                 greedy_phrases(whole[i : i + language.WINDOW], sample) for i in range(0, len(whole), language.WINDOW)
@@ -101,3 +101,48 @@ def test_prediction_depends_on_text_only(spark, tmp_path):
     for x in got:
         by_text.setdefault(texts[x["doc_id"]], set()).add(x["lang_pred"])
     assert all(len(v) == 1 for v in by_text.values())
+
+
+SCRIPTS = {  # first letter and number of letters
+    "el": (0x3B1, 24), "en": (0x61, 26), "ka": (0x10D0, 33), "ru": (0x430, 32), "zh": (0x4E00, 1500), "ko": (0xAC00, 900),
+}
+
+
+def in_script(lang, seed, words=60):
+    """Words of an invented vocabulary in the letters of a script."""
+    first, size = SCRIPTS[lang]
+    r = random.Random(lang)
+    known = ["".join(chr(first + r.randrange(size)) for _ in range(r.randint(2, 7))) for _ in range(600)]
+    return " ".join(random.Random(f"{lang}{seed}").choices(known, k=words))
+
+
+def test_every_script_is_learnt(spark):
+    """Thousands of letters in all; none is crowded out by those of other languages."""
+    rows = [(in_script(x, i), x) for x in SCRIPTS for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.alphabet) > 10 * language.DENSE
+    probe = [(x, in_script(x, 1000 + i)) for x in SCRIPTS for i in range(20)]
+    names, _ = language.Parser(model).predict([t for _, t in probe])
+    assert names == [x for x, _ in probe]
+
+
+def test_rare_letters_match_brute_force(spark):
+    rows = [(in_script(x, i, 12), x) for x in SCRIPTS for i in range(4)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [in_script("zh", 0, 12)[5:40], in_script("en", 0, 12)[3:30] + in_script("ko", 1, 12), in_script("zh", 9, 12)]
+    count, _ = language.Parser(model).phrases(texts)
+    for t, row in zip(texts, count):
+        for x, n in zip(model.languages, row):
+            sample = language.learnt_text({language.normalise(a) for a, b in rows if b == x}, language.SAMPLE_CHARS // 6)
+            assert abs(int(n) - greedy_phrases(language.normalise(t) + " ", sample)) <= 1
+
+
+def test_a_language_of_long_texts_only(spark):
+    rows = [(in_script("ru", i, 2_000), "ru") for i in range(3)] + [(in_script("en", i), "en") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ("en", "ru")
+    assert language.Parser(model).predict([in_script("ru", 99)])[0] == ["ru"]
+    chosen = language.sample(spark.createDataFrame(rows * 3, "text string, lang string")).collect()
+    assert len(chosen) == 23 and all(len(r["text"]) <= language.SAMPLE_TEXT_CHARS for r in chosen)
+    # not the beginnings
+    assert not any(t.startswith(r["text"]) for r in chosen if r["lang"] == "ru" for t, _ in rows)
