@@ -51,16 +51,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: the listed rules' verdicts, else those of the document that a url's number names."""
+    """Labels: those of the document whose number is the last segment of a url's path."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     numbered = urls.parse(pages.filter("url is not null")).withColumn(
-        "doc_id", F.regexp_extract("__url.path", r"/([0-9]{1,18})", 1).try_cast("long")
+        "doc_id", F.regexp_extract("__url.path", r"/([0-9]{1,18})(?:\.[^/]*)?/?$", 1).try_cast("long")
     )
     known = numbered.join(labels, "doc_id", "left").select(
-        "url",
-        F.coalesce("__url.verdict", F.when(F.col("bad"), F.lit(urls.BLOCK)).when(~F.col("bad"), F.lit(urls.ALLOW))).alias("label"),
+        "url", F.when(F.col("bad"), F.lit(urls.BLOCK)).when(~F.col("bad"), F.lit(urls.ALLOW)).alias("label")
     )
     return urls.judge(pages, known).select("page_id", "host", "path", "rule", "verdict", "mined_confidence")
 

@@ -171,14 +171,14 @@ def judge(
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict of every url.
 
-    ``labels`` has ``url`` and ``label`` (allow or block) of known addresses. A listed rule
-    decides first, then the surest mined one (of equal ones, allow), and without either the
-    url is allowed. A null url, or one without ``://``, has an empty host and path, fits no
+    ``labels`` has ``url`` and ``label`` (allow or block) of known addresses; rules are mined
+    from those that no listed rule decides. A listed rule decides first, then the surest
+    mined one (of equal ones, allow), and without either the url is allowed. A null url, or one without ``://``, has an empty host and path, fits no
     rule and is allowed. Equal urls are judged once, so a hot one costs one row; columns of
     ``pages`` named like the results are replaced; empty tables give empty results.
     """
     known = parse(labels.select(F.col("url"), F.col("label")).filter("label is not null"), rules)
-    mined = mine_rules(known.select("__url.tokens", "label"), min_support, min_confidence)
+    mined = mine_rules(known.filter("__url.rule is null").select("__url.tokens", "label"), min_support, min_confidence)
     distinct = parse(pages.select(F.coalesce(url, F.lit("")).alias("__key")).distinct(), rules, "__key")
     best = fired(distinct.filter("__url.rule is null"), mined, "__key")
     plain = pages.drop("host", "path", "rule", "verdict", "mined_confidence")
