@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import written
 
 #: Bounds of the training sample: pages, and nodes of one page.
@@ -295,6 +296,7 @@ def train(pages: DataFrame, html: str = "html") -> Trees | None:
     Every node counts a second time without its names, so that pages that name nothing are
     judged by their shape.
     """
+    ship_package(pages.sparkSession)
     content = F.coalesce(F.col(html), F.lit(""))
     ranked = pages.select(content.alias("html"), F.xxhash64(content).alias("h")).filter("html != ''")
     chosen = ranked.orderBy("h").limit(SAMPLE_PAGES).select("html")
@@ -358,6 +360,7 @@ def extract(pages: DataFrame, trees: Trees | None, html: str = "html") -> DataFr
     equal texts; an empty table gives an empty one; columns named like the results are
     replaced. Without trees every part that the page does not name as surroundings stays.
     """
+    ship_package(pages.sparkSession)
     kept = pages.drop("text", "n_chars") if html not in ("text", "n_chars") else pages
     content = kept.withColumn("__html", F.col(html))
 

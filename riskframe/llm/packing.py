@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ship_package
 from .common import written
 from .tokens import SPACES, PieceEncoder
 
@@ -73,6 +74,7 @@ def token_pieces(
     numbers. A null text counts as empty: one piece with the end id. Columns named like the
     results are replaced.
     """
+    ship_package(docs.sparkSession)
     path = path or default_tokenizer()
     kept = [c for c in docs.columns if c not in (text, "piece", "start", "length", "ids")]
     plain = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -146,6 +148,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     only bin numbers and lengths move. Every item gets a place; an empty table gives an
     empty one; columns named ``sequence_id``, ``offset`` or ``bin`` are replaced.
     """
+    ship_package(items.sparkSession)
     placed = written(_local(items.drop("sequence_id", "offset", "bin"), capacity, 0), "packed")
     bins = placed.groupBy("bin").agg(F.sum("length").alias("length"))
     moved, level, full = None, 0, int(capacity * nearly_full)
