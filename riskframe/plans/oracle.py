@@ -552,6 +552,12 @@ ORACLE["threshold_csv"] = (
     + rounded(["precision", "recall", "f1", "accuracy", "specificity", "npv", "total_cost", "average_cost", "cost_per_predicted"])
     + " FROM costs"
 )
+ORACLE["retention_csv"] = (
+    f"{sweep()}, {ONE_R}, {R_COSTED} SELECT threshold, tn, fp, fn, tp, "
+    + rounded(["precision", "recall", "f1", "accuracy", "specificity", "npv", "average_cost", "cost_per_predicted"])
+    + ", " + rounded(["total_cost", "net_business_value", "expected_churn_loss", "expected_intervention_cost", "expected_retained_value"], 2)
+    + " FROM costs"
+)
 ORACLE["csv_roundtrip"] = f"WITH {RAW} SELECT account_id, tenure, region, acctbal, lapsed FROM raw"
 ORACLE["split_tables"] = f"WITH {A_SPLIT} SELECT account_id, y FROM splits WHERE split = 'val'"
 ORACLE["dataset_manifest"] = """WITH lost AS (SELECT count(*) FILTER (c_custkey = 1) = 0 AS same FROM customer)
@@ -696,6 +702,80 @@ c AS ({counts('threshold', p='q', src='cal, grid')})
 SELECT threshold, CAST(fp * 10 + fn * 100 + tp * 10 AS DOUBLE) AS total_cost, tn, fp, fn, tp FROM c
 ORDER BY total_cost, tp DESC, threshold LIMIT 1"""
 
+ORACLE["calibration_run"] = ORACLE["calibration_choice"]
+
+# ------------------------------------------------------------ a model with gaps and categories
+
+
+def category_newton(penalty: float, steps: int = 14) -> str:
+    """CTEs of an L2-penalised logistic fit on dw, log_chars and a one-hot category.
+
+    ``cells`` has y, w, cat, dw, log_chars. The Hessian of the categories is diagonal: their
+    coefficients (bc) are eliminated, which leaves three unknowns b0 (free), b1, b2.
+    """
+    pairs = [f"{a}{b}" for a in range(3) for b in range(a, 3)]
+    out = ["n0 AS (SELECT DISTINCT cat, CAST(0 AS DOUBLE) AS bc, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM cells)"]
+    for t in range(steps):
+        mu = "1 / (1 + exp(-(b0 + bc + b1 * dw + b2 * log_chars)))"
+        sums = [f"sum(w * (mu - y) * x{a}) AS g{a}" for a in range(3)]
+        sums += [f"sum(w * mu * (1 - mu) * x{p[0]} * x{p[1]}) AS h{p}" for p in pairs]
+        out.append(
+            f"s{t} AS (SELECT cat, bc, b0, b1, b2, {', '.join(sums)}, h00 + {penalty} AS hc, g0 + {penalty} * bc AS gc FROM "
+            f"(SELECT p.*, y, w, 1.0 AS x0, dw AS x1, log_chars AS x2, {mu} AS mu FROM n{t} p JOIN cells USING (cat)) GROUP BY cat, bc, b0, b1, b2)"
+        )
+        rest = [f"sum(g{a} - h0{a} * gc / hc) + {penalty if a else 0.0} * max(b{a}) AS g{a}" for a in range(3)]
+        rest += [
+            f"sum(h{p} - h0{p[0]} * h0{p[1]} / hc) + {penalty if p in ('11', '22') else 0.0} AS h{p}" for p in pairs
+        ]
+        out.append(f"r{t} AS (SELECT {', '.join(rest)} FROM s{t})")
+        inv = {
+            "00": "h11 * h22 - h12 * h12", "01": "h02 * h12 - h01 * h22", "02": "h01 * h12 - h02 * h11",
+            "11": "h00 * h22 - h02 * h02", "12": "h01 * h02 - h00 * h12", "22": "h00 * h11 - h01 * h01",
+        }
+        det = f"(h00 * ({inv['00']}) + h01 * ({inv['01']}) + h02 * ({inv['02']}))"
+        step = [
+            "(" + " + ".join(f"({inv[''.join(sorted(f'{a}{b}'))]}) * g{b}" for b in range(3)) + f") / {det} AS d{a}"
+            for a in range(3)
+        ]
+        out.append(f"d{t} AS (SELECT {', '.join(step)} FROM r{t})")
+        out.append(
+            f"n{t + 1} AS (SELECT cat, bc - (gc - h00 * d0 - h01 * d1 - h02 * d2) / hc AS bc, "
+            f"b0 - d0 AS b0, b1 - d1 AS b1, b2 - d2 AS b2 FROM s{t}, d{t})"
+        )
+    return ", ".join([*out, f"fit AS (SELECT * FROM n{steps})"])
+
+
+GAPPY = f"""gappy AS (WITH {SCORED_ALL} SELECT doc_id, y, CASE WHEN doc_id % 11 <> 0 THEN lang END AS lang,
+  CASE WHEN doc_id % 13 <> 0 THEN dw END AS dw, log_chars FROM feat),
+train AS (SELECT * FROM gappy WHERE y IS NOT NULL),
+fill AS (SELECT quantile_cont(dw, 0.5) AS dw FROM train),
+most AS (SELECT lang FROM train WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1),
+sizes AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y) AS pos FROM train),
+cells AS (SELECT y, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w, coalesce(train.lang, most.lang) AS cat,
+  coalesce(train.dw, fill.dw) AS dw, log_chars FROM train, fill, most, sizes)"""
+ORACLE["categorical_coefficients"] = f"""WITH {GAPPY}, {category_newton(0.1)},
+c AS (SELECT 'cat__lang_' || cat AS feature, bc AS v FROM fit UNION SELECT 'num__dw', b1 FROM fit UNION SELECT 'num__log_chars', b2 FROM fit)
+SELECT feature, round(v, 3) AS coefficient, CASE WHEN v > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM c"""
+ORACLE["categorical_scorer"] = f"""WITH {GAPPY}, {category_newton(0.1)}
+SELECT doc_id, round(1 / (1 + exp(-(b0 + bc + b1 * dw + b2 * log_chars))), 4) AS probability FROM gappy JOIN fit ON cat = lang WHERE dw IS NOT NULL"""
+ORACLE["contract_from_model"] = f"""WITH {GAPPY}
+SELECT doc_id, 'dw' AS "column", 'missing' AS code FROM gappy WHERE dw IS NULL
+UNION ALL SELECT doc_id, 'lang', 'missing' FROM gappy WHERE lang IS NULL
+UNION ALL SELECT doc_id, 'lang', 'unknown_category' FROM gappy WHERE lang IS NOT NULL
+  AND CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE lang END NOT IN (SELECT lang FROM train WHERE lang IS NOT NULL)"""
+ORACLE["feature_mapping"] = f"""WITH {GAPPY},
+slots AS (SELECT 0 AS position, 'num__dw' AS feature, 'dw' AS original, count(*) FILTER (dw <> 0) AS n_set FROM cells
+  UNION ALL SELECT 1, 'num__log_chars', 'log_chars', count(*) FILTER (log_chars <> 0) FROM cells
+  UNION ALL SELECT 1 + row_number() OVER (ORDER BY k.lang), 'cat__lang_' || k.lang, 'lang', (SELECT count(*) FROM cells WHERE cat = k.lang)
+  FROM (SELECT DISTINCT lang FROM train WHERE lang IS NOT NULL) k)
+SELECT CAST(position AS INTEGER) AS position, feature, original, n_set FROM slots"""
+ORACLE["calibrated_scorer"] = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT DISTINCT fold AS g FROM folds', tag='o_')},
+{newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g', tag='m_')},
+held AS (SELECT fold, y, 1.0 AS w, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM folds JOIN o_fit ON g = fold),
+held_z AS (SELECT fold, y, w, {Z} AS z FROM held), {newton(['z'], 1.0, 'SELECT -1 AS g', cells='held_z', tag='k_')},
+sc AS (SELECT doc_id, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM (WITH {SCORED_ALL} SELECT doc_id, dw, log_chars FROM feat), m_fit)
+SELECT doc_id, round(1 / (1 + exp(-(b0 + b1 * {Z}))), 4) AS probability FROM sc, k_fit"""
+
 # ------------------------------------------------------------ scoring
 
 SCORES = f"""WITH {FOLDS}, {TWO_FEATURES}, {newton(['dw', 'log_chars'], 0.1, 'SELECT -1 AS g')},
@@ -706,6 +786,8 @@ SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS predict
   CAST(0.19 AS DOUBLE) AS threshold FROM sc"""
 ORACLE["score_stream"] = f"""{SCORES}
 SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS prediction, CASE WHEN q >= 0.19 THEN 'Yes' ELSE 'No' END AS prediction_label FROM sc"""
+ORACLE["rejected_stream"] = f"""WITH {SCORED_ALL}
+SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'above_maximum' END AS code FROM feat"""
 ORACLE["score_files"] = f"""{SCORES}
 SELECT 'predict_batch' AS event_type, count(*) AS prediction_count, count(*) FILTER (q >= 0.3) AS positive_predictions,
   count(*) FILTER (q < 0.3) AS negative_predictions, CAST(0.3 AS DOUBLE) AS threshold, true AS success, count(*) AS batch_size FROM sc"""

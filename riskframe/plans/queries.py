@@ -609,6 +609,16 @@ def threshold_csv(spark, sf):
     return files.read_csv(spark, path, spark.createDataFrame([], schema).schema)
 
 
+@query
+def retention_csv(spark, sf):
+    """The threshold table with the retention columns, written as CSV and read back."""
+    path = f"{shared_dir(spark)}/thresholds-{uuid.uuid4().hex}"
+    swept = thresholds.threshold_sweep(views.scored_documents(spark, sf))
+    files.write_threshold_csv(cost.with_retention_costs(swept, [RETENTION]), path)
+    schema = ", ".join(f"{c} {'bigint' if d is None else 'double'}" for c, d in files.RETENTION_COLUMNS.items())
+    return files.read_csv(spark, path, spark.createDataFrame([], schema).schema)
+
+
 def read_json_documents(spark, path, schema):
     """JSON documents read back with the schema of the table that was written."""
     return spark.read.schema(schema).json(path)
@@ -806,6 +816,89 @@ def calibrated_threshold(spark, sf):
     return best.select("threshold", "total_cost", "tn", "fp", "fn", "tp")
 
 
+@query
+def calibration_run(spark, sf):
+    """The calibration job end to end: the choice it wrote, read back."""
+    run = f"{shared_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    jobs.run_calibration(folded_documents(spark, sf), "fold", 5, run)
+    schema = "selected_method string, decision_rule string"
+    return read_json_documents(spark, f"{run}/calibration_choice", schema)
+
+
+# ------------------------------------------------------------ a model with gaps and categories
+
+
+def gappy_documents(spark, sf, labelled=True):
+    """Documents of which some lack the language or the share of distinct words."""
+    table = views.documents_with_features(spark, sf, labelled=labelled)
+    return table.withColumn("lang", F.when(F.col("doc_id") % 11 != 0, F.col("lang"))).withColumn(
+        "dw", F.when(F.col("doc_id") % 13 != 0, F.col("dw"))
+    )
+
+
+def categorical_model(spark, sf):
+    """Balanced logistic model on imputed numbers and an imputed, one-hot category."""
+    table = durable(gappy_documents(spark, sf), "train")
+    return models.risk_pipeline(MODEL_NUMERIC, ["lang"], kind="logistic", balanced=True, C=10.0).fit(table)
+
+
+@query
+def categorical_coefficients(spark, sf):
+    table = models.coefficient_table(categorical_model(spark, sf))
+    return table.select("feature", F.round("coefficient", 3).alias("coefficient"), "direction")
+
+
+@query
+def feature_mapping(spark, sf):
+    """The slots of the fitted model's vector with the columns they come from and how often they are set."""
+    model = categorical_model(spark, sf)
+    slots = explain.feature_mapping(model, spark)
+    vectors = model.transform(gappy_documents(spark, sf)).select(vector_to_array("features").alias("x"))
+    used = vectors.select(F.posexplode("x").alias("position", "v")).groupBy("position").agg(F.count_if(F.col("v") != 0).alias("n_set"))
+    return slots.join(used, "position", "left")
+
+
+def saved_categorical_scorer(spark, sf):
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    fitted = categorical_model(spark, sf)
+    rules = {"dw": contract.NumericRule("float", 0.0, 1.0), "log_chars": contract.NumericRule("float", 0.0)}
+    artifacts.save_artifacts(
+        spark, path, fitted, artifacts.derive_contract(fitted, rules, ("y",)), 0.5, "balanced classes", "final fit"
+    )
+    return score.Scorer.load(spark, path).keeping("doc_id")
+
+
+@query
+def categorical_scorer(spark, sf):
+    """The saved model over all documents its contract accepts."""
+    rows = gappy_documents(spark, sf, labelled=False).select("doc_id", *MODEL_NUMERIC, "lang")
+    scored = saved_categorical_scorer(spark, sf).score(rows, mode="valid")
+    return scored.select("doc_id", F.round("probability", 4).alias("probability"))
+
+
+@query
+def contract_from_model(spark, sf):
+    """Violations of the contract that a fitted model implies, by its learned categories."""
+    rows = gappy_documents(spark, sf, labelled=False).select("doc_id", *MODEL_NUMERIC, "lang")
+    other = F.when(F.col("doc_id") % 7 == 0, F.upper("lang")).otherwise(F.concat(F.lit(" "), "lang"))
+    scorer = saved_categorical_scorer(spark, sf)
+    return contract.violations(scorer.contract.check(rows.withColumn("lang", other)), ["doc_id"]).select("doc_id", "column", "code")
+
+
+@query
+def calibrated_scorer(spark, sf):
+    """Model and calibrator of its out-of-fold scores as one saved scorer, reloaded, over all documents."""
+    spec = models.risk_pipeline(MODEL_NUMERIC, kind="logistic", C=10.0)
+    table = durable(folded_documents(spark, sf), "train")
+    oof = models.oof_scores(table, spec, 5, keep=["y"])
+    whole = calibrate.calibrated_pipeline(spec.fit(table), calibrate.fit_calibrator(oof, "sigmoid"))
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    artifacts.save_artifacts(spark, path, whole, artifacts.derive_contract(whole), 0.3, "calibrated", "calibration")
+    rows = views.documents_with_features(spark, sf, labelled=False).select("doc_id", *MODEL_NUMERIC)
+    scored = score.Scorer.load(spark, path).keeping("doc_id").score(rows)
+    return scored.select("doc_id", F.round("probability", 4).alias("probability"))
+
+
 # ------------------------------------------------------------ scoring
 
 
@@ -888,6 +981,21 @@ def score_stream(spark, sf):
     )
 
 
+@query
+def rejected_stream(spark, sf):
+    """The rejected rows of a scoring stream in which some documents lack a share or exceed it."""
+    path, rows = saved_scorer(spark, sf)
+    run = f"{shared_dir(spark)}/scoring-{uuid.uuid4().hex}"
+    key = F.col("doc_id")
+    broken = F.when(key % 13 == 0, F.lit(None)).when(key % 17 == 0, F.col("dw") + 1).otherwise(F.col("dw"))
+    rows.withColumn("dw", broken).write.parquet(f"{run}/in")
+    scorer = score.Scorer.load(spark, path).keeping("doc_id")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{run}/in")
+    stream_scoring.start_scoring(arriving, scorer, f"{run}/out", f"{run}/rejected", f"{run}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{run}/out").select("doc_id", F.lit(None).cast("string").alias("code"))
+    return out.unionByName(contract.violations(spark.read.parquet(f"{run}/rejected"), ["doc_id"]).select("doc_id", "code"))
+
+
 @query
 def artifact_report(spark, sf):
     path, _ = saved_scorer(spark, sf)
