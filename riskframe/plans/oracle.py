@@ -543,6 +543,11 @@ ORACLE["telemetry_hourly"] = f"""WITH {EV} SELECT strftime(date_trunc('hour', ts
 ORACLE["invocation_numbers"] = (
     "SELECT event_id, user_id AS collector, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS invocation_count FROM events"
 )
+ORACLE["numbered_stream"] = """WITH a AS (SELECT event_id, user_id AS collector, ts,
+  floor((epoch(ts) + event_id % 7 * 3600) / 604800) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS week FROM events),
+seen AS (SELECT collector, week, max(max(ts)) OVER (PARTITION BY collector ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM a GROUP BY 1, 2),
+marked AS (SELECT event_id, a.collector, ts, coalesce(latest - INTERVAL 1 HOUR >= ts, false) AS late FROM a JOIN seen USING (collector, week))
+SELECT event_id, collector, late, CASE WHEN NOT late THEN row_number() OVER (PARTITION BY collector, late ORDER BY ts, event_id) END AS invocation_count FROM marked"""
 ORACLE["events_json_lines"] = f"WITH {EV} SELECT event_type, error_category, {SUMMARY} FROM ev GROUP BY 1, 2"
 
 # ------------------------------------------------------------ sources and sinks

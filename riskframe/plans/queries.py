@@ -587,6 +587,31 @@ def invocation_numbers(spark, sf):
     return telemetry.with_invocation_number(events, "collector", "timestamp", ["event_id"]).drop("timestamp")
 
 
+@query
+def numbered_stream(spark, sf):
+    """Calls numbered on a stream whose events arrive out of order, some of them a week late.
+
+    Every week is a run of its own that goes on from the checkpoint; the last one brings a
+    heartbeat for each collector.
+    """
+    run = f"{shared_dir(spark)}/numbering-{uuid.uuid4().hex}"
+    events = views.scoring_events(spark, sf).select("event_id", "collector", "timestamp")
+    shifted = F.unix_seconds("timestamp") + F.col("event_id") % 7 * 3600
+    week = F.floor(shifted / 604800) + (F.col("event_id") % 50 == 0).cast("long")
+    events.withColumn("week", week).write.partitionBy("week").parquet(f"{run}/weeks")
+    arrived = spark.read.parquet(f"{run}/weeks")
+    beat = F.max("timestamp") + F.expr("INTERVAL 2 HOURS")
+    parts = [arrived.where(F.col("week") == w["week"]) for w in arrived.select("week").distinct().orderBy("week").collect()]
+    parts.append(events.groupBy("collector").agg(F.lit(None).cast("long").alias("event_id"), beat.alias("timestamp")))
+    for part in parts:
+        part.select(*events.columns).write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{run}/in")
+        stream_telemetry.run_numbering(
+            stream, f"{run}/out", f"{run}/checkpoint", collector="collector", time="timestamp", event_id="event_id"
+        )
+    return spark.read.parquet(f"{run}/out").select("event_id", "collector", "invocation_count", "late")
+
+
 @query
 def events_json_lines(spark, sf):
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"

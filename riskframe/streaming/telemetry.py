@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.telemetry import summary_columns
+from ..session import ship_package
+
+# clock: time up to which calls are numbered; numbered: calls so far; the others still wait
+NUMBERING_STATE = "clock long, numbered long, times array<long>, ids array<long>"
 
 
 def windowed_telemetry(
@@ -68,3 +77,90 @@ def latest_windows(written: DataFrame, by: tuple[str, ...] = ("event_type",)) ->
     values = [c for c in written.columns if c not in (*keys, "batch_id")]
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("last"))
     return last.select(*keys, "last.*")
+
+
+def _due(state: tuple, arrived: list[tuple[int, int | None]], delay: int) -> tuple[tuple, list[tuple]]:
+    """One micro-batch of a collector: its state afterwards and the rows it gives.
+
+    ``arrived`` holds (microseconds, id); an id of None moves the clock only. The clock is
+    the latest time seen, less the delay, and never goes back. Waiting calls up to the
+    clock are numbered by time, then id; a call at or before the clock of an earlier batch is late.
+    """
+    clock, numbered, times, ids = state
+    waiting = list(zip(times, ids))
+    late = [(i, t, None, True) for t, i in arrived if i is not None and t <= clock]
+    waiting += [(t, i) for t, i in arrived if i is not None and t > clock]
+    clock = max([clock, *[t - delay for t, _ in arrived]])
+    due = sorted(w for w in waiting if w[0] <= clock)
+    rows = [(i, t, numbered + k, False) for k, (t, i) in enumerate(due, 1)]
+    rest = [w for w in waiting if w[0] > clock]
+    return (clock, numbered + len(due), [t for t, _ in rest], [i for _, i in rest]), rows + late
+
+
+def numbered_stream(events: DataFrame, collector: str, time: str, event_id: str, delay_seconds: float = 3600.0) -> DataFrame:
+    """``(collector, event_id, time, invocation_count, late)``: the running call number of a stream.
+
+    Calls are numbered by their time, not by their arrival, so numbers equal those of
+    ``with_invocation_number`` on the whole table (ties by id) as long as no call arrives more than
+    the delay after a later one of its collector. Such a late call is set aside: it keeps a NULL
+    number, and the numbers given before stay. State is kept for each collector: its clock, its
+    last number and the calls that are not older than the delay, so its size depends on the
+    rate of calls, not on the length of the stream. An event without an id is a heartbeat: it moves the
+    clock of its collector and releases what waits. Events without a time are set aside as late;
+    those without a collector are one collector. Repeated rows count as often as they occur.
+    """
+    ship_package(events.sparkSession)
+    delay = int(delay_seconds * 1_000_000)
+    kind = events.schema[collector].dataType
+    rows = events.select(
+        F.col(collector).alias("collector"), F.unix_micros(time).alias("micros"), F.col(event_id).cast("long").alias("id")
+    )
+    schema = T.StructType(
+        [T.StructField("collector", kind), T.StructField("id", T.LongType()), T.StructField("micros", T.LongType()),
+         T.StructField("invocation_count", T.LongType()), T.StructField("late", T.BooleanType())]
+    )
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (-(2**62), 0, [], [])
+        arrived, untimed = [], []
+        for batch in batches:
+            for micros, i in zip(batch["micros"].astype("Int64"), batch["id"].astype("Int64")):
+                number = None if pd.isna(i) else int(i)
+                if not pd.isna(micros):
+                    arrived.append((int(micros), number))
+                elif number is not None:
+                    untimed.append((number, None, None, True))
+        held, out = _due(held, arrived, delay)
+        state.update(held)
+        out += untimed
+        table = pd.DataFrame(out, columns=["id", "micros", "invocation_count", "late"])
+        table = table.astype({"id": "Int64", "micros": "Int64", "invocation_count": "Int64", "late": "boolean"})
+        table.insert(0, "collector", pd.Series([key[0]] * len(table), dtype=object))
+        yield table
+
+    numbered = rows.groupBy("collector").applyInPandasWithState(
+        step, schema, NUMBERING_STATE, "append", GroupStateTimeout.NoTimeout
+    )
+    return numbered.select(
+        F.col("collector").alias(collector), F.col("id").alias(event_id), F.timestamp_micros("micros").alias(time), "invocation_count", "late"
+    )
+
+
+def run_numbering(events: DataFrame, output: str, checkpoint: str, **columns) -> None:
+    """Number everything available; each micro-batch replaces its own ``batch_id`` partition.
+
+    Started again with the same checkpoint it goes on with the state it had.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+
+    query = (
+        numbered_stream(events, **columns)
+        .writeStream.outputMode("append")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
