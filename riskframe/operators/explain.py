@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import require_small, shared_dir, ship_package
+from ..session import durable, require_small, shared_dir, ship_package
 from ..spec import LABEL, SCORE
 from .errors import OUTCOMES, with_outcome
 from .features import feature_names, feature_origins
 
-MAX_NODES = 2_000_000
+BLOCK_NODES = 200_000  # tree nodes that a task holds at once
+CHAIN = 4  # blocks of trees that rows meet in one pass
 MAX_TABLE_BITS = 8  # features on a leaf's path up to which all patterns are tabulated
 
 
@@ -90,20 +91,28 @@ def linear_model_attribution(
 # ------------------------------------------------------------ forests
 
 
-def forest_nodes(forest: RandomForestClassificationModel, spark) -> list[dict]:
-    """All tree nodes of a fitted forest, from its saved form."""
+def forest_nodes(forest: RandomForestClassificationModel, spark) -> DataFrame:
+    """All tree nodes of a fitted forest as a table, from its saved form."""
     path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     forest.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    if nodes.count() > MAX_NODES:
-        raise ValueError("the forest is too large to be shipped to every task")
-    stats = nodes.select("treeID", "nodeData.*").select(
+    return spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
         "treeID", "id", "leftChild", "rightChild", "impurityStats",
         F.col("split.featureIndex").alias("feature"),
         F.col("split.leftCategoriesOrThreshold").alias("left"),
         F.col("split.numCategories").alias("n_categories"),
     )
-    return [r.asDict() for r in stats.collect()]
+
+
+def tree_blocks(nodes: DataFrame, most: int = BLOCK_NODES) -> list[list[int]]:
+    """Tree numbers in blocks of at most ``most`` nodes; a larger tree is a block of its own."""
+    blocks, size = [], most + 1
+    for tree, n in sorted(tuple(r) for r in nodes.groupBy("treeID").count().collect()):
+        if size + n > most:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(tree)
+        size += n
+    return blocks
 
 
 def leaf_games(nodes: list[dict]) -> tuple[list[list[tuple]], float]:
@@ -208,34 +217,46 @@ def forest_contributions(x: np.ndarray, trees: list, n_trees: int, tables: dict
     return phi
 
 
-def forest_attribution(df: DataFrame, model: PipelineModel, key: Sequence[str]) -> tuple[DataFrame, float]:
-    """Path-dependent attribution of a forest in probability space, and the base value.
-
-    ``base + sum of contributions = probability`` for every row. Trees are broadcast (size
-    checked); rows are explained batch by batch where they are.
-    """
-    spark = df.sparkSession
-    forest = next(s for s in reversed(model.stages) if isinstance(s, RandomForestClassificationModel))
-    trees, base = leaf_games(forest_nodes(forest, spark))
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(trees)
-    rows, names = _encoded(df, model, key)
-    if forest.numFeatures != len(names):
-        raise ValueError(f"forest expects {forest.numFeatures} features, input has {len(names)}")
-    schema = T.StructType(
-        [*[f for f in rows.schema.fields if f.name != "x"], T.StructField("x", T.ArrayType(T.DoubleType())),
-         T.StructField("phi", T.ArrayType(T.DoubleType()))]
-    )
-    n_trees = len(trees)
+def _adding(shared, n_trees: int):
+    """Adds the contributions of a block of trees to those a row has already."""
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict = {}
         for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            phi = forest_contributions(x, shared.value, n_trees, tables)
-            yield pdf.assign(phi=list(phi))
+            if len(pdf) == 0:
+                continue
+            x, phi = (np.array(pdf[c].tolist(), dtype=float).reshape(len(pdf), -1) for c in ("x", "phi"))
+            yield pdf.assign(phi=list(phi + forest_contributions(x, shared.value, n_trees, tables)))
+
+    return explain
 
-    explained = rows.mapInPandas(explain, schema)
+
+def node_attribution(
+    rows: DataFrame, nodes: DataFrame, names: Sequence[str], key: Sequence[str], block_nodes: int = BLOCK_NODES
+) -> tuple[DataFrame, float]:
+    """Path-dependent attribution of the trees in a node table, and the base value.
+
+    ``rows`` has the key columns and the features as array ``x``; ``nodes`` the columns of
+    ``forest_nodes``. Rows stay where they are and meet one block of trees after the other,
+    four in a pass; contributions add up in the row. A block is all that the driver or a
+    task holds of the trees, so a forest may have any number of them.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    names = require_small(list(names), "features")
+    blocks = tree_blocks(nodes, block_nodes)
+    n_trees = sum(map(len, blocks))
+    if not n_trees:
+        raise ValueError("no trees to explain")
+    explained = rows.select(*key, "x", F.array_repeat(F.lit(0.0), len(names)).alias("phi"))
+    base = 0.0
+    for i, block in enumerate(blocks):
+        if i and i % CHAIN == 0:
+            explained = durable(explained, "attribution")
+        held = nodes.where(F.col("treeID").between(block[0], block[-1])).collect()
+        trees, mean = leaf_games([r.asDict() for r in held])
+        base += mean * len(block) / n_trees
+        explained = explained.mapInPandas(_adding(spark.sparkContext.broadcast(trees), n_trees), explained.schema)
     cells = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("f"), F.col("x"), F.col("phi"))
     return (
         explained.select(*key, F.explode(cells).alias("a")).select(
@@ -248,6 +269,20 @@ def forest_attribution(df: DataFrame, model: PipelineModel, key: Sequence[str])
     )
 
 
+def forest_attribution(
+    df: DataFrame, model: PipelineModel, key: Sequence[str], block_nodes: int = BLOCK_NODES
+) -> tuple[DataFrame, float]:
+    """Path-dependent attribution of a forest in probability space, and the base value.
+
+    ``base + sum of contributions = probability`` for every row.
+    """
+    forest = next(s for s in reversed(model.stages) if isinstance(s, RandomForestClassificationModel))
+    rows, names = _encoded(df, model, key)
+    if forest.numFeatures != len(names):
+        raise ValueError(f"forest expects {forest.numFeatures} features, input has {len(names)}")
+    return node_attribution(rows, forest_nodes(forest, df.sparkSession), names, key, block_nodes)
+
+
 def feature_mapping(model: PipelineModel, spark) -> DataFrame:
     """``(position, feature, original)``: which column each slot of the vector comes from."""
     origins = feature_origins(model)

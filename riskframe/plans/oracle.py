@@ -858,3 +858,21 @@ held AS (SELECT 1 AS one, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS
 {ranked_by('held', 'one')}, grid AS ({values_grid(45, 50, 55, 60)}), counts AS ({counts('threshold', src='held, grid')}),
 sweep AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in RATES.items())} FROM counts)
 SELECT {SWEEP_OUT}, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM sweep, ranks"""
+
+# Shapley values of two features: means over the orders in which a tree learns them. What a tree
+# does not know it averages by the counts of its branches.
+ORACLE["tree_attribution"] = f"""WITH {SCORED_ALL},
+g AS (SELECT doc_id, y, dw, log_chars, dw <= 0.79 AS a, log_chars <= 7.3 AS b, log_chars <= 7.0 AS c, dw <= 0.7 AS d,
+  CASE WHEN dw <= 0.6 THEN 0 WHEN dw <= 0.8 THEN 1 WHEN dw <= 0.9 THEN 2 ELSE 3 END AS leaf FROM feat),
+t AS (SELECT * FROM g WHERE y IS NOT NULL),
+m AS (SELECT avg(y) AS v0, CAST(count(*) AS DOUBLE) AS n FROM t),
+ta AS (SELECT a, avg(y) AS va, count(*) AS na FROM t GROUP BY 1), tab AS (SELECT a, b, avg(y) AS vab FROM t GROUP BY 1, 2),
+tb AS (SELECT b, sum(na * vab) / max(n) AS vb FROM tab JOIN ta USING (a), m GROUP BY b),
+tc AS (SELECT c, avg(y) AS vc, count(*) AS nc FROM t GROUP BY 1),
+td AS (SELECT r.d, max(r.v) AS right_v, max(tc.nc * tc.vc / m.n) FILTER (tc.c) + max(tc.nc / m.n) FILTER (NOT tc.c) * max(r.v) AS vd
+  FROM (SELECT d, avg(y) AS v FROM t WHERE NOT c GROUP BY 1) r, tc, m GROUP BY r.d),
+tl AS (SELECT leaf, avg(y) AS vl FROM t GROUP BY 1),
+j AS (SELECT g.*, v0, va, vb, vab, vc, vd, CASE WHEN c THEN vc ELSE right_v END AS vcd, vl
+  FROM g JOIN ta USING (a) JOIN tab USING (a, b) JOIN tb USING (b) JOIN tc USING (c) JOIN td USING (d) JOIN tl USING (leaf), m)
+SELECT doc_id, 'dw' AS feature, round(dw, 6) AS value, round(((va - v0 + vab - vb) / 2 + (vd - v0 + vcd - vc) / 2 + vl - v0) / 3, 6) AS contribution FROM j
+UNION ALL SELECT doc_id, 'log_chars', round(log_chars, 6), round(((vb - v0 + vab - va) / 2 + (vc - v0 + vcd - vd) / 2) / 3, 6) FROM j"""

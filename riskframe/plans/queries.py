@@ -1130,6 +1130,38 @@ def forest_attribution(spark, sf):
     )
 
 
+# per tree: node -> (feature of MODEL_NUMERIC, threshold, left child, right child)
+PINNED_TREES = (
+    {0: (0, 0.79, 1, 2), 1: (1, 7.3, 3, 4), 2: (1, 7.3, 5, 6)},
+    {0: (1, 7.0, 1, 2), 2: (0, 0.7, 3, 4)},
+    {0: (0, 0.8, 1, 2), 1: (0, 0.6, 3, 4), 2: (0, 0.9, 5, 6)},
+)
+
+
+@query
+def tree_attribution(spark, sf):
+    """All documents explained by three trees of depth two whose nodes count the labelled documents."""
+    reached, counted = [], []
+    for tree, splits in enumerate(PINNED_TREES):
+        todo = [(0, F.lit(True))]
+        while todo:
+            node, here = todo.pop()
+            i = len(reached)
+            counted += [F.count_if(here & (F.col("y") == y)).cast("double").alias(f"n{i}_{y}") for y in (0, 1)]
+            f, t, left, right = splits.get(node, (-1, None, -1, -1))
+            reached.append((tree, node, left, right, f, [] if t is None else [t]))
+            if t is not None:
+                goes = F.col(MODEL_NUMERIC[f]) <= t
+                todo += [(left, here & goes), (right, here & ~goes)]
+    counts = views.documents_with_features(spark, sf).agg(*counted).first()
+    nodes = spark.createDataFrame(
+        [(*r[:4], [counts[f"n{i}_0"], counts[f"n{i}_1"]], *r[4:], -1) for i, r in enumerate(reached)],
+        "treeID int, id int, leftChild int, rightChild int, impurityStats array<double>, feature int, left array<double>, n_categories int",
+    )
+    rows = views.documents_with_features(spark, sf, labelled=False).select("doc_id", F.array(*MODEL_NUMERIC).alias("x"))
+    return explain.node_attribution(rows, nodes, MODEL_NUMERIC, ["doc_id"])[0]
+
+
 @query
 def bootstrap_cost(spark, sf):
     draws = bootstrap.cost_difference_replicates(

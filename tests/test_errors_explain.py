@@ -109,7 +109,7 @@ def test_forest_attribution_is_shapley_and_additive(spark):
     total = attr.groupBy("id").agg(F.sum("contribution").alias("s"))
     worst = models.add_score(t, model, keep=["id"]).join(total, "id").agg(F.max(F.abs(F.col("p") - F.col("s") - base))).first()[0]
     assert worst < 1e-12
-    trees, again = explain.leaf_games(explain.forest_nodes(model.stages[-1], spark))
+    trees, again = explain.leaf_games([r.asDict() for r in explain.forest_nodes(model.stages[-1], spark).collect()])
     assert again == pytest.approx(base)
     rows = attr.where("id < 5").collect()
     names = explain.feature_names(model)
@@ -121,6 +121,25 @@ def test_forest_attribution_is_shapley_and_additive(spark):
                 assert r["contribution"] == pytest.approx(want.get(names.index(r["feature"]), 0.0), abs=1e-12)
 
 
+def test_blocks_of_trees_give_the_same_attribution(spark, monkeypatch):
+    monkeypatch.setattr(explain, "CHAIN", 2)
+    t = training_table(spark).cache()
+    model = models.risk_pipeline(["x1", "x2"], ["c"], kind="forest", numTrees=5, maxDepth=3).fit(t)
+    nodes = explain.forest_nodes(model.stages[-1], spark)
+    assert explain.tree_blocks(nodes) == [[0, 1, 2, 3, 4]]
+    assert explain.tree_blocks(nodes, 1) == [[0], [1], [2], [3], [4]]
+    whole, base = explain.forest_attribution(t, model, ["id"])
+    parts, same = explain.forest_attribution(t, model, ["id"], block_nodes=1)
+    assert same == pytest.approx(base)
+    both = whole.join(parts.withColumnRenamed("contribution", "other"), ["id", "feature"])
+    r = both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("contribution") - F.col("other"))).alias("worst")).first()
+    assert r["n"] == whole.count() and r["worst"] < 1e-12
+    none, _ = explain.forest_attribution(t.where("id < 0"), model, ["id"])
+    assert none.count() == 0
+    with pytest.raises(ValueError, match="no trees"):
+        explain.node_attribution(t, nodes.where("treeID < 0"), ["x1"], ["id"])
+
+
 def test_linear_attribution_adds_up(spark):
     t = training_table(spark).cache()
     model = models.risk_pipeline(["x1", "x2"], ["c"], kind="logistic").fit(t)
