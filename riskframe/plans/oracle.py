@@ -608,7 +608,8 @@ FROM (SELECT DISTINCT fold FROM folds) f JOIN folds t ON t.fold <> f.fold GROUP
 
 
 def newton(
-    features: list[str], penalty: float, groups: str, cells: str = "cells", steps: int = 14, tag: str = ""
+    features: list[str], penalty: float, groups: str, cells: str = "cells", steps: int = 14, tag: str = "",
+    trains: str = "c.fold <> p.g",
 ) -> str:
     """CTEs of an L2-penalised logistic fit (free intercept) per left-out group, by Newton steps.
 
@@ -631,7 +632,7 @@ def newton(
         xs = ", ".join(f"{f[a]} AS x{a}" for a in range(k))
         out.append(
             f"{tag}s{t} AS (SELECT g, {beta}, {grad}, {hess} FROM (SELECT p.*, c.y, c.w, {xs}, {mu} AS mu "
-            f"FROM {tag}n{t} p JOIN {cells} c ON c.fold <> p.g) GROUP BY g, {beta})"
+            f"FROM {tag}n{t} p JOIN {cells} c ON {trains}) GROUP BY g, {beta})"
         )
         if k == 2:
             det = "(h00 * h11 - h01 * h01)"
@@ -876,3 +877,20 @@ j AS (SELECT g.*, v0, va, vb, vab, vc, vd, CASE WHEN c THEN vc ELSE right_v END
   FROM g JOIN ta USING (a) JOIN tab USING (a, b) JOIN tb USING (b) JOIN tc USING (c) JOIN td USING (d) JOIN tl USING (leaf), m)
 SELECT doc_id, 'dw' AS feature, round(dw, 6) AS value, round(((va - v0 + vab - vb) / 2 + (vd - v0 + vcd - vc) / 2 + vl - v0) / 3, 6) AS contribution FROM j
 UNION ALL SELECT doc_id, 'log_chars', round(log_chars, 6), round(((vb - v0 + vab - va) / 2 + (vc - v0 + vcd - vd) / 2) / 3, 6) FROM j"""
+
+# a point is numbered 10 * outer fold + inner fold; 9 leaves no inner fold out
+NESTED_POINTS = "SELECT 10 * o.i + h.i AS g FROM range(5) o(i), (VALUES (0), (1), (2), (9)) h(i)"
+NESTED_FITS = ", ".join(
+    newton(["dw", "log_chars"], 1 / c, NESTED_POINTS, tag=f"c{i}_", trains="c.fold <> p.g // 10 AND c.inner_fold <> p.g % 10")
+    for i, c in enumerate(GRID_C)
+)
+ORACLE["nested_search"] = f"""WITH {FOLDS},
+crossed AS (SELECT *, ntile(3) OVER (PARTITION BY y ORDER BY md5('43-' || doc_id)) - 1 AS inner_fold FROM folds),
+cells AS (SELECT fold, inner_fold, y, 1.0 AS w, dw, log_chars FROM crossed), {NESTED_FITS},
+points AS ({' UNION ALL '.join(f'SELECT g // 10 AS o, g % 10 AS h, b0, b1, b2, CAST({c} AS DOUBLE) AS pen FROM c{i}_fit' for i, c in enumerate(GRID_C))}),
+tried AS (SELECT o, h, pen, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM crossed JOIN points ON h = inner_fold AND o <> fold),
+trials AS (WITH {ranked_by('tried', 'o, h, pen')} SELECT o, pen, avg(roc_auc) AS auc FROM ranks GROUP BY 1, 2),
+best AS (SELECT o, pen FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY round(auc, 9) DESC, pen) AS r FROM trials) WHERE r = 1),
+held AS (SELECT fold, y, 1 / (1 + exp(-(b0 + b1 * dw + b2 * log_chars))) AS p FROM crossed JOIN best ON best.o = fold JOIN points ON points.o = best.o AND points.pen = best.pen AND h = 9),
+{ranked_by('held', 'fold')}, {at_half('held', 'fold')}
+SELECT m.fold, pen AS "C", {rounded(['roc_auc', 'average_precision', 'accuracy', 'precision', 'recall', 'f1'])} FROM m JOIN best ON o = m.fold"""

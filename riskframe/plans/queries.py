@@ -1078,6 +1078,16 @@ def nested_cv(spark, sf):
     )
 
 
+@query
+def nested_search(spark, sf):
+    """Nested search of C: five outer and three inner folds, the whole grid."""
+    folded = durable(split.stratified_folds(folded_documents(spark, sf), "doc_id", "y", 3, 43, "inner"), "folds")
+    scored, _ = newton.nested_search(folded, MODEL_NUMERIC, GRID_C, "fold", "inner", (5, 3), ["y"])
+    scored = durable(scored, "nested")
+    chosen = scored.groupBy("fold").agg(F.max("C").alias("C"))
+    return metrics.six_metrics(scored, ["fold"]).join(chosen, "fold")
+
+
 def split_documents(spark, sf):
     return durable(split.stratified_split(views.scored_documents(spark, sf), "doc_id", "y"), "split")
 

@@ -36,6 +36,41 @@ def test_every_point_is_its_own_fit(spark):
         assert [r["intercept"], *r["coefficients"]] == pytest.approx(want.tolist(), abs=1e-8)
 
 
+def test_nested_search_equals_one_fit_at_a_time(spark):
+    rows, df = table(spark)
+    rows = [(*r, i % 7 % 3) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "fold int, y int, w double, a double, b double, inner int").repartition(3)
+    grid, held = [0.001, 0.1, 10.0], {}
+    scored, trials = newton.nested_search(df, ["a", "b"], grid, "fold", "inner", (5, 3), ["y", "a", "b"])
+
+    def fit(data, c):
+        return single([(0, r[1], 1.0, r[3], r[4]) for r in data], None, c)
+
+    def p(beta, r):
+        return 1 / (1 + np.exp(-(beta[0] + beta[1] * r[3] + beta[2] * r[4])))
+
+    def auc(beta, data):
+        hit = [p(beta, r) for r in data if r[1] == 1]
+        miss = [p(beta, r) for r in data if r[1] == 0]
+        return np.mean([(h > m) + 0.5 * (h == m) for h in hit for m in miss])
+
+    want = {}
+    for g in range(5):
+        rest = [r for r in rows if r[0] != g]
+        for c in grid:
+            inner = [auc(fit([r for r in rest if r[5] != h], c), [r for r in rest if r[5] == h]) for h in range(3)]
+            want[g, c] = float(np.mean(inner))
+        best = max(grid, key=lambda c: (round(want[g, c], 9), -c))
+        beta = fit(rest, best)
+        held.update({(r[3], r[4]): (g, best, p(beta, r)) for r in rows if r[0] == g})
+    assert {(r["fold"], r["C"]): r["roc_auc"] for r in trials.collect()} == pytest.approx(want, abs=1e-9)
+    got = scored.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        fold, c, score = held[r["a"], r["b"]]
+        assert (r["fold"], r["C"]) == (fold, c) and r["p"] == pytest.approx(score, abs=1e-8)
+
+
 def test_jobs_do_not_grow_with_the_points(spark):
     _, df = table(spark, 2)
     jobs = []
