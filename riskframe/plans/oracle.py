@@ -792,6 +792,11 @@ SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS predict
   CAST(0.19 AS DOUBLE) AS threshold FROM sc"""
 ORACLE["score_stream"] = f"""{SCORES}
 SELECT doc_id, round(q, 4) AS probability, CAST(q >= 0.19 AS INTEGER) AS prediction, CASE WHEN q >= 0.19 THEN 'Yes' ELSE 'No' END AS prediction_label FROM sc"""
+ORACLE["failure_events"] = f"""{SCORES},
+calls AS (SELECT true AS success, NULL AS error_category, count(*) AS n, count(*) FILTER (q >= 0.3) AS pos FROM sc
+  UNION ALL SELECT count(*) FILTER (doc_id % 13 = 0) = 0, 'validation_error', 0, 0 FROM sc
+  UNION ALL SELECT count(*) < 0, 'artifact_integrity_error', 0, 0 FROM sc UNION ALL SELECT count(*) < 0, 'artifact_load_error', 0, 0 FROM sc)
+SELECT 'predict_batch' AS event_type, success, error_category, n AS prediction_count, pos AS positive_predictions, n - pos AS negative_predictions FROM calls"""
 ORACLE["rejected_stream"] = f"""WITH {SCORED_ALL}
 SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 17 = 0 THEN 'above_maximum' END AS code FROM feat"""
 ORACLE["score_files"] = f"""{SCORES}

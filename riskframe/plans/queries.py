@@ -1006,6 +1006,34 @@ def score_stream(spark, sf):
     )
 
 
+@query
+def failure_events(spark, sf):
+    """Events of four calls: a good one, rows the contract rejects, a changed model, no model."""
+    path, rows = saved_scorer(spark, sf)
+    run = f"{shared_dir(spark)}/failures-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{run}/in")
+    rows.withColumn("dw", F.when(F.col("doc_id") % 13 != 0, F.col("dw"))).write.parquet(f"{run}/gaps")
+
+    def call(artifacts_path: str, source: str) -> None:
+        out = f"{run}/out-{uuid.uuid4().hex}"
+        jobs.score_files(spark, artifacts_path, source, out, f"{run}/events", threshold=0.3, passthrough=["doc_id"])
+
+    def fails(artifacts_path: str, source: str) -> None:
+        try:
+            call(artifacts_path, source)
+        except Exception:
+            return
+        raise AssertionError("the call should have failed")
+
+    call(path, f"{run}/in")
+    fails(path, f"{run}/gaps")
+    spark.range(1).write.parquet(f"{path}/model/added")  # the hash of the model folder changes
+    fails(path, f"{run}/in")
+    fails(f"{run}/nowhere", f"{run}/in")
+    names = ["success", "error_category", "prediction_count", "positive_predictions", "negative_predictions"]
+    return files.read_events(spark, f"{run}/events").select("event_type", *names)
+
+
 @query
 def rejected_stream(spark, sf):
     """The rejected rows of a scoring stream in which some documents lack a share or exceed it."""
