@@ -138,6 +138,11 @@ def wide_one_hot(df: DataFrame, columns: Sequence[str], sizes: dict[str, int]) -
     return hot.fit(df).transform(df)
 
 
+def vector_sum(vector: str) -> Column:
+    """Sum of a vector's entries; of a sparse one only the stored entries are read, whatever its size."""
+    return F.aggregate(F.unwrap_udt(vector)["values"], F.lit(0.0), lambda a, x: a + x)
+
+
 def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], dictionary: DataFrame) -> DataFrame:
     """``(key, feature, value)`` of the encoded categories, ones only.
 

@@ -458,7 +458,7 @@ def wide_categories(spark, sf):
     dictionary = features.category_dictionary(table.where(F.col("split") == "train"), ["spent", "region"])
     sizes = features.dictionary_sizes(dictionary)
     hot = features.wide_one_hot(features.with_category_ids(table, dictionary, ["spent", "region"], sizes), ["spent", "region"], sizes)
-    ones = [F.aggregate(vector_to_array(f"cat__{c}"), F.lit(0.0), lambda a, x: a + x).cast("int").alias(c) for c in ("region", "spent")]
+    ones = [features.vector_sum(f"cat__{c}").cast("int").alias(c) for c in ("region", "spent")]
     counted = hot.select("split", *ones).groupBy("split", "region", "spent").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("split", "region", "spent", "n", F.lit(sizes["spent"]).cast("long").alias("spent_values"))
 

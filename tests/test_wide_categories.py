@@ -2,7 +2,9 @@
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskframe.operators import features
 
@@ -37,3 +39,10 @@ def test_empty_dictionary(spark):
     rows = spark.createDataFrame([(1, "x")], "id int, a string")
     with pytest.raises(ValueError, match="no category"):
         features.with_category_ids(rows, dictionary, ["a"], {})
+
+
+def test_sum_of_a_vector_of_any_size(spark):
+    """A dense array of these sizes fits no task."""
+    rows = [(1, Vectors.sparse(2_000_000_000, [7, 1_999_999_999], [1.0, 2.0])), (2, Vectors.sparse(2_000_000_000, [], [])), (3, Vectors.dense([0.5, 1.0])), (4, None)]
+    out = spark.createDataFrame(rows, StructType([StructField("id", LongType()), StructField("v", VectorUDT())]))
+    assert {r["id"]: r["s"] for r in out.select("id", features.vector_sum("v").alias("s")).collect()} == {1: 3.0, 2: 0.0, 3: 1.5, 4: None}
