@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,8 +15,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.telemetry import summary_columns
 from ..session import ship_package
 
-# clock: time up to which calls are numbered; numbered: calls so far; the others still wait
-NUMBERING_STATE = "clock long, numbered long, times array<long>, ids array<long>"
+# of each collector of a bucket, the clock: time up to which calls are numbered; numbered: calls so far;
+# waiting: how many of the times and ids, which stand in the order of the collectors, are its own
+NUMBERING_STATE = (
+    "collectors array<string>, clocks array<long>, numbered array<long>, waiting array<long>, times array<long>, ids array<long>"
+)
+BUCKETS = 4_096  # buckets of collectors that share a row of state
 
 
 def windowed_telemetry(
@@ -97,7 +102,39 @@ def _due(state: tuple, arrived: list[tuple[int, int | None]], delay: int) -> tup
     return (clock, numbered + len(due), [t for t, _ in rest], [i for _, i in rest]), rows + late
 
 
-def numbered_stream(events: DataFrame, collector: str, time: str, event_id: str, delay_seconds: float = 3600.0) -> DataFrame:
+def _unpacked(state: tuple) -> dict[str | None, tuple]:
+    """Collector -> ``(clock, numbered, times, ids)`` of a bucket's state."""
+    collectors, clocks, numbered, waiting, times, ids = state
+    out, begin = {}, 0
+    for name, clock, n, size in zip(collectors, clocks, numbered, waiting):
+        out[name] = (clock, n, times[begin : begin + size], ids[begin : begin + size])
+        begin += size
+    return out
+
+
+def _packed(held: dict[str | None, tuple]) -> tuple:
+    clocks, numbered, times, ids = zip(*held.values()) if held else ((),) * 4
+    joined = [[v for part in parts for v in part] for parts in (times, ids)]
+    return list(held), list(clocks), list(numbered), [len(t) for t in times], *joined
+
+
+def _as_text(collector: str, kind: T.DataType) -> tuple[Column, Callable[[Column], Column]]:
+    """A collector as a string, and the way back to its type."""
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        raise ValueError("a collector must be of a plain type")
+    value = F.col(collector)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value), F.unhex
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string"), lambda c: F.timestamp_micros(c.cast("long"))
+    if isinstance(kind, T.FractionalType):
+        value = value + F.lit(0).cast(kind)  # -0.0 is 0.0
+    return value.cast("string"), lambda c: c.cast(kind)
+
+
+def numbered_stream(
+    events: DataFrame, collector: str, time: str, event_id: str, delay_seconds: float = 3600.0, buckets: int = BUCKETS
+) -> DataFrame:
     """``(collector, event_id, time, invocation_count, late)``: the running call number of a stream.
 
     Calls are numbered by their time, not by their arrival, so numbers equal those of
@@ -108,41 +145,45 @@ def numbered_stream(events: DataFrame, collector: str, time: str, event_id: str,
     rate of calls, not on the length of the stream. An event without an id is a heartbeat: it moves the
     clock of its collector and releases what waits. Events without a time are set aside as late;
     those without a collector are one collector. Repeated rows count as often as they occur.
+
+    Collectors share a row of state by the hash of their name, as a call of Python for each of
+    them costs more than its events; ``buckets`` stays what it was while a checkpoint is used.
     """
     ship_package(events.sparkSession)
     delay = int(delay_seconds * 1_000_000)
-    kind = events.schema[collector].dataType
+    text, back = _as_text(collector, events.schema[collector].dataType)
+    micros, number = F.unix_micros(time), F.col(event_id).cast("long")
+    # whole numbers without NULL reach Python as they are
     rows = events.select(
-        F.col(collector).alias("collector"), F.unix_micros(time).alias("micros"), F.col(event_id).cast("long").alias("id")
-    )
-    schema = T.StructType(
-        [T.StructField("collector", kind), T.StructField("id", T.LongType()), T.StructField("micros", T.LongType()),
-         T.StructField("invocation_count", T.LongType()), T.StructField("late", T.BooleanType())]
+        F.pmod(F.xxhash64(text), F.lit(buckets)).alias("bucket"), text.alias("collector"),
+        F.coalesce(micros, F.lit(0)).alias("micros"), F.coalesce(number, F.lit(0)).alias("id"),
+        micros.isNotNull().alias("timed"), number.isNull().alias("beat"),
     )
+    schema = "collector string, id long, micros long, invocation_count long, late boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (-(2**62), 0, [], [])
-        arrived, untimed = [], []
+        held = _unpacked(state.get) if state.exists else {}
+        arrived: dict[str | None, list] = {}
+        out = []
         for batch in batches:
-            for micros, i in zip(batch["micros"].astype("Int64"), batch["id"].astype("Int64")):
-                number = None if pd.isna(i) else int(i)
-                if not pd.isna(micros):
-                    arrived.append((int(micros), number))
-                elif number is not None:
-                    untimed.append((number, None, None, True))
-        held, out = _due(held, arrived, delay)
-        state.update(held)
-        out += untimed
-        table = pd.DataFrame(out, columns=["id", "micros", "invocation_count", "late"])
-        table = table.astype({"id": "Int64", "micros": "Int64", "invocation_count": "Int64", "late": "boolean"})
-        table.insert(0, "collector", pd.Series([key[0]] * len(table), dtype=object))
-        yield table
-
-    numbered = rows.groupBy("collector").applyInPandasWithState(
+            for name, micros, i, timed, beat in zip(*(batch[c].tolist() for c in ("collector", "micros", "id", "timed", "beat"))):
+                if timed:
+                    arrived.setdefault(name, []).append((micros, None if beat else i))
+                elif not beat:
+                    out.append((name, i, None, None, True))
+        for name, calls in arrived.items():
+            held[name], numbered = _due(held.get(name, (-(2**62), 0, [], [])), calls, delay)
+            out += [(name, *row) for row in numbered]
+        state.update(_packed(held))
+        if out:
+            names = ("collector", "id", "micros", "invocation_count", "late")
+            yield pd.DataFrame({c: np.array(values, dtype=object) for c, values in zip(names, zip(*out))}, copy=False)
+
+    numbered = rows.groupBy("bucket").applyInPandasWithState(
         step, schema, NUMBERING_STATE, "append", GroupStateTimeout.NoTimeout
     )
     return numbered.select(
-        F.col("collector").alias(collector), F.col("id").alias(event_id), F.timestamp_micros("micros").alias(time), "invocation_count", "late"
+        back(F.col("collector")).alias(collector), F.col("id").alias(event_id), F.timestamp_micros("micros").alias(time), "invocation_count", "late"
     )
 
 

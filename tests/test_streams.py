@@ -70,3 +70,24 @@ def test_an_empty_stream_gives_nothing(spark, tmp_path):
     arrive(spark, path, [("a", 0, 1)])
     spark.read.parquet(f"{path}/in").where(F.lit(False)).write.mode("append").parquet(f"{path}/in")
     assert results(spark, path) == []
+
+
+def test_collectors_share_rows_of_state(spark, tmp_path):
+    """3,000 collectors in 5 rows of state: every number and type is kept, state does not grow by collectors."""
+    path, n = str(tmp_path), 3_000
+    big = 2**60  # beyond what a double holds
+    calls = spark.range(3 * n).select(
+        F.when(F.col("id") % n > 0, F.col("id") % n + big).alias("who"),
+        F.timestamp_seconds(F.col("id") * 7 % 5003 + 1_700_000_000).alias("at"), (F.col("id") + big).alias("id"),
+    )
+    beats = calls.groupBy("who").agg((F.max("at") + F.expr("INTERVAL 3 HOURS")).alias("at"), F.lit(None).cast("long").alias("id"))
+    for part in (calls.where("id % 2 = 0"), calls.where("id % 2 = 1"), beats):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(calls.schema).parquet(f"{path}/in")
+        streams.run_numbering(stream, f"{path}/out", f"{path}/ck", collector="who", time="at", event_id="id", delay_seconds=9000, buckets=5)
+    got = spark.read.parquet(f"{path}/out")
+    want = telemetry.with_invocation_number(calls, "who", "at", ["id"])
+    assert got.where("late").count() == 0 and got.schema["who"].dataType == calls.schema["who"].dataType
+    assert got.select("who", "at", "id", "invocation_count").exceptAll(want).count() == 0 and got.count() == want.count() == 3 * n
+    state = spark.read.format("statestore").load(f"{path}/ck")
+    assert state.count() == 5
