@@ -311,23 +311,28 @@ def nested_cv(
     """Unbiased scores of a tuned model.
 
     Returns per-fold scores, the metrics of the pooled out-of-fold predictions (at 0.5 where
-    a threshold is needed) and the parameters each outer fold chose. Every search runs once.
+    a threshold is needed) and the parameters each outer fold chose. Every search runs once;
+    the searches of ``parallelism`` outer folds overlap.
     """
     outer_folds = durable(
         stratified_folds(df, key, y, outer, seed, "outer_fold"), "outer", "outer_fold"
     )
-    parts, chosen = [], []
-    for i in range(outer):
-        train = stratified_folds(
+
+    def search(i: int) -> tuple[DataFrame, dict]:
+        folded = stratified_folds(
             outer_folds.where(F.col("outer_fold") != i), key, y, inner, seed + 1, "inner_fold"
         )
+        # every fit and evaluation reads the folds again
+        train = durable(folded, "inner", "inner_fold")
         best, trials = random_search(
             train, pipeline, space, n_iter, inner, "inner_fold", metric, seed + 10 * i, parallelism
         )
         top = max(trials, key=lambda t: t["score"])
-        chosen.append({"outer_fold": i, **top})
         held_out = outer_folds.where(F.col("outer_fold") == i)
-        parts.append(add_score(held_out, best, keep=[y, "outer_fold"]))
+        return add_score(held_out, best, keep=[y, "outer_fold"]), {"outer_fold": i, **top}
+
+    parts, chosen = zip(*run_together(df.sparkSession, [partial(search, i) for i in range(outer)], parallelism))
+    chosen = list(chosen)
     pooled = parts[0]
     for part in parts[1:]:
         pooled = pooled.unionByName(part)

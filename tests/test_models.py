@@ -1,4 +1,5 @@
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -246,3 +247,21 @@ def test_folds_are_subtracted(spark):
     for i in range(3):
         want = metrics.score_table(base.where(F.col("fold") != i))
         assert sorted(calibrate._without_fold(counts, i).collect()) == sorted(want.collect())
+
+
+def test_searches_of_outer_folds_overlap(spark, monkeypatch):
+    """Two searches are under way at once, each on a written table; order and choices stay."""
+    met, plain = threading.Barrier(2, timeout=60), models.random_search
+    names = []
+
+    def search(train, *args, **options):
+        met.wait()
+        names.append(len(train.inputFiles()))
+        return plain(train, *args, **options)
+
+    monkeypatch.setattr(models, "random_search", search)
+    df = training_table(spark, 300).select("id", "y", "x1")
+    pipeline = models.risk_pipeline(["x1"], kind="logistic")
+    per_fold, pooled, chosen = models.nested_cv(df, pipeline, {"C": [1.0]}, 1, "id", outer=2, inner=2)
+    assert [c["outer_fold"] for c in chosen] == [0, 1] and all(names)
+    assert per_fold.count() == 2 and pooled.count() == 1
