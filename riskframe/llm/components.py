@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import never_broadcast, written
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -21,7 +21,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
     least = sided.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = sided.join(least, "u")
+    linked = sided.join(never_broadcast(least), "u")
     if small:
         out = linked.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import blocks, written
+from .common import blocks, never_broadcast, written
 from .components import components
 
 BITS = 64
@@ -140,7 +140,7 @@ def _bucket_links(index: DataFrame, most: int) -> DataFrame:
         .drop("__other")
     )
     return (
-        index.join(heads, ["start", "key"])
+        never_broadcast(index).join(never_broadcast(heads), ["start", "key"])
         .filter((F.col("fingerprint") != F.col("head")) & (_different(F.col("fingerprint"), F.col("head")) <= most))
         .select(F.col("head").alias("a"), F.col("fingerprint").alias("b"))
         .distinct()
@@ -161,7 +161,7 @@ def link_classes(distinct: DataFrame, most: int = MAX_DIFFERENT) -> DataFrame:
     index, _ = candidate_keys(distinct, parts)
     first = written(components(_bucket_links(index, most)), "labels")
     labelled = written(
-        distinct.join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        distinct.join(never_broadcast(first.withColumnRenamed("node", "fingerprint")), "fingerprint", "left").select(
             "fingerprint", F.coalesce("root", "fingerprint").alias("label")
         ),
         "labelled",
@@ -176,9 +176,11 @@ def link_classes(distinct: DataFrame, most: int = MAX_DIFFERENT) -> DataFrame:
         & passes_chain(a, b, F.col("i.start"), parts, most)
         & (_different(a, b) <= most)
     )
-    links = index.alias("i").join(probe.alias("p"), met).select(F.col("i.label").alias("a"), F.col("p.label").alias("b"))
+    # 70 probe rows for each fingerprint
+    both = never_broadcast(index).alias("i").join(never_broadcast(probe).alias("p"), met)
+    links = both.select(F.col("i.label").alias("a"), F.col("p.label").alias("b"))
     second = components(links).withColumnRenamed("node", "label")
-    return labelled.join(second, "label", "left").select("fingerprint", F.coalesce("root", "label").alias("root"))
+    return labelled.join(never_broadcast(second), "label", "left").select("fingerprint", F.coalesce("root", "label").alias("root"))
 
 
 def near_duplicates(
@@ -199,9 +201,9 @@ def near_duplicates(
     own = written(with_fingerprint(docs.select(F.col(key).alias("__id"), F.col(text).alias("__body")), "__body", size), "fingerprints")
     distinct = written(own.groupBy("fingerprint").agg(F.min("__id").alias("least")), "distinct")
     rooted = written(link_classes(distinct.select("fingerprint"), most), "roots")
-    names = distinct.join(rooted, "fingerprint").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fingerprint", "component_id"), "components")
-    return own.join(named, "fingerprint").select(F.col("__id").alias(key), "fingerprint", "component_id")
+    names = distinct.join(never_broadcast(rooted), "fingerprint").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(rooted.join(never_broadcast(names), "root").select("fingerprint", "component_id"), "components")
+    return own.join(never_broadcast(named), "fingerprint").select(F.col("__id").alias(key), "fingerprint", "component_id")
 
 
 def keep_one(
@@ -221,10 +223,10 @@ def keep_one(
     copies = own.groupBy("__id", "__hash", "fingerprint").agg(F.count(F.lit(1)).alias("__rows"))
     rooted = written(link_classes(own.select("fingerprint").distinct(), most), "roots")
     first = F.min(F.struct(F.col("__id").isNull().alias("keyless"), "__id", "__hash", "__rows")).alias("first")
-    winners = written(copies.join(rooted, "fingerprint").groupBy("root").agg(first), "winners").select(
+    winners = written(copies.join(never_broadcast(rooted), "fingerprint").groupBy("root").agg(first), "winners").select(
         F.col("first.__id").alias("__winner"), F.col("first.__hash").alias("__winner_hash"), "first.__rows"
     )
     same = F.col("__id").eqNullSafe(F.col("__winner")) & (F.col("__hash") == F.col("__winner_hash"))
-    kept = marked.join(winners, same)
+    kept = marked.join(never_broadcast(winners), same)
     once = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__hash"]))
     return once.select(*docs.columns)

@@ -124,3 +124,21 @@ def test_connected_components(spark, kind):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_no_table_of_all_fingerprints_is_broadcast(documents, monkeypatch):
+    """Spark takes the exploded rows of a small file for as few as its own; none of the joins may rely on that."""
+    plans, written, joined = [], simhash.written, simhash.components
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "written", lambda df, name: written(planned(df), name))
+    monkeypatch.setattr(simhash, "components", lambda edges: joined(planned(edges)))
+    monkeypatch.setattr("riskframe.llm.components.written", lambda df, name: written(planned(df), name))
+    docs = documents([*near_copies(12, 9), *near_copies(13, 3), prose(14, 60)])
+    planned(simhash.near_duplicates(docs))
+    planned(simhash.keep_one(docs))
+    assert sum("SortMergeJoin" in p for p in plans) > 8
+    assert not [p for p in plans if "Broadcast" in p]
